@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions import clean as C
-from emberline.llm import bitmaps, bpe, clusters, mixing, quantiles
+from emberline.llm import bitmaps, bpe, clusters, mixing, quantiles, subjects
 from emberline.sources import tables as T
 
 FIELDS = ["SrcBytes", "DstBytes", "Duration"]
@@ -105,7 +105,28 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("actual_share", F.col("tokens_chosen") / F.lit(float(all_tokens) or None))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_daily, p6_found, p6_rollup, p7_found, p7_clusters, p8_ids, p9_mix, p9_shares)}
+def _labels(spark: SparkSession, d: str):
+    docs = T.table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return subjects.unit_labels(docs, T.table(spark, d, "subjects"), T.table(spark, d, "subject_examples"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    labels, codes, _ = _labels(spark, d)
+    return subjects.document_subjects(labels, codes).select("doc_id", "subject")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Composition of the corpus: documents with each subject and the subject's share of all units."""
+    labels, codes, _ = _labels(spark, d)
+    docs = subjects.document_subjects(labels, codes).groupBy("subject").agg(F.count("*").alias("n_docs"))
+    names = spark.createDataFrame([(i, c) for i, c in enumerate([*codes, "none"])], "label int, subject string")
+    count = labels.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n_units"))
+    total = count.agg(F.sum("n_units").alias("total"))
+    rows = names.join(count, "label", "left").join(docs, "subject", "left").na.fill(0, ["n_units", "n_docs"]).crossJoin(F.broadcast(total))
+    return rows.select("subject", "n_docs", "n_units", F.round(F.col("n_units") / F.col("total"), 6).alias("unit_share"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_daily, p6_found, p6_rollup, p7_found, p7_clusters, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}
 
 _FLOWS = """flows AS (SELECT DISTINCT CASE WHEN time >= 100000000000 THEN time WHEN time >= 1 THEN time * 1000 END AS ms, Duration, nullif(lower(trim(SrcDevice)), '') AS src, nullif(lower(trim(DstDevice)), '') AS dst, Protocol, SrcPort, DstPort, SrcPackets, DstPackets, SrcBytes, DstBytes FROM netflow)"""
 _VALUES = "vals AS (" + " UNION ALL ".join(f"SELECT src, ms // 86400000 AS d, '{f}' AS field, CAST({f} AS DOUBLE) AS v FROM flows WHERE src IS NOT NULL AND {f} >= 0 AND NOT isnan(CAST({f} AS DOUBLE)) AND NOT isinf(CAST({f} AS DOUBLE))" for f in FIELDS) + ")"
