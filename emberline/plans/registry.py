@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from emberline.plans import training
+from emberline.plans import relational, security, training
 
 
 def queries() -> dict:
-    return {**training.QUERIES}
+    return {**training.QUERIES, **relational.Q, **security.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**training.ORACLE}
+    return {**training.ORACLE, **relational.S, **security.S}
