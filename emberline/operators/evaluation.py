@@ -85,7 +85,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n, nmi (arithmetic mean), ari of two labelings, from their contingency table."""
+    """n, nmi (arithmetic mean), ari of two labelings, from their contingency table.
+
+    Two labelings that are both all one class, or both all different, agree fully: ari 1."""
     t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
     ra, rb = t.groupBy(a).agg(F.sum("n").alias("r")), t.groupBy(b).agg(F.sum("n").alias("c"))
     n_all = t.agg(F.sum("n").alias("n"))
@@ -98,7 +100,7 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     ha, hb = ln - F.col("rln") / n, ln - F.col("cln") / n
     mi = F.col("xln") / n - F.col("rln") / n - F.col("cln") / n + ln
     want = F.try_divide(F.col("pr") * F.col("pc"), n * (n - 1) / 2)
-    return one.select("n", F.try_divide(mi, (ha + hb) / 2).alias("nmi"), F.try_divide(F.col("pairs") - want, (F.col("pr") + F.col("pc")) / 2 - want).alias("ari"))
+    return one.select("n", F.try_divide(mi, (ha + hb) / 2).alias("nmi"), F.coalesce(F.try_divide(F.col("pairs") - want, (F.col("pr") + F.col("pc")) / 2 - want), F.when(n > 0, F.lit(1.0))).alias("ari"))
 
 
 def matched_accuracy(df: DataFrame, truth: str, cluster: str) -> float | None:
