@@ -39,7 +39,8 @@ from emberline.plans.durable import written
 #: Least share of a document's units. A subject is meant to have a fifth; the cut into units
 #: may join an entry to its neighbour, which costs a subject part of its share.
 SHARE = 0.13
-#: Score above which a word vote is cast, for the examples' and for the corpus's words.
+#: Score above which a word vote is cast, for the examples' and for the corpus's words, with ten
+#: subjects; the largest lift there can be, and the cuts with it, go with the log of their number.
 LEXICON_CUT, PHRASE_CUT = 2.5, 2.0
 #: A word of the corpus vocabulary occurs at least 3 times and makes up at least this share of
 #: all words, so the vocabulary has at most 1 / WORD_SHARE entries at any corpus size.
@@ -153,6 +154,10 @@ def lexicon(labelled: list[tuple[int, str]], k: int) -> dict[str, np.ndarray]:
     return {w: np.log((v + base) / ((v.sum() + 1) * base)) for w, v in count.items()}
 
 
+def cut_for(cut: float, k: int) -> float:
+    return cut * np.log(max(k, 2)) / np.log(10)
+
+
 def vote(words: set[str], table: dict[str, np.ndarray], cut: float, none: int, silent: int) -> int:
     """Subject whose words stand out, `none` if known words point nowhere, `silent` if few are known."""
     known = [table[w] for w in words if w in table]
@@ -197,7 +202,7 @@ def _cut(shared, k: int, langs: list[str], tag: int):
                         if v is None:
                             if len(seen) > 100_000:
                                 seen.clear()
-                            v = vote(words_of(x), lex, LEXICON_CUT, k, k + 1)
+                            v = vote(words_of(x), lex, cut_for(LEXICON_CUT, k), k, k + 1)
                             if v == k:
                                 v = k + 1  # the examples show a part of what is said: nothing found means nothing
                             seen[x] = v
@@ -291,6 +296,7 @@ def lifts(sums: dict[str, np.ndarray], k: int, n_lang: int) -> dict[str, np.ndar
 def _patterns(shared, k: int, tag: int):
     """Documents to one pattern number for each unit: the five votes as digits to the base k + 2."""
     none, silent, radix = k, k + 1, k + 2
+    cut = cut_for(PHRASE_CUT, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, _cache(tag)
@@ -299,14 +305,14 @@ def _patterns(shared, k: int, tag: int):
             ids, out = b.column(0), []
             for source, us, lex in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 if source not in by_source:
-                    by_source[source] = vote({f"@source:{source}"}, table, PHRASE_CUT, none, silent)
+                    by_source[source] = vote({f"@source:{source}"}, table, cut, none, silent)
                 pairs = []
                 for u in us:
                     v = seen.get(u)
                     if v is None:
                         if len(seen) > 100_000:
                             seen.clear()
-                        v = seen[u] = (vote(words_of(u) or {""}, table, PHRASE_CUT, none, silent), vote(shapes_of(u), table, PHRASE_CUT, none, silent))
+                        v = seen[u] = (vote(words_of(u) or {""}, table, cut, none, silent), vote(shapes_of(u), table, cut, none, silent))
                     pairs.append(v)
                 ph = [p for p, _ in pairs]
                 row = []
@@ -363,12 +369,14 @@ def unit_labels(docs: DataFrame, subjects: DataFrame, labelled: DataFrame) -> tu
     len(codes) for none; and what was learned of each labelling function.
 
     `docs`: doc_id, text, lang, source; a null in any column is fine, a text without units has
-    no labels. Three passes read every document; the word sums are combined in each task, then
+    no labels, and without subjects no text has. Three passes read every document; the word sums are combined in each task, then
     by word; what the driver sees is the vocabulary (bounded by WORD_SHARE) and the counts of
     vote patterns (bounded by their number of combinations)."""
     spark = docs.sparkSession
     codes, known, langs = examples(labelled, subjects)
     k, n_lang = len(codes), len(langs) + 1
+    if not k:
+        return docs.select("doc_id", F.array().cast("array<int>").alias("labels")), codes, {}
     sc = spark.sparkContext
     lex = lexicon(known, k) if known else {}
     tag = id(lex)
