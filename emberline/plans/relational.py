@@ -314,7 +314,7 @@ def inner_join(s, d):
     return T.table(s, d, "orders").where("o_totalprice > 100000").join(T.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
-@query("WITH c AS (SELECT event_type, count(*) FILTER (WHERE user_id < 50) AS a, count(*) FILTER (WHERE user_id >= 50) AS b FROM events GROUP BY 1) SELECT event_type, round(a * 100.0 / sum(a) OVER (), 4) AS pct_a, round(b * 100.0 / sum(b) OVER (), 4) AS pct_b, round(abs(a * 100.0 / sum(a) OVER () - b * 100.0 / sum(b) OVER ()), 4) AS diff FROM c")
+@query("WITH c AS (SELECT event_type, count(*) FILTER (WHERE user_id < 50) AS a, count(*) FILTER (WHERE user_id >= 50) AS b FROM events GROUP BY 1), p AS (SELECT event_type, coalesce(a * 100.0 / nullif(sum(a) OVER (), 0), 0) AS x, coalesce(b * 100.0 / nullif(sum(b) OVER (), 0), 0) AS y FROM c) SELECT event_type, round(x, 4) AS pct_a, round(y, 4) AS pct_b, round(abs(x - y), 4) AS diff FROM p")
 def freq_diff(s, d):
     out = joins.frequency_difference(T.table(s, d, "events"), "event_type", F.col("user_id") < 50)
     return out.select("event_type", *[F.round(c, 4).alias(c) for c in ("pct_a", "pct_b", "diff")])

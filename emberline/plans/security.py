@@ -206,7 +206,7 @@ def ip_octets(s, d):
 
 # ---- densities and projections -----------------------------------------------------------
 
-_KDE = """WITH v AS (SELECT lower(lang) AS lang, CAST(n_chars AS DOUBLE) AS v FROM documents WHERE lang IS NOT NULL AND n_chars < 3000), s AS (SELECT lang, count(*) AS n, min(v) AS lo, max(v) AS hi, pow(4 * pow(stddev_samp(v), 5) / (3 * count(*)), 0.2) AS h FROM v GROUP BY 1), g AS (SELECT lang, n, lo, hi, h, unnest(range(50)) AS i FROM s), k AS (SELECT g.lang, CAST(g.i AS INTEGER) AS i, lo + (hi - lo) * g.i / 49 AS x, sum(exp(-pow((lo + (hi - lo) * g.i / 49 - v.v) / h, 2) / 2)) / (max(n) * max(h) * sqrt(2 * pi())) AS density FROM g JOIN v ON v.lang = g.lang GROUP BY 1, 2, 3)"""
+_KDE = """WITH v AS (SELECT lower(lang) AS lang, CAST(n_chars AS DOUBLE) AS v FROM documents WHERE lang IS NOT NULL AND n_chars < 3000), s AS (SELECT lang, count(*) AS n, min(v) AS lo, max(v) AS hi, pow(4 * pow(stddev_samp(v), 5) / (3 * count(*)), 0.2) AS h FROM v GROUP BY 1), g AS (SELECT lang, n, lo, hi, h, unnest(range(CASE WHEN hi > lo THEN 50 ELSE 1 END)) AS i FROM s), k AS (SELECT g.lang, CAST(g.i AS INTEGER) AS i, lo + (hi - lo) * g.i / 49 AS x, CASE WHEN max(hi) > max(lo) THEN sum(exp(-pow((lo + (hi - lo) * g.i / 49 - v.v) / h, 2) / 2)) / (max(n) * max(h) * sqrt(2 * pi())) ELSE 1.0 END AS density FROM g JOIN v ON v.lang = g.lang GROUP BY 1, 2, 3)"""
 
 
 def _lengths(s, d):
@@ -218,7 +218,7 @@ def kde_grid(s, d):
     return density.kde_grid(_lengths(s, d), "lang", "n_chars").select("lang", "i", F.round("x", 3).alias("x"), F.round(F.col("density") * 1000, 5).alias("density"))
 
 
-@query(_KDE + ", w AS (SELECT *, lag(density) OVER (PARTITION BY lang ORDER BY i) AS p, lead(density) OVER (PARTITION BY lang ORDER BY i) AS q FROM k) SELECT lang, i, CASE WHEN density <= p AND density < q THEN 'min' ELSE 'max' END AS kind FROM w WHERE (density <= p AND density < q) OR (density >= p AND density > q)")
+@query(_KDE + ", w AS (SELECT *, lag(density) OVER (PARTITION BY lang ORDER BY i) AS p, lead(density) OVER (PARTITION BY lang ORDER BY i) AS q FROM k) SELECT lang, i, CASE WHEN density <= p AND density < q THEN 'min' ELSE 'max' END AS kind FROM w WHERE (density <= p AND density < q) OR (density >= p AND density > q) OR (p IS NULL AND q IS NULL)")
 def kde_extrema(s, d):
     return density.extrema(density.kde_grid(_lengths(s, d), "lang", "n_chars"), "lang").select("lang", "i", "kind")
 
