@@ -76,55 +76,72 @@ def _nodes(entity, start, end, n, gap, known, left: int, right: int, longest: in
             stack.append([g, s, c])
 
 
-def _chunk(entity, t: np.ndarray, n: np.ndarray, shortest: int, longest: int, out: _Out) -> None:
+def _chunk(entity, t: list[int], n: list[int], shortest: int, longest: int, out: _Out) -> None:
     """Round one for the events of one entity and chunk, sorted by time."""
-    g = np.diff(t)
-    cut = np.flatnonzero(g > shortest)
-    first, last = np.append(0, cut + 1), np.append(cut, len(t) - 1)
-    start, end, count = t[first], t[last], np.add.reduceat(n, first)
-    inner = np.array([g[a:b].max() if b > a else 0 for a, b in zip(first, last)], dtype=np.int64) if len(first) < len(t) else np.zeros(len(first), np.int64)
-    g = g[cut]
-    if not len(g):
-        out.add(entity, int(start[0]), int(end[0]), int(count[0]), int(inner[0]), NO_PARENT, True, False)
+    if len(t) == 1:
+        out.add(entity, t[0], t[0], n[0], 0, NO_PARENT, True, False)
         return
-    spine = np.flatnonzero((g >= np.maximum.accumulate(g)) | (g >= np.maximum.accumulate(g[::-1])[::-1]))
-    a, b = np.append(0, spine + 1), np.append(spine, len(g))  # elements a..b lie between two spine gaps
-    start, end, count, inner, g = (x.tolist() for x in (start, end, count, inner, g))
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        if i == 0 or i == len(a) - 1:  # reaches an end of the chunk: its parent isn't known yet; a single element, as the outermost gap is always on the spine
+    start, end, count, inner = [t[0]], [t[0]], [n[0]], [0]
+    for i in range(1, len(t)):
+        g = t[i] - end[-1]
+        if g <= shortest:
+            end[-1] = t[i]
+            count[-1] += n[i]
+            inner[-1] = max(inner[-1], g)
+        else:
+            start.append(t[i]), end.append(t[i]), count.append(n[i]), inner.append(0)
+    last = len(start) - 1
+    g = [start[i + 1] - end[i] for i in range(last)]
+    spine, most = set(), 0
+    for i in range(last):
+        if g[i] >= most:
+            most = g[i]
+            spine.add(i)
+    most = 0
+    for i in range(last - 1, -1, -1):
+        if g[i] >= most:
+            most = g[i]
+            spine.add(i)
+    cuts = sorted(spine)
+    x = 0
+    for y in [*cuts, last]:  # elements x..y lie between two spine gaps
+        if x == 0 or y == last:  # reaches an end of the chunk, so its parent isn't known yet; a single element, as the outermost gap is always on the spine
             out.add(entity, start[x], end[y], count[x], inner[x], NO_PARENT, True, False)
-            continue
-        _nodes(entity, start[x : y + 1], end[x : y + 1], count[x : y + 1], inner[x : y + 1], [False] * (y + 1 - x), g[x - 1], g[y], longest, out)
-        top = max(g[x:y]) if y > x else inner[x]
-        out.add(entity, start[x], end[y], sum(count[x : y + 1]), top, NO_PARENT, True, True)
+        elif x == y:
+            out.add(entity, start[x], end[x], count[x], inner[x], min(g[x - 1], g[x]))
+            out.add(entity, start[x], end[x], count[x], inner[x], NO_PARENT, True, True)
+        else:
+            _nodes(entity, start[x : y + 1], end[x : y + 1], count[x : y + 1], inner[x : y + 1], [False] * (y + 1 - x), g[x - 1], g[y], longest, out)
+            out.add(entity, start[x], end[y], sum(count[x : y + 1]), max(g[x:y]), NO_PARENT, True, True)
+        x = y + 1
 
 
 def _round_one(shortest: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Out(True)
-        held: list = []  # the open chunk: entity, chunk, [times], [counts]
+        key, held_t, held_n = None, [], []  # the open chunk
         for batch in batches:
             if not batch.num_rows:
                 continue
             names = batch.column(0).dictionary_encode()
             code = names.indices.to_numpy(zero_copy_only=False)
-            chunk, t, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            chunk = batch.column(1).to_numpy(zero_copy_only=False)
+            t, n = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             bounds = np.flatnonzero((code[1:] != code[:-1]) | (chunk[1:] != chunk[:-1])) + 1
             words = names.dictionary.to_pylist()
-            lo = 0
-            for hi in [*bounds.tolist(), batch.num_rows]:
-                key = (words[code[lo]], chunk[lo])
-                if held and held[0] != key:
-                    _chunk(held[0][0], np.concatenate(held[1]), np.concatenate(held[2]), shortest, longest, out)
-                    held = []
-                if held:
-                    held[1].append(t[lo:hi]), held[2].append(n[lo:hi])
-                else:
-                    held = [key, [t[lo:hi]], [n[lo:hi]]]
-                lo = hi
+            at = np.append(0, bounds)
+            for lo, hi, c, k in zip(at.tolist(), [*bounds.tolist(), batch.num_rows], code[at].tolist(), chunk[at].tolist()):
+                new = (words[c], k)
+                if new == key:
+                    held_t += t[lo:hi]
+                    held_n += n[lo:hi]
+                    continue
+                if key is not None:
+                    _chunk(key[0], held_t, held_n, shortest, longest, out)
+                key, held_t, held_n = new, t[lo:hi], n[lo:hi]
             yield out.batch()
-        if held:
-            _chunk(held[0][0], np.concatenate(held[1]), np.concatenate(held[2]), shortest, longest, out)
+        if key is not None:
+            _chunk(key[0], held_t, held_n, shortest, longest, out)
             yield out.batch()
 
     return run
