@@ -47,11 +47,14 @@ def base_sketches(df: DataFrame, keys: Sequence[str], fields: Sequence[str], k:
     """First-level sketches: for each combination of `keys` (null is a value like any other) and
     each field f the columns n_f, v_f, e_f (count, sorted values, rank error), plus `part`.
 
-    Groups above `split_rows` rows, found by one combining count, are spread by row hash over
-    several parts of at most about that size, so no task gathers a hot group. Returns the
-    sketches and the largest number of parts of a group.
+    Groups above `split_rows` rows, found by one combining count, are spread by the hash of the
+    whole row over several parts of about that size, so no task gathers a hot group of different
+    rows (equal rows stay together: merge copies first, as `tables.flows` does) and a task that
+    runs again spreads them alike.
+    Returns the sketches and
+    the largest number of parts of a group.
     """
-    rows = df.select(*keys, *[measure(f).alias(f) for f in fields]).where(F.coalesce(*fields).isNotNull())
+    rows = df.select(*keys, *[measure(f).alias(f) for f in fields], F.xxhash64(*df.columns).alias("__h")).where(F.coalesce(*fields).isNotNull())
     hot = rows.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") > split_rows)
     hot = hot.select(*keys, F.ceil(F.col("c") / split_rows).cast("int").alias("parts"))
     most = hot.agg(F.max("parts")).first()[0] or 1
@@ -60,7 +63,7 @@ def base_sketches(df: DataFrame, keys: Sequence[str], fields: Sequence[str], k:
     else:
         h = hot.select(*[F.col(c).alias(f"h_{c}") for c in keys], "parts")
         rows = rows.join(h, [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in keys], "left")
-        rows = rows.select(*keys, *fields, F.pmod(F.xxhash64(*fields, F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+        rows = rows.select(*keys, *fields, F.pmod("__h", F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     got = rows.groupBy(*keys, "part").agg(*[F.sort_array(F.collect_list(f)).alias(f"v_{f}") for f in fields])
     sized = got.select(*keys, "part", *[c for f in fields for c in (F.size(f"v_{f}").cast("bigint").alias(f"n_{f}"), F.col(f"v_{f}"))])
     out = [c for f in fields for c in (F.col(f"n_{f}"), _collapsed(F.col(f"v_{f}"), F.col(f"n_{f}"), k).alias(f"v_{f}"), F.when(F.col(f"n_{f}") > k, F.ceil(F.ceil(F.col(f"n_{f}") / k) / 2)).otherwise(0).cast("bigint").alias(f"e_{f}"))]

@@ -24,6 +24,7 @@ import difflib
 import html
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -174,17 +175,17 @@ def vote(words: set[str], table: dict[str, np.ndarray], cut: float, none: int, s
     return none if 2 * len(known) >= len(words) else silent
 
 
-_CACHES: dict[int, dict] = {}
+_CACHES: dict[str, dict] = {}
 
 
-def _cache(key: int) -> dict:
+def _cache(key: str) -> dict:
     if key not in _CACHES:
         _CACHES.clear()
         _CACHES[key] = {}
     return _CACHES[key]
 
 
-def _cut(shared, k: int, langs: list[str], tag: int):
+def _cut(shared, k: int, langs: list[str], tag: str):
     """Documents to (doc_id, language number, source, units, lexicon votes)."""
     lang_no = {x: i for i, x in enumerate(langs)}
 
@@ -293,7 +294,7 @@ def lifts(sums: dict[str, np.ndarray], k: int, n_lang: int) -> dict[str, np.ndar
     return out
 
 
-def _patterns(shared, k: int, tag: int):
+def _patterns(shared, k: int, tag: str):
     """Documents to one pattern number for each unit: the five votes as digits to the base k + 2."""
     none, silent, radix = k, k + 1, k + 2
     cut = cut_for(PHRASE_CUT, k)
@@ -379,7 +380,7 @@ def unit_labels(docs: DataFrame, subjects: DataFrame, labelled: DataFrame) -> tu
         return docs.select("doc_id", F.array().cast("array<int>").alias("labels")), codes, {}
     sc = spark.sparkContext
     lex = lexicon(known, k) if known else {}
-    tag = id(lex)
+    tag = uuid.uuid4().hex  # workers keep their votes for one run only
     cut = docs.select("doc_id", "text", "lang", C.name("source").alias("source")).mapInArrow(_cut(sc.broadcast(lex), k, langs, tag), "doc_id bigint, lang_no int, source string, units array<string>, lex array<int>")
     cut = written(cut)
     run, schema = _word_sums(k, n_lang)
@@ -389,7 +390,7 @@ def unit_labels(docs: DataFrame, subjects: DataFrame, labelled: DataFrame) -> tu
     total = sums.where(~F.col("word").startswith("\x00")).agg(F.sum(times)).first()[0] or 0
     keep = sums.where((times >= F.lit(max(3.0, WORD_SHARE * total))) | F.col("word").startswith("\x00"))
     table = lifts({r[0]: np.array(r[1:]) for r in keep.collect()}, k, n_lang)
-    marked = written(cut.mapInArrow(_patterns(sc.broadcast(table), k, tag + 1), "doc_id bigint, patterns array<int>"))
+    marked = written(cut.mapInArrow(_patterns(sc.broadcast(table), k, tag + "p"), "doc_id bigint, patterns array<int>"))
     got = marked.select(F.explode("patterns").alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect()
     numbers, counts = np.array([r.p for r in got], np.int64), np.array([r.n for r in got], float)
     post, accuracy = learn(numbers, counts, k) if len(got) else (np.zeros((0, k + 1)), np.zeros((len(NAMES), 7)))
