@@ -52,13 +52,15 @@ NAMES = ("lexicon", "phrase", "address", "section", "source")
 _DROP = regex.compile(r"[\p{Mn}\p{Cf}\p{Co}\p{So}\p{Cc}--[\n\t]]+", regex.V1)
 _LEAD = re.compile(r'^(?:\[\d\d:\d\d\] \S+: |> |- |\d+[.;] ?|\d{4}-\d\d-\d\dt\S+ \S+ \S+: level=\w+ msg="|\{"seq": \d+, "host": "[^"]*", "note": ")')
 _TAIL = re.compile(r'(?:", "code": \d+\}|")$')
+_FRAMES = frozenset("[>-{0123456789")
 _HEAD = re.compile(r"^(?:from|to|cc|date|subject): ?")
 _BLOCK = re.compile(r"</?(?:p|li|ul|ol|div|br|tr|td|th|table|h[1-6]|html|body|pre|blockquote)\b[^<>]*>")
 _END = re.compile(r"(?<=[.!?])\s+")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+").findall
+_DIGIT, _LETTER = re.compile(r"[0-9]").search, re.compile(r"[^\W\d_]").search
 _LEET = re.compile(r"[a-z][0134]+[a-z]")
-_IP = re.compile(r"^\d+\.\d+\.\d+\.\d+")
-_DOMAIN = re.compile(r"^[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]+$")
+_IP = re.compile(r"\d+\.\d+\.\d+\.\d+").match
+_DOMAIN = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]+$").match
 _FROM_DIGITS = str.maketrans("0134", "oiea")
 _EDGE = " \t.,;:!?()[]{}<>\"'`*-–—“”/\\"
 
@@ -68,22 +70,28 @@ class _Tokens(dict):
 
     def __missing__(self, raw: str) -> str:
         t = raw.strip(_EDGE)
+        keep = len(raw) < 40
         if "://" in t:
             return "@url"
         if "=" in t:
             return " ".join(filter(None, (self[p] for p in t.split("=", 1) if p)))
         if "@" in t:
             return "@mail"
-        if any("0" <= c <= "9" for c in t):
-            return "@ip" if _IP.match(t) else "@number" if not any(c.isalpha() for c in t) else "@code"
-        if "." in t and _DOMAIN.match(t):
+        if _DIGIT(t):
+            if _IP(t):
+                return "@ip"
+            if _LETTER(t):
+                return "@code"
+            out, keep = "@number", len(raw) < 7
+        elif "." in t and _DOMAIN(t):
             return "@domain"
-        words = " ".join(_WORD.findall(t))
-        if len(self) > 200_000:
-            self.clear()
-        if len(raw) < 40:
-            self[raw] = words
-        return words
+        else:
+            out = " ".join(_WORD(t))
+        if keep:
+            if len(self) > 200_000:
+                self.clear()
+            self[raw] = out
+        return out
 
 
 _TOKENS = _Tokens()
@@ -101,18 +109,20 @@ def units(text: str | None) -> list[str]:
         t = html.unescape(_BLOCK.sub("\n", t))
     if "-\n" in t and t.count("-\n") * 2 > t.count("\n"):
         t = t.replace("-\n", "")
-    if len(_LEET.findall(t)) * 40 > len(t):
+    if sum(map(t.count, "0134")) * 25 > len(t) and len(_LEET.findall(t)) * 40 > len(t):
         t = t.translate(_FROM_DIGITS)
-    out, tok = [], _TOKENS
+    out, token = [], _TOKENS.__getitem__
     for line in t.split("\n"):
         line = line.strip()
-        if not line or _HEAD.match(line):
+        if not line or line[0] in "ftcds" and _HEAD.match(line):
             continue
-        body = _LEAD.sub("", line)
-        if len(body) != len(line):
-            body = _TAIL.sub("", body)
+        body = line
+        if line[0] in _FRAMES:
+            body = _LEAD.sub("", line)
+            if len(body) != len(line):
+                body = _TAIL.sub("", body)
         for s in _END.split(body):
-            u = " ".join([x for x in [tok[w] for w in s.split()] if x])
+            u = " ".join(filter(None, map(token, s.split())))
             if " " in u:
                 out.append(u)
     return out
@@ -159,20 +169,26 @@ def cut_for(cut: float, k: int) -> float:
     return cut * np.log(max(k, 2)) / np.log(10)
 
 
-def vote(words: set[str], table: dict[str, np.ndarray], cut: float, none: int, silent: int) -> int:
+class Scores:
+    """Word scores as one matrix."""
+
+    def __init__(self, table: dict[str, np.ndarray]):
+        self.no = {w: i for i, w in enumerate(table)}
+        self.rows = np.array(list(table.values())) if table else np.zeros((0, 1))
+
+
+def vote(words: set[str], scores: Scores, cut: float, none: int, silent: int) -> int:
     """Subject whose words stand out, `none` if known words point nowhere, `silent` if few are known."""
-    known = [table[w] for w in words if w in table]
-    if not known:
+    no = scores.no
+    at = [no[w] for w in words if w in no]
+    if not at:
         return silent
-    s = sum(known) / len(words) ** 0.5
-    best = int(s.argmax())
-    top = s[best]
-    if top > cut:
-        s = s.copy()
-        s[best] = -np.inf
-        if top - s.max() > cut / 2:
-            return best
-    return none if 2 * len(known) >= len(words) else silent
+    s = scores.rows.take(at, 0).sum(0).tolist()
+    bar = cut * len(words) ** 0.5
+    top = max(s)
+    if top > bar and (len(s) == 1 or top - sorted(s)[-2] > bar / 2):
+        return s.index(top)
+    return none if 2 * len(at) >= len(words) else silent
 
 
 _CACHES: dict[str, dict] = {}
@@ -381,7 +397,7 @@ def unit_labels(docs: DataFrame, subjects: DataFrame, labelled: DataFrame) -> tu
     sc = spark.sparkContext
     lex = lexicon(known, k) if known else {}
     tag = uuid.uuid4().hex  # workers keep their votes for one run only
-    cut = docs.select("doc_id", "text", "lang", C.name("source").alias("source")).mapInArrow(_cut(sc.broadcast(lex), k, langs, tag), "doc_id bigint, lang_no int, source string, units array<string>, lex array<int>")
+    cut = docs.select("doc_id", "text", "lang", C.name("source").alias("source")).mapInArrow(_cut(sc.broadcast(Scores(lex)), k, langs, tag), "doc_id bigint, lang_no int, source string, units array<string>, lex array<int>")
     cut = written(cut)
     run, schema = _word_sums(k, n_lang)
     cols = [*[f"s{i}" for i in range(k)], *[f"n{i}" for i in range(n_lang)]]
@@ -390,7 +406,7 @@ def unit_labels(docs: DataFrame, subjects: DataFrame, labelled: DataFrame) -> tu
     total = sums.where(~F.col("word").startswith("\x00")).agg(F.sum(times)).first()[0] or 0
     keep = sums.where((times >= F.lit(max(3.0, WORD_SHARE * total))) | F.col("word").startswith("\x00"))
     table = lifts({r[0]: np.array(r[1:]) for r in keep.collect()}, k, n_lang)
-    marked = written(cut.mapInArrow(_patterns(sc.broadcast(table), k, tag + "p"), "doc_id bigint, patterns array<int>"))
+    marked = written(cut.mapInArrow(_patterns(sc.broadcast(Scores(table)), k, tag + "p"), "doc_id bigint, patterns array<int>"))
     got = marked.select(F.explode("patterns").alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect()
     numbers, counts = np.array([r.p for r in got], np.int64), np.array([r.n for r in got], float)
     post, accuracy = learn(numbers, counts, k) if len(got) else (np.zeros((0, k + 1)), np.zeros((len(NAMES), 7)))
