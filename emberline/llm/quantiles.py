@@ -43,19 +43,20 @@ def _half_slot(n, k):
     return -(-(-(-n // k)) // 2)
 
 
-def base_sketches(df: DataFrame, keys: Sequence[str], fields: Sequence[str], k: int = K, split_rows: int = SPLIT_ROWS) -> tuple[DataFrame, int]:
+def base_sketches(df: DataFrame, keys: Sequence[str], fields: Sequence[str], k: int = K, split_rows: int = SPLIT_ROWS, counted: DataFrame | None = None) -> tuple[DataFrame, int]:
     """First-level sketches: for each combination of `keys` (null is a value like any other) and
     each field f the columns n_f, v_f, e_f (count, sorted values, rank error), plus `part`.
 
     Groups above `split_rows` rows, found by one combining count, are spread by the hash of the
     whole row over several parts of about that size, so no task gathers a hot group of different
     rows (equal rows stay together: merge copies first, as `tables.flows` does) and a task that
-    runs again spreads them alike.
-    Returns the sketches and
+    runs again spreads them alike. `counted`, with
+    the same keys, may stand in for the rows in that count if it has no fewer of any key, such
+    as the rows before repeats are merged, which costs less to count. Returns the sketches and
     the largest number of parts of a group.
     """
     rows = df.select(*keys, *[measure(f).alias(f) for f in fields], F.xxhash64(*df.columns).alias("__h")).where(F.coalesce(*fields).isNotNull())
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") > split_rows)
+    hot = (rows if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") > split_rows)
     hot = hot.select(*keys, F.ceil(F.col("c") / split_rows).cast("int").alias("parts"))
     most = hot.agg(F.max("parts")).first()[0] or 1
     if most == 1:

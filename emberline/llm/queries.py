@@ -18,8 +18,9 @@ ALIKE, LEAST_HOSTS = 0.03, 5
 
 def _sketches(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     """Sketches per device and day, flows without a time under the null day, and the most sketches of a device."""
-    flows = T.flows(T.table(spark, d, "netflow")).where("src_device IS NOT NULL").withColumn("day", C.day_of_ms("ms"))
-    base, parts = quantiles.base_sketches(flows, ["src_device", "day"], FIELDS)
+    raw = T.table(spark, d, "netflow")
+    named = lambda df: df.where("src_device IS NOT NULL").withColumn("day", C.day_of_ms("ms"))
+    base, parts = quantiles.base_sketches(named(T.flows(raw)), ["src_device", "day"], FIELDS, counted=named(T.read_flows(raw)))
     days = T.table(spark, d, "netflow").agg(F.count_distinct(C.day_of_ms(C.flow_ms("time")))).first()[0]
     return base, (days + 1) * parts
 
