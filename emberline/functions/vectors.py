@@ -70,3 +70,7 @@ def unit(a: Column) -> Column:
     """Scaled to length 1; a zero vector stays."""
     n = F.sqrt(dot(a, a))
     return F.transform(a, lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+
+
+#: Distances by name, each a builder of a column from two columns; callers may add their own.
+DISTANCES = {"l1": l1, "l2": l2, "cosine": cosine_distance, "jaccard": jaccard, "weighted_jaccard": weighted_jaccard, "levenshtein": F.levenshtein}

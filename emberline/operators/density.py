@@ -62,14 +62,8 @@ def sparse_cuts(dim: int, cuts: int, seed: int = 1) -> np.ndarray:
     return w
 
 
-def loda_scores(df: DataFrame, key: str, vec: str, cuts: Sequence[Sequence[float]], bins: int | None = None) -> DataFrame:
-    """key, score: mean over one-dimensional projections of -ln of the histogram share of the
-    row's bin (+1e-12), once more divided by the number of cuts. Bins default to floor(n/ln n),
-    at most 1,000,000, equal width over each projection's range.
-
-    One shuffle counts (cut, bin) with map-side combining; the counts come back to the rows by
-    an equi-join, and the mean per row is taken after a shuffle by key. Rows whose vector is
-    null or holds NaN have no score."""
+def _loda_rows(df: DataFrame, key: str, vec: str, cuts: Sequence[Sequence[float]], bins: int | None) -> DataFrame:
+    """key, cut, s (-ln share) of every usable row and cut."""
     n = df.count()
     bins = bins or max(1, min(1_000_000, int(n / math.log(n)) if n > 2 else 1))
     m = len(cuts)
@@ -77,11 +71,39 @@ def loda_scores(df: DataFrame, key: str, vec: str, cuts: Sequence[Sequence[float
     proj = ok.select(key, F.array(*[V.dot(F.col(vec), F.array(*[F.lit(float(x)) for x in c])) for c in cuts]).alias("p"))
     span = proj.agg(*[f(F.col("p")[i]).alias(f"{a}{i}") for i in range(m) for a, f in (("lo", F.min), ("hi", F.max))]).first()
     if span is None or span["lo0"] is None:
-        return proj.select(key, F.lit(None).cast("double").alias("score")).limit(0)
+        return proj.select(key, F.lit(0).alias("cut"), F.lit(None).cast("double").alias("s")).limit(0)
     at = [F.least(F.floor(F.coalesce(F.try_divide((F.col("p")[i] - span[f"lo{i}"]) * bins, F.lit(span[f"hi{i}"] - span[f"lo{i}"])), F.lit(0.0))), F.lit(bins - 1)).cast("int") for i in range(m)]
     rows = proj.select(key, F.posexplode(F.array(*at)).alias("cut", "bin"))
     share = rows.groupBy("cut", "bin").agg((F.count("*") / float(n) + 1e-12).alias("share"))
-    return rows.join(share, ["cut", "bin"]).groupBy(key).agg((F.sum(-F.log("share")) / (m * m)).alias("score"))
+    return rows.join(share, ["cut", "bin"]).select(key, "cut", (-F.log("share")).alias("s"))
+
+
+def loda_scores(df: DataFrame, key: str, vec: str, cuts: Sequence[Sequence[float]], bins: int | None = None) -> DataFrame:
+    """key, score: mean over one-dimensional projections of -ln of the histogram share of the
+    row's bin (+1e-12), once more divided by the number of cuts. Bins default to floor(n/ln n),
+    at most 1,000,000, equal width over each projection's range.
+
+    One shuffle counts (cut, bin) with map-side combining; the counts come back to the rows by
+    an equi-join, and the mean per row is taken after a shuffle by key. Rows whose vector is
+    null or holds NaN have no score."""
+    return _loda_rows(df, key, vec, cuts, bins).groupBy(key).agg((F.sum("s") / (len(cuts) ** 2)).alias("score"))
+
+
+def loda_explain(df: DataFrame, key: str, vec: str, cuts: Sequence[Sequence[float]], bins: int | None = None) -> DataFrame:
+    """key, feature, t: Welch's t between the scores of the cuts that use a feature and of those
+    that don't; large where the feature makes the row stand out. Null with fewer than two cuts on a side."""
+    rows = _loda_rows(df, key, vec, cuts, bins)
+    dim = len(cuts[0])
+    aggs = []
+    for j in range(dim):
+        use = [i for i, c in enumerate(cuts) if c[j]]
+        for side, cond in (("a", F.col("cut").isin(use) if use else F.lit(False)), ("b", ~F.col("cut").isin(use) if use else F.lit(True))):
+            v = F.when(cond, F.col("s"))
+            aggs += [F.count(v).alias(f"n{side}{j}"), F.avg(v).alias(f"m{side}{j}"), F.var_samp(v).alias(f"v{side}{j}")]
+    one = rows.groupBy(key).agg(*aggs)
+    t = [F.struct(F.lit(j).alias("feature"), F.try_divide(F.col(f"ma{j}") - F.col(f"mb{j}"), F.sqrt(F.col(f"va{j}") / F.col(f"na{j}") + F.col(f"vb{j}") / F.col(f"nb{j}"))).alias("t")) for j in range(dim)]
+    t = [F.when((F.col(f"na{j}") > 1) & (F.col(f"nb{j}") > 1), x).otherwise(F.struct(F.lit(j).alias("feature"), F.lit(None).cast("double").alias("t"))) for j, x in enumerate(t)]
+    return one.select(key, F.inline(F.array(*t)))
 
 
 def fastmap(dl: Column, dr: Column, d: Column) -> Column:

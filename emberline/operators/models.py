@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -52,6 +53,15 @@ def largest_clusters(df: DataFrame, cols: Sequence[str], k: int, keep: int, seed
     return data.withColumn("cluster", F.array_min(F.array(*dist))["c"]).drop("features")
 
 
+def sweep(df: DataFrame, cols: Sequence[str], ks: Sequence[int], seed: int = 1) -> list[tuple[int, float, float]]:
+    """(k, inertia, silhouette by squared distance) for each number of clusters."""
+    out = []
+    for k in ks:
+        rows, inertia = kmeans(df, cols, k, seed)
+        out.append((k, inertia, ClusteringEvaluator(featuresCol="features").evaluate(rows)))
+    return out
+
+
 def boosted_trees(df: DataFrame, cols: Sequence[str], label: str, depth: int = 5, rounds: int = 20, seed: int = 1):
     """Gradient-boosted trees for a 0/1 label."""
     return GBTClassifier(labelCol=label, maxDepth=depth, maxIter=rounds, seed=seed).fit(assembled(df, cols))

@@ -100,6 +100,17 @@ def project_rename(s, d):
     return out.withColumn("_time", F.col("_time").cast("timestamp_ntz"))
 
 
+@query("SELECT CAST(EventID AS VARCHAR) AS EventID, description, category AS snapshot FROM event_types")
+def snapshot_scan(s, d):
+    """Event types as columnar plugin files, one folder per category, and back."""
+    p = scratch(s)
+    t = T.table(s, d, "event_types").groupBy("category").agg(F.collect_list(F.array(F.col("EventID").cast("string"), F.lit("x"), F.col("description"))).alias("data"))
+    text = F.to_json(F.struct(F.lit("types").alias("plugin"), F.array(F.lit("EventID"), F.lit("Skipped"), F.lit("description")).alias("titles"), "data", F.size("data").cast("bigint").alias("count")))
+    t.select(text.alias("value"), "category").write.partitionBy("category").option("compression", "none").text(p)
+    raw = s.read.schema(readers.SNAPSHOT_SCHEMA).option("recursiveFileLookup", True).json(p).select("*", F.col("_metadata.file_path").alias("file"))
+    return readers.snapshot_rows(raw, ["EventID", "description"]).select("EventID", "description", F.regexp_extract("snapshot", "category=(.*)", 1).alias("snapshot"))
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1")
 def stream_files(s, d):
     from emberline.streaming import pipelines as P
@@ -508,6 +519,28 @@ def flow_profile(s, d):
     return FL(s, d).where("src_device IS NOT NULL").groupBy("src_device").agg(F.count("*").alias("n_flows"), *[zero(p == v).alias(f"n_{k}") for k, v in _PROTO.items()], zero(~p.isin(1, 2, 6, 17)).alias("n_other"), zero(F.col("DstPort").between(0, 1023)).alias("n_system"), *[g for c, n in (("SrcBytes", "bytes"), ("SrcPackets", "packets")) for g in (F.round(F.avg(c), 3).alias(f"mean_{n}"), F.max(c).alias(f"max_{n}"))])
 
 
+_ASSET = {"n_flows": "count(*)", **{f"n_{k}": f"nullif(count(*) FILTER (WHERE Protocol = {v}), 0)" for k, v in {"tcp": 6, "udp": 17, "icmp": 1}.items()}, "system_ports": "nullif(count(*) FILTER (WHERE DstPort BETWEEN 0 AND 1023), 0)", "user_ports": "nullif(count(*) FILTER (WHERE DstPort BETWEEN 1024 AND 49151), 0)", "dynamic_ports": "nullif(count(*) FILTER (WHERE DstPort BETWEEN 49152 AND 65535), 0)", **{f"service_{n}": f"nullif(count(*) FILTER (WHERE SrcPort IN ({', '.join(map(str, p))}) OR DstPort IN ({', '.join(map(str, p))})), 0)" for n, p in SERVICES.items()}, "n_peers": "count(DISTINCT dst)", "mean_bytes": "round(avg(SrcBytes), 3)", "max_bytes": "max(SrcBytes)", "mean_packets": "round(avg(SrcPackets), 3)", "max_packets": "max(SrcPackets)"}
+
+
+@query(f"WITH {FSQL}, a AS (SELECT src AS src_device, {', '.join(f'{v} AS {k}' for k, v in _ASSET.items())} FROM f WHERE src IS NOT NULL GROUP BY 1), h AS (SELECT nullif(lower(trim(LogHost)), '') AS src_device, max(UserName_cnt) AS users, max(total_logins_cnt) AS logins FROM host_aggregates GROUP BY 1), m AS (SELECT src AS src_device, DstPort AS top_port FROM (SELECT src, DstPort, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, DstPort) AS i FROM f WHERE src IS NOT NULL AND DstPort IS NOT NULL GROUP BY 1, 2) WHERE i = 1) SELECT a.*, top_port, users, logins, CASE WHEN a.src_device LIKE 'ws-%' OR a.src_device LIKE 'lap-%' THEN 1 END AS is_client, CASE WHEN a.src_device LIKE 'srv-%' THEN 1 END AS is_server FROM a LEFT JOIN m USING (src_device) LEFT JOIN h USING (src_device)")
+def asset_profile(s, d):
+    """The wide profile of each source device: traffic, ports, services, peers, enrichment and flags."""
+    f = FL(s, d).where("src_device IS NOT NULL")
+    zero = lambda c: F.nullif(C.count_if(c), F.lit(0))
+    pt = F.col("DstPort")
+    cols = [F.count("*").alias("n_flows"), *[zero(F.col("Protocol") == v).alias(f"n_{k}") for k, v in _PROTO.items()]]
+    cols += [zero(pt.between(a, b)).alias(n) for n, a, b in (("system_ports", 0, 1023), ("user_ports", 1024, 49151), ("dynamic_ports", 49152, 65535))]
+    cols += [zero(F.col("SrcPort").isin(p) | pt.isin(p)).alias(f"service_{n}") for n, p in SERVICES.items()]
+    cols += [g for c, n in (("SrcBytes", "bytes"), ("SrcPackets", "packets")) for g in (F.round(F.avg(c), 3).alias(f"mean_{n}"), F.max(c).alias(f"max_{n}"))]
+    wide = f.groupBy("src_device").agg(*cols)
+    peers = f.select("src_device", "dst_device").where("dst_device IS NOT NULL").distinct().groupBy("src_device").agg(F.count("*").alias("n_peers"))
+    top = statistics.modes(f, "src_device", "DstPort").select("src_device", F.col("mode").alias("top_port"))
+    h = T.table(s, d, "host_aggregates").groupBy(C.name("LogHost").alias("src_device")).agg(F.max("UserName_cnt").alias("users"), F.max("total_logins_cnt").alias("logins"))
+    n = F.col("src_device")
+    out = wide.join(peers, "src_device", "left").na.fill(0, ["n_peers"]).join(top, "src_device", "left").join(h, "src_device", "left")
+    return out.withColumns({"is_client": F.when(n.startswith("ws-") | n.startswith("lap-"), 1), "is_server": F.when(n.startswith("srv-"), 1)})
+
+
 @query("SELECT c_mktsegment AS segment, c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1, 2")
 def crosstab(s, d):
     return statistics.crosstab(T.table(s, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")), "segment", "nation")

@@ -233,6 +233,12 @@ def loda_score(s, d):
     return density.loda_scores(v, "vec_id", "v", _CUTS).withColumn("score", F.round("score", 5))
 
 
+@query()
+def loda_explain(s, d):
+    v = T.table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v"))
+    return density.loda_explain(v, "vec_id", "v", density.sparse_cuts(8, 16).tolist())
+
+
 @query("WITH p AS (SELECT vec_id, embedding FROM embeddings), l AS (SELECT arg_min(embedding, vec_id) AS l, arg_max(embedding, vec_id) AS r FROM p), d AS (SELECT vec_id, sqrt(list_sum(list_transform(list_zip(embedding, l), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dl, sqrt(list_sum(list_transform(list_zip(embedding, r), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dr, sqrt(list_sum(list_transform(list_zip(l, r), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dd FROM p, l) SELECT vec_id, round((dl * dl + dd * dd - dr * dr) / (2 * dd), 4) AS x0 FROM d")
 def fastmap_project(s, d):
     v = T.table(s, d, "embeddings").select("vec_id", "embedding")
@@ -449,6 +455,12 @@ def negative_edges(s, d):
 _HF = ["UserName_cnt", "DomainName_cnt", "Source_cnt", "total_logins_cnt", "accnt_fail_logon_cnt", "total_logoff_cnt", "spl_pvlgs", "logon_type_2", "logon_type_3", "logon_type_5", "logon_type_10"]
 
 
+@query()
+def kmeans_sweep(s, d):
+    h = T.table(s, d, "host_aggregates").select(*_HF)
+    return s.createDataFrame([(k, float(i), float(q)) for k, i, q in models.sweep(h, _HF, [2, 4, 8])], "k int, inertia double, silhouette double")
+
+
 @query()
 def pca_hosts(s, d):
     from pyspark.ml.functions import vector_to_array

@@ -52,7 +52,8 @@ def sign_in_columns(df: DataFrame, prefix: str = "properties.", names: dict[str,
     return out.withColumn("day", F.dayofyear("_time"))
 
 
-def _snapshot_rows(raw: DataFrame, columns: list[str]) -> DataFrame:
+def snapshot_rows(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of columnar JSON records (SNAPSHOT_SCHEMA and `file`), see `snapshots`."""
     titles = F.when(F.col("plugin") == "vadinfo", F.array_remove("titles", "SHA256")).otherwise(F.col("titles"))
     rows = raw.withColumn("titles", titles).withColumn("row", F.explode("data"))
     at = lambda c: F.try_element_at("row", F.nullif(F.array_position("titles", c).cast("int"), F.lit(0)))
@@ -65,7 +66,7 @@ def snapshots(spark: SparkSession, path: str, columns: list[str], plugins: list[
     has no such title), plugin, snapshot (the file's folder) and file_time. Unreadable files are skipped."""
     raw = spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("ignoreCorruptFiles", True).json(path)
     raw = raw.select("*", F.col("_metadata.file_path").alias("file")).where("data IS NOT NULL")
-    return _snapshot_rows(raw.where(F.col("plugin").isin(plugins)) if plugins else raw, columns)
+    return snapshot_rows(raw.where(F.col("plugin").isin(plugins)) if plugins else raw, columns)
 
 
 def replay(df: DataFrame, batches: int, per_batch: int, key: str, seed: int = 13) -> DataFrame:

@@ -230,3 +230,30 @@ def test_stores(spark, frame, tmp_path):
     arr = tmp_path / "a.json"
     arr.write_text('[{"a": {"b": 1}}, {"a": null}]')
     assert sorted(one(predicates.flatten(readers.json_array(spark, str(arr)))), key=str) == [(1,), (None,)]
+
+
+def test_stages(frame):
+    import pytest
+
+    from emberline.operators.stages import REGISTRY, stage
+
+    @stage("double_it", ["a"], ["b"])
+    def double_it(df):
+        return df.withColumn("b", F.col("a") * 2)
+
+    assert one(REGISTRY["double_it"]().transform(frame([(2,)], "a int"))) == [(2, 4)]
+    with pytest.raises(ValueError, match="missing"):
+        double_it().transform(frame([(2,)], "x int"))
+
+
+def test_loda_explains_the_odd_feature(frame):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(300)] + [(999, [0.0, 0.0, 12.0, 0.0])]
+    t = {r.feature: r.t for r in density.loda_explain(frame(rows, "id int, v array<double>"), "id", "v", density.sparse_cuts(4, 40).tolist(), 20).where("id = 999").collect()}
+    assert max(t, key=lambda j: t[j] or 0) == 2
+
+
+def test_distance_registry(frame):
+    df = frame([([1.0, 0.0], [0.0, 1.0])], "a array<double>, b array<double>")
+    got = {n: df.select(f(F.col("a"), F.col("b"))).first()[0] for n, f in V.DISTANCES.items() if n in ("l1", "l2", "cosine")}
+    assert got == {"l1": 2.0, "l2": math.sqrt(2), "cosine": math.sqrt(2)}
