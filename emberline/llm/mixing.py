@@ -7,7 +7,9 @@ number of documents and the number of tokens: three undecided documents at a tim
 the null space of the two constraints until one of them is decided (flight). Blocks of
 documents fly in parallel and each leaves at most two undecided; these fly again in fewer
 blocks, until one block per source is left with at most two documents, the landing problem,
-which is settled by the choice that misses the token total least.
+which is settled by the choice that misses the token total least. A long document left over
+may still miss it by half its length; documents of the source's first block are then taken in
+or out, the longest that fit first, until the total is met to within a short document.
 """
 
 from __future__ import annotations
@@ -106,6 +108,31 @@ def _fly(seed: int, last: bool):
     return run
 
 
+def repair(chosen: list[bool], size: list[int], excess: float) -> list[bool]:
+    """`chosen` with documents taken out (excess above 0) or in (below), in the given order as
+    long as they fit into what is left, then one more if that comes nearer."""
+    out, left = list(chosen), abs(excess)
+    state = excess > 0
+    order = sorted((i for i, c in enumerate(chosen) if c == state and size[i] > 0), key=lambda i: -size[i])
+    for i in order:
+        if size[i] <= left:
+            out[i] = not state
+            left -= size[i]
+    rest = [i for i in order if out[i] == state]
+    if rest and abs(left - size[rest[-1]]) < left:
+        out[rest[-1]] = not state
+    return out
+
+
+def _repair(excess: Mapping[str, float]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", ignore_index=True)
+        got = repair((pdf["prob"] == 1).tolist(), pdf["n_tokens"].tolist(), excess[pdf["source"].iloc[0]])
+        return pdf.assign(prob=np.array(got, float))
+
+    return run
+
+
 def balanced_sample(docs: DataFrame, rows: Mapping[str, int], seed: int = 7, block: int = BLOCK) -> DataFrame:
     """Decides the inclusion probabilities of `docs` (doc_id, source, n_tokens, prob).
 
@@ -134,7 +161,14 @@ def balanced_sample(docs: DataFrame, rows: Mapping[str, int], seed: int = 7, blo
     got = out[0]
     for d in out[1:]:
         got = got.union(d)
-    return got.select("doc_id", "source", "n_tokens", "prob")
+    got = got.select("doc_id", "source", "n_tokens", "prob")
+    total = lambda df: {r.source: r.t for r in df.groupBy("source").agg(F.sum(F.col("prob") * F.col("n_tokens")).alias("t")).collect()}
+    goal, have = total(docs), total(got)
+    excess = {s: have[s] - goal[s] for s in have}
+    sizes = spark.createDataFrame([(s, max(1, math.ceil(n / block))) for s, n in rows.items()], "source string, blocks int")  # as long as the list of sources
+    at = got.join(F.broadcast(sizes), "source").withColumn("first", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")) == 0).select("doc_id", "source", "n_tokens", "prob", "first")
+    fixed = at.where("first").drop("first").groupBy("source").applyInPandas(_repair(excess), "doc_id bigint, source string, n_tokens bigint, prob double")
+    return at.where("NOT first").drop("first").unionByName(fixed)
 
 
 def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7) -> tuple[DataFrame, list[dict]]:

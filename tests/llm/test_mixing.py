@@ -20,6 +20,13 @@ def test_flight_is_unbiased():
     assert np.abs(mean - 0.5).max() < 0.04
 
 
+def test_repair():
+    assert M.repair([True, True, False], [100, 30, 7], 31.0) == [True, False, False]
+    assert M.repair([True, False, False], [100, 30, 7], -36.0) == [True, True, True]
+    assert M.repair([True, False], [100, 30], -10.0) == [True, False] and M.repair([False, False], [0, 30], -16.0) == [False, True]
+    assert M.repair([], [], 5.0) == []
+
+
 def test_sizes_with_caps():
     assert M.mixture_size({"a": 100, "b": 10}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}) == {"a": 20.0, "b": 20.0}
     assert M.mixture_size({"a": 100, "b": 10}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 2}, 100) == {"a": 80.0, "b": 20.0}
@@ -41,7 +48,7 @@ def test_mixture(spark):
     for s, share in (("big", 0.5 / 0.9), ("small", 0.2 / 0.9), ("mid", 0.2 / 0.9)):
         got = sum(r.copies * r.n_tokens for r in rows if r.source == s)
         goal = next(x["goal_tokens"] for x in report if x["source"] == s)
-        assert abs(got - goal) <= 3_000 and abs(got / total - share) < 0.01
+        assert abs(got - goal) <= 5 and abs(got / total - share) < 1e-3
     again = {(r.doc_id, r.copies) for r in M.mix(df.repartition(9), targets)[0].collect()}
     assert again == {(r.doc_id, r.copies) for r in rows}
 
@@ -51,7 +58,7 @@ def test_blocks_and_edges(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint").withColumn("prob", __import__("pyspark").sql.functions.lit(0.3))
     got = M.balanced_sample(df, {"s": 900}, block=50).collect()
     assert len(got) == 900 and {r.prob for r in got} == {0.0, 1.0}
-    assert abs(sum(r.prob for r in got) - 270) <= 2 and abs(sum(r.prob * r.n_tokens for r in got) - 0.3 * sum(n for _, _, n in docs)) <= 30
+    assert abs(sum(r.prob for r in got) - 270) <= 3 and abs(sum(r.prob * r.n_tokens for r in got) - 0.3 * sum(n for _, _, n in docs)) <= 9
     targets = spark.createDataFrame([("s", 1.0, 2)], "source string, target_share double, max_repeats int")
     empty = spark.createDataFrame([], "doc_id bigint, source string, n_tokens bigint")
     assert M.mix(empty, targets)[0].count() == 0 and M.mix(empty, targets.limit(0))[0].count() == 0
