@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.operators.sequences import numbered
+
 
 def full_outer_add(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Values of both sides added by key, an absent side counting as 0. One aggregation over
@@ -68,11 +70,13 @@ def universe(*columns: DataFrame) -> DataFrame:
 
 def triplets(df: DataFrame, key: str, label: str, seed: int = 11) -> DataFrame:
     """anchor, positive, negative for each row: the next row of its label and the next row of
-    another label in a seeded order. Needs no pairing of all rows: each label's rows are ranked,
-    and the partner ranks are joined by equality."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    ranked = df.select(key, label).withColumn("r", F.row_number().over(w))
-    size = ranked.groupBy(label).agg(F.max("r").alias("n"))
+    another label in a seeded order. Needs no pairing of all rows: rows are ranked within their
+    label over range partitions, and the partner ranks are joined by equality. Rows without a
+    label are left out; a label of one row is its own positive."""
+    rows = numbered(df.select(key, label).where(F.col(label).isNotNull()).withColumn("h", F.xxhash64(key, F.lit(seed))), [label, "h", key])
+    size = rows.groupBy(label).agg(F.min("rn").alias("start"), F.count("*").alias("n"))
+    ranked = rows.join(size.select(label, "start"), label).select(key, label, (F.col("rn") - F.col("start") + 1).alias("r"))
+    size = size.select(label, "n")
     labels = size.withColumn("i", F.row_number().over(Window.orderBy(label)))
     m = labels.agg(F.max("i").alias("m"))
     pick = labels.crossJoin(F.broadcast(m)).select(label, "n", (F.col("i") % F.col("m") + 1).alias("i2"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.operators.sequences import numbered
+
 
 def stratified(df: DataFrame, group: str, per_group: int, order: Sequence[Column | str]) -> DataFrame:
     """The first `per_group` rows of each group by `order`; the rank limit is applied before
@@ -16,13 +18,12 @@ def stratified(df: DataFrame, group: str, per_group: int, order: Sequence[Column
 
 
 def under_sample(df: DataFrame, positive: Column, ratio: float, key: str, seed: int = 5) -> DataFrame:
-    """All positive rows and floor(positives/ratio) of the others, at most all of them, by hash of the key.
-
-    Others below a hash bound are taken; only the rows at the bound need a global order."""
+    """All positive rows and floor(positives/ratio) of the others, at most all of them, by hash of
+    the key. The others are numbered over range partitions, so no task gathers the sample."""
     n = df.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q")).first()
     take = min(n.q, int(n.p / ratio)) if ratio else n.q
-    rest = df.where(~positive).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(take)
-    return df.where(positive).unionByName(rest)
+    rest = numbered(df.where(~positive).withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), ["__h", key], "__rn")
+    return df.where(positive).unionByName(rest.where(F.col("__rn") < take).drop("__h", "__rn"))
 
 
 def class_split(df: DataFrame, label: str, cap: int, train: float, key: str) -> DataFrame:
