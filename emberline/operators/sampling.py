@@ -27,11 +27,18 @@ def under_sample(df: DataFrame, positive: Column, ratio: float, key: str, seed:
 
 
 def class_split(df: DataFrame, label: str, cap: int, train: float, key: str) -> DataFrame:
-    """At most `cap` rows of each class by key, the first `train` share of them marked train."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(key))
-    kept = df.withColumn("__r", rank).where(F.col("__r") <= cap)
-    n = kept.groupBy(label).agg(F.max("__r").alias("__n"))
-    return kept.join(n, label).withColumn("part", F.when(F.col("__r") <= F.floor(F.col("__n") * train), "train").otherwise("test")).drop("__r", "__n")
+    """Every row with part: of each class the first floor(train * least(n, cap)) rows by key are
+    train, all others test. `cap` bounds the training part of a class, it drops nothing.
+
+    The key is unique within a class; rows without a label are a class. Only a class's first
+    `cap` keys are ranked (the rank limit is applied before the shuffle as well), and its last
+    training key comes back to the rows by a broadcast of one row per class."""
+    size = df.groupBy(F.col(label).alias("__c")).agg(F.count("*").alias("__n"))
+    rank = F.row_number().over(Window.partitionBy("__c").orderBy("__k"))
+    first = df.select(F.col(label).alias("__c"), F.struct(key).alias("__k")).withColumn("__r", rank).where(F.col("__r") <= cap)
+    last = first.join(F.broadcast(size.withColumnRenamed("__c", "__d")), F.col("__c").eqNullSafe(F.col("__d"))).where(F.col("__r") <= F.floor(F.least("__n", F.lit(cap)) * train)).groupBy("__c").agg(F.max("__k").alias("__last"))
+    part = F.when(F.struct(key) <= F.col("__last"), "train").otherwise("test")
+    return df.join(F.broadcast(last), F.col(label).eqNullSafe(F.col("__c")), "left").withColumn("part", part).select(*df.columns, "part")
 
 
 def dedup_negatives(df: DataFrame, positive: Column, subset: Sequence[str], key: str) -> DataFrame:

@@ -709,7 +709,7 @@ def under_sample(s, d):
 
 @query("WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), k AS (SELECT *, max(i) OVER (PARTITION BY event_type) AS n FROM r WHERE i <= 1000) SELECT event_id, event_type, CASE WHEN i <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM k")
 def class_split(s, d):
-    return sampling.class_split(T.table(s, d, "events").select("event_id", "event_type"), "event_type", 1000, 0.8, "event_id")
+    return sampling.class_split(T.table(s, d, "events").select("event_id", "event_type"), "event_type", 10_000, 0.8, "event_id")
 
 
 @query(WE + "SELECT event_id FROM e WHERE event_type = 'error' UNION ALL SELECT min(event_id) FROM e WHERE event_type <> 'error' GROUP BY user_id, event_type, k")
