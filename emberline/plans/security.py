@@ -210,7 +210,7 @@ _KDE = """WITH v AS (SELECT lower(lang) AS lang, CAST(n_chars AS DOUBLE) AS v FR
 
 
 def _lengths(s, d):
-    return T.table(s, d, "documents").where("lang IS NOT NULL AND n_chars < 3000").select(F.lower("lang").alias("lang"), "n_chars")
+    return T.table(s, d, "documents").where("lang IS NOT NULL").select(F.lower("lang").alias("lang"), "n_chars")
 
 
 @query(_KDE + " SELECT lang, i, round(x, 3) AS x, round(density * 1000, 5) AS density FROM k")

@@ -2,8 +2,13 @@
 
 import math
 import random
+from statistics import stdev
 
-from emberline.operators import sampling
+import pytest
+from conftest import DATA
+
+from emberline.operators import density, sampling
+from emberline.plans import registry
 
 
 def test_class_split_keeps_every_row(frame):
@@ -13,3 +18,41 @@ def test_class_split_keeps_every_row(frame):
     assert len(got) == len(rows)
     train = {k for k, p in got.items() if p == "train"}
     assert train == {*range(16), *range(100, 105), *range(200, 203)}
+
+
+def gauss_grid(values, points=50):
+    """Exact densities on the grid, every value by itself."""
+    lo, hi, n = min(values), max(values), len(values)
+    h = (4 * stdev(values) ** 5 / (3 * n)) ** 0.2
+    xs = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
+    return xs, [sum(math.exp(-(((x - v) / h) ** 2) / 2) for v in values) / (n * h * math.sqrt(2 * math.pi)) for x in xs]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_kde_covers_documents_of_any_length(spark):
+    folder = str(DATA / "sf0.001")
+    lengths = {}
+    for r in spark.read.parquet(folder + "/documents.parquet").where("lang IS NOT NULL AND n_chars IS NOT NULL").collect():
+        lengths.setdefault(r.lang.lower(), []).append(float(r.n_chars))
+    assert max(map(max, lengths.values())) > 3000
+    grid = {(r.lang, r.i): (r.x, r.density) for r in registry.queries()["kde_grid"](spark, folder).collect()}
+    kinds = {(r.lang, r.i): r.kind for r in registry.queries()["kde_extrema"](spark, folder).collect()}
+    want, places = {}, {}
+    for g, v in lengths.items():
+        xs, ys = gauss_grid(v) if min(v) < max(v) else ([v[0]], [1.0])
+        want |= {(g, i): (x, y * 1000) for i, (x, y) in enumerate(zip(xs, ys))}
+        places |= {(g, i): "min" for i in range(1, len(ys) - 1) if ys[i] <= ys[i - 1] and ys[i] < ys[i + 1]}
+        places |= {(g, i): "max" for i in range(1, len(ys) - 1) if ys[i] >= ys[i - 1] and ys[i] > ys[i + 1]} | ({(g, 0): "max"} if len(ys) == 1 else {})
+    assert grid.keys() == want.keys()
+    assert all(grid[k] == pytest.approx(want[k], rel=1e-6, abs=1e-3) for k in want)
+    assert kinds == places
+
+
+def test_kde_in_bins_is_close_to_brute_force(frame):
+    rng = random.Random(2)
+    values = [float(int(rng.lognormvariate(7, 1))) + i / 10_000 for i, _ in enumerate(range(6_000))]
+    assert len(set(values)) > density.BINS
+    got = {r.i: (r.x, r.density) for r in density.kde_grid(frame([("g", v) for v in values], "g string, v double"), "g", "v").collect()}
+    xs, ys = gauss_grid(values)
+    top = max(ys)
+    assert [got[i][0] for i in range(50)] == pytest.approx(xs) and all(abs(got[i][1] - y) < 1e-3 * top for i, y in enumerate(ys))
