@@ -155,7 +155,7 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int,
     between square centres, so a distance may be off by at most eps/parts. A square is core if
     the squares within eps hold `min_points` rows. Neighbouring squares are found by an
     equi-join on coarse cells; a dense spot is one square however many rows it holds, so no
-    pairs of rows are ever made. Components spread by least label with pointer jumping."""
+    pairs of rows are ever made. Components are merged until nothing changes."""
     side = eps / (parts * math.sqrt(2))
     reach = math.ceil(eps / side)
     rows = df.select(key, F.floor(C.finite(x) / side).alias("i"), F.floor(C.finite(y) / side).alias("j")).where("i IS NOT NULL AND j IS NOT NULL")
@@ -176,16 +176,30 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int,
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """id, label: the least id of each connected component. Each round takes the least label
-    among the neighbours and then the label of that label; it ends when nothing changes."""
+    """id, label: the least id of each connected component; ends when nothing changes.
+
+    In each round every label with a neighbour is hooked onto its least neighbour (of two that
+    chose each other the lesser stays), the chains are jumped down to their roots, and the
+    edges are drawn anew between the roots, repeats and loops dropped. A label that has an
+    edge never stays alone, so each round at least halves them: `rounds` is enough for
+    2^rounds nodes, and when it is hit all the same it raises. Edges count in both directions."""
     label = nodes.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
-        seen = edges.join(label.toDF("other", "l"), "other").groupBy("id").agg(F.min("l").alias("l"))
-        one = label.join(seen, "id", "left").select("id", F.least("label", F.coalesce("l", "label")).alias("label"), F.col("label").alias("old"))
-        jump = one.join(one.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left")
-        new = written(jump.select("id", F.least("label", F.coalesce("up", "label")).alias("label"), "old"))
-        changed = not new.where("label <> old").isEmpty()
-        label = new.select("id", "label")
-        if not changed:
-            break
-    return label
+    ends = edges.where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    ends = written(ends.withColumn("e", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).select("e.*"))
+    for done in range(rounds + 1):
+        if ends.isEmpty():
+            least = label.groupBy("label").agg(F.min("id").alias("least"))
+            return label.join(least, "label").select("id", F.col("least").alias("label"))
+        if done == rounds:
+            raise RuntimeError(f"components: labels still change after {rounds} rounds")
+        hook = ends.groupBy("a").agg(F.min("b").alias("b"))
+        mutual = hook.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        up = written(hook.join(mutual, "b").select("a", F.when((F.col("c") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("b")))
+        while True:
+            jump = written(up.join(up.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"), (F.col("b") != F.col("c")).alias("moved")))
+            up = jump.select("a", "b")
+            if jump.where("moved").isEmpty():
+                break
+        label = written(label.join(up, F.col("label") == F.col("a"), "left").select("id", F.coalesce("b", "label").alias("label")))
+        root = lambda c: up.select(F.col("a").alias(c), F.col("b").alias(f"{c}_up"))  # noqa: B023, E731
+        ends = written(ends.join(root("a"), "a").join(root("b"), "b").where("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct())

@@ -56,3 +56,31 @@ def test_kde_in_bins_is_close_to_brute_force(frame):
     xs, ys = gauss_grid(values)
     top = max(ys)
     assert [got[i][0] for i in range(50)] == pytest.approx(xs) and all(abs(got[i][1] - y) < 1e-3 * top for i, y in enumerate(ys))
+
+
+def snake(rows, wide):
+    """Squares of a winding path, neighbours in a row one after the other."""
+    out = []
+    for r in range(rows):
+        line = [(i, 2 * r) for i in range(wide)]
+        out += (line if r % 2 == 0 else line[::-1]) + ([((wide - 1) * (r % 2 == 0), 2 * r + 1)] if r < rows - 1 else [])
+    return out
+
+
+@pytest.mark.parametrize("names", ["places", "shuffled"])
+def test_components_of_a_winding_path_are_one(frame, names):
+    path = snake(12, 30)
+    ids = [f"{i},{j}" for i, j in path]
+    if names == "shuffled":
+        random.Random(3).shuffle(ids)
+    far = [f"x{i}" for i in range(3)]  # a triangle, and a node without an edge
+    pairs = [*zip(ids, ids[1:]), *zip(far, far[1:] + far[:1])]
+    edges = frame([p for a, b in pairs for p in ((a, b), (b, a))], "id string, other string")
+    got = {r.id: r.label for r in density.components(frame([(x,) for x in [*ids, *far, "y"]], "id string"), edges, 12).collect()}
+    assert got == {x: min(ids) for x in ids} | {x: "x0" for x in far} | {"y": "y"}
+
+
+def test_components_raise_at_the_bound(frame):
+    edges = frame([("a", "b"), ("b", "a")], "id string, other string")
+    with pytest.raises(RuntimeError, match="still change"):
+        density.components(frame([("a",), ("b",)], "id string"), edges, 0).collect()
