@@ -116,15 +116,30 @@ def residual(distance: Column, a: Column, b: Column) -> Column:
     return F.sqrt(F.greatest(distance * distance - (a - b) * (a - b), F.lit(0.0)))
 
 
+def _set_distance(a: Column, b: Column) -> Column:
+    """V.jaccard for arrays without repeats: the union's size comes from the two sizes."""
+    share = lambda both: 1 - F.coalesce(F.try_divide(both, (F.size(a) + F.size(b) - both).cast("double")), F.lit(1.0))
+    return F.transform(F.array(F.size(F.array_intersect(a, b))), share)[0]  # the intersection is made once
+
+
+def _shingle_ids(c: Column, k: int) -> Column:
+    """X.shingles as 64-bit hashes, cut by one pass of a pattern, so that time is linear in the text."""
+    cut = F.when(F.length(c) > k, F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))).otherwise(X.characters(c))
+    return F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x)))
+
+
 def fit_pivots(df: DataFrame, group: str, key: str, features: str, iters: int = 5) -> DataFrame:
     """group, l, r, d: for each group two far-apart members by repeatedly going to the member
     farthest from the last one (ties by key). All groups share each round's aggregation;
-    `max_by` combines before the shuffle, and only one row per group comes out of a round."""
+    `max_by` combines before the shuffle, and only one row per group comes out of a round and
+    is broadcast to the next. `features` are arrays without repeats."""
     far = written(df.groupBy(group).agg(F.min_by(features, F.xxhash64(key)).alias("r")).withColumn("l", F.col("r")))
     for _ in range(iters):
-        j = df.join(far.select(group, "r"), group)
-        far = written(j.groupBy(group).agg(F.first("r").alias("l"), F.max_by(features, F.struct(V.jaccard(F.col(features), F.col("r")).alias("d"), F.col(key).alias("k"))).alias("r")))
-    return far.withColumn("d", V.jaccard(F.col("l"), F.col("r")))
+        # the distance is a column of its own, so it is taken once a row and the pivot goes no further
+        j = df.join(F.broadcast(far.select(group, "r")), group).select(group, features, F.struct(_set_distance(F.col(features), F.col("r")).alias("d"), F.col(key).alias("k")).alias("o"))
+        to = j.groupBy(group).agg(F.max_by(features, "o").alias("to"))
+        far = written(to.join(far, group).select(group, F.col("r").alias("l"), F.col("to").alias("r")))
+    return far.withColumn("d", _set_distance(F.col("l"), F.col("r")))
 
 
 def string_groups(df: DataFrame, key: str, text: str, shingle: int = 4, iters: int = 5, points: int = 200) -> DataFrame:
@@ -137,9 +152,9 @@ def string_groups(df: DataFrame, key: str, text: str, shingle: int = 4, iters: i
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("s")).where("s IS NOT NULL AND s <> ''").withColumn("len", F.length("s")).withColumn("one", F.lit(1))
     cuts = [r.x for r in extrema(kde_grid(rows, "one", "len", points), "one").where("kind = 'min'").orderBy("x").collect()]  # at most half the grid
     part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c < F.col("len"))) if cuts else F.lit(0)
-    rows = written(rows.select("key", "s", part.alias("part"), X.shingles(F.col("s"), shingle).alias("f")))
+    rows = written(rows.select("key", "s", part.alias("part"), _shingle_ids(F.col("s"), shingle).alias("f")))
     pivots = fit_pivots(rows, "part", "key", "f", iters)
-    placed = written(rows.join(pivots, "part").select("key", "s", "part", fastmap(V.jaccard(F.col("f"), F.col("l")), V.jaccard(F.col("f"), F.col("r")), F.col("d")).alias("x0")))
+    placed = written(rows.join(F.broadcast(pivots), "part").select("key", "s", "part", "d", _set_distance(F.col("f"), F.col("l")).alias("dl"), _set_distance(F.col("f"), F.col("r")).alias("dr")).select("key", "s", "part", fastmap(F.col("dl"), F.col("dr"), F.col("d")).alias("x0")))
     top = extrema(kde_grid(placed, "part", "x0", points), "part").where("kind = 'max'").groupBy("part").agg(F.sort_array(F.collect_list("x")).alias("tops"))
     near = F.array_min(F.transform("tops", lambda t, i: F.struct(F.abs(t - F.col("x0")).alias("d"), i.alias("i"))))
     got = placed.join(top, "part", "left").withColumn("b", F.coalesce(near, F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("i"))))

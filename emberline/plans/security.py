@@ -250,8 +250,7 @@ def fastmap_project(s, d):
 
 @query()
 def srg_label(s, d):
-    words = T.table(s, d, "event_types").select(F.col("EventID").alias("id"), "description")
-    return density.string_groups(words, "id", "description")
+    return density.string_groups(T.table(s, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @query()

@@ -6,7 +6,10 @@ from statistics import stdev
 
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
+from emberline.functions import text as X
+from emberline.functions import vectors as V
 from emberline.operators import density, sampling
 from emberline.plans import registry
 
@@ -84,3 +87,26 @@ def test_components_raise_at_the_bound(frame):
     edges = frame([("a", "b"), ("b", "a")], "id string, other string")
     with pytest.raises(RuntimeError, match="still change"):
         density.components(frame([("a",), ("b",)], "id string"), edges, 0).collect()
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_string_groups_cover_all_documents(spark):
+    folder = str(DATA / "sf0.001")
+    text = {r.doc_id: r.text for r in spark.read.parquet(folder + "/documents.parquet").where("text <> ''").collect()}
+    got = {r.doc_id: r for r in registry.queries()["srg_label"](spark, folder).collect()}
+    assert got.keys() == text.keys() and max(map(len, text.values())) > 3000
+    reps = {r.group: r.representative for r in got.values()}
+    assert len(reps) > 1 and all(r.representative == reps[r.group] and any(text[k] == reps[r.group] for k in got if got[k].group == r.group) for r in got.values())
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_string_groups_of_event_types(spark):
+    words = spark.read.parquet(str(DATA / "sf0.001") + "/event_types.parquet").select("EventID", "description")
+    got = density.string_groups(words, "EventID", "description").collect()
+    assert len(got) == words.where("description <> ''").count() and len({r.group for r in got}) > 1
+
+
+def test_hashed_shingles_have_the_distances_of_shingles(frame):
+    rows = [("a line\nand another one", "a line and one"), ("abc", "abcd"), ("aaaaaa", "aaaaa"), ("x\U0001f600y\U0001f600zz", "\U0001f600y\U0001f600z"), ("\u00fcber alles", "uber alles")]
+    d = frame(rows, "a string, b string").select(V.jaccard(X.shingles(F.col("a"), 4), X.shingles(F.col("b"), 4)), density._set_distance(density._shingle_ids(F.col("a"), 4), density._shingle_ids(F.col("b"), 4))).collect()
+    assert all(r[0] == r[1] for r in d)
