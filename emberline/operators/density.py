@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -66,14 +67,15 @@ def _loda_rows(df: DataFrame, key: str, vec: str, cuts: Sequence[Sequence[float]
     """key, cut, s (-ln share) of every usable row and cut."""
     n = df.count()
     bins = bins or max(1, min(1_000_000, int(n / math.log(n)) if n > 2 else 1))
-    m = len(cuts)
     ok = df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: F.isnan(x.cast("double")) | x.isNull()))
-    proj = ok.select(key, F.array(*[V.dot(F.col(vec), F.array(*[F.lit(float(x)) for x in c])) for c in cuts]).alias("p"))
-    span = proj.agg(*[f(F.col("p")[i]).alias(f"{a}{i}") for i in range(m) for a, f in (("lo", F.min), ("hi", F.max))]).first()
-    if span is None or span["lo0"] is None:
-        return proj.select(key, F.lit(0).alias("cut"), F.lit(None).cast("double").alias("s")).limit(0)
-    at = [F.least(F.floor(F.coalesce(F.try_divide((F.col("p")[i] - span[f"lo{i}"]) * bins, F.lit(span[f"hi{i}"] - span[f"lo{i}"])), F.lit(0.0))), F.lit(bins - 1)).cast("int") for i in range(m)]
-    rows = proj.select(key, F.posexplode(F.array(*at)).alias("cut", "bin"))
+    # only coordinates that aren't 0, as one constant: an expression for each cut would be too many
+    sparse = json.dumps([{"cut": j, "at": [{"i": i, "w": float(x)} for i, x in enumerate(c) if x]} for j, c in enumerate(cuts)])
+    each = F.from_json(F.lit(sparse), "array<struct<cut:int,at:array<struct<i:int,w:double>>>>")
+    place = lambda c: F.aggregate(c["at"], F.lit(0.0), lambda s, x: s + F.get(vec, x["i"]).cast("double") * x["w"])
+    proj = ok.select(key, F.explode(F.transform(each, lambda c: F.struct(c["cut"].alias("cut"), place(c).alias("p")))).alias("x")).select(key, "x.*")
+    span = proj.groupBy("cut").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))  # one row per cut
+    at = F.least(F.floor(F.coalesce(F.try_divide((F.col("p") - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0))), F.lit(bins - 1)).cast("int")
+    rows = proj.join(F.broadcast(span), "cut").select(key, "cut", at.alias("bin"))
     share = rows.groupBy("cut", "bin").agg((F.count("*") / float(n) + 1e-12).alias("share"))
     return rows.join(share, ["cut", "bin"]).select(key, "cut", (-F.log("share")).alias("s"))
 

@@ -229,14 +229,14 @@ _DOT = ["(" + " + ".join(f"CAST({w} AS DOUBLE) * CAST(embedding[{i + 1}] AS DOUB
 
 @query("WITH p AS (" + " UNION ALL ".join(f"SELECT vec_id, {j} AS cut, {x} AS v FROM embeddings" for j, x in enumerate(_DOT)) + "), n AS (SELECT count(*) AS n, CAST(floor(count(*) / ln(count(*))) AS INTEGER) AS bins FROM embeddings), s AS (SELECT cut, min(v) AS lo, max(v) AS hi FROM p GROUP BY 1), b AS (SELECT vec_id, p.cut, least(floor((v - lo) * bins / (hi - lo)), bins - 1) AS bin FROM p JOIN s USING (cut), n), h AS (SELECT cut, bin, count(*) / max(n) + 1e-12 AS share FROM b, n GROUP BY 1, 2) SELECT vec_id, round(sum(-ln(share)) / 16, 5) AS score FROM b JOIN h USING (cut, bin) GROUP BY 1")
 def loda_score(s, d):
-    v = T.table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v"))
-    return density.loda_scores(v, "vec_id", "v", _CUTS).withColumn("score", F.round("score", 5))
+    v = T.table(s, d, "embeddings").select("vec_id", "embedding")
+    return density.loda_scores(v, "vec_id", "embedding", density.sparse_cuts(64, 1_000).tolist()).withColumn("score", F.round("score", 8))
 
 
 @query()
 def loda_explain(s, d):
-    v = T.table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v"))
-    return density.loda_explain(v, "vec_id", "v", density.sparse_cuts(8, 16).tolist())
+    v = T.table(s, d, "embeddings").select("vec_id", "embedding")
+    return density.loda_explain(v, "vec_id", "embedding", density.sparse_cuts(64, 1_000).tolist())
 
 
 @query("WITH p AS (SELECT vec_id, embedding FROM embeddings), l AS (SELECT arg_min(embedding, vec_id) AS l, arg_max(embedding, vec_id) AS r FROM p), d AS (SELECT vec_id, sqrt(list_sum(list_transform(list_zip(embedding, l), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dl, sqrt(list_sum(list_transform(list_zip(embedding, r), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dr, sqrt(list_sum(list_transform(list_zip(l, r), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dd FROM p, l) SELECT vec_id, round((dl * dl + dd * dd - dr * dr) / (2 * dd), 4) AS x0 FROM d")

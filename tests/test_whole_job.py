@@ -4,6 +4,7 @@ import math
 import random
 from statistics import stdev
 
+import numpy as np
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -110,3 +111,22 @@ def test_hashed_shingles_have_the_distances_of_shingles(frame):
     rows = [("a line\nand another one", "a line and one"), ("abc", "abcd"), ("aaaaaa", "aaaaa"), ("x\U0001f600y\U0001f600zz", "\U0001f600y\U0001f600z"), ("\u00fcber alles", "uber alles")]
     d = frame(rows, "a string, b string").select(V.jaccard(X.shingles(F.col("a"), 4), X.shingles(F.col("b"), 4)), density._set_distance(density._shingle_ids(F.col("a"), 4), density._shingle_ids(F.col("b"), 4))).collect()
     assert all(r[0] == r[1] for r in d)
+
+
+def test_loda_sees_every_coordinate(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(200)]
+    rows[77][1][40] = 60.0  # odd in one coordinate far behind the eighth
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    score = {r.vec_id: r.score for r in registry.queries()["loda_score"](spark, str(tmp_path)).collect()}
+    assert len(score) == 200 and max(score, key=score.get) == 77
+    # brute force
+    cuts = density.sparse_cuts(64, 1_000)
+    vecs = np.array([v for _, v in rows], dtype="float32").astype(float)
+    bins, want = int(200 / math.log(200)), np.zeros(200)
+    for p in (vecs @ cuts.T).T:
+        at = np.minimum(np.floor((p - p.min()) * bins / (p.max() - p.min())), bins - 1).astype(int)
+        want -= np.log(np.bincount(at, minlength=bins)[at] / 200 + 1e-12)
+    assert sum(abs(score[i] - w) > 2e-8 for i, w in enumerate(want / 1_000**2)) <= 4  # a value on a bin's edge
+    t = {r.feature: r.t for r in registry.queries()["loda_explain"](spark, str(tmp_path)).where("vec_id = 77").collect()}
+    assert len(t) == 64 and max(t, key=lambda j: t[j] or 0) == 40
