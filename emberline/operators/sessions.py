@@ -181,7 +181,8 @@ def session_tree(df: DataFrame, entity: str, time_s: str, shortest: int = 60, lo
 
     Rows without entity or time are left out; an entity with one event is one node of gap 0.
     Events of one second are one element with a count. Result: entity, start_time, end_time,
-    n_records, gap, parent_gap (2**62 at the root).
+    n_records, gap, parent_gap (2**62 at the root). The two bounds go with the tree, as metadata
+    of `gap`, also into a stored table, and `sessions_at` holds thresholds against them.
 
     The first shuffle is by (entity, second) with map-side combining, so no entity gathers;
     the second by (entity, chunk) moves at most `chunk_s` rows for each; the third by entity
@@ -192,18 +193,32 @@ def session_tree(df: DataFrame, entity: str, time_s: str, shortest: int = 60, lo
     part = written(chunks.mapInArrow(_round_one(shortest, longest), _PART))
     spines = part.where("open").repartition("entity").sortWithinPartitions("entity", "start_time")
     rest = spines.mapInArrow(_round_two(longest), TREE)
-    return part.where("NOT open").drop("open", "known").union(rest)
+    return part.where("NOT open").drop("open", "known").union(rest).withMetadata("gap", {"shortest": shortest, "longest": longest})
+
+
+def _within(tree: DataFrame, gap: int) -> int:
+    """`gap`, if the tree is good for it: below its bounds sessions have been merged, above
+    them they have not been built."""
+    bounds = tree.schema["gap"].metadata
+    if "shortest" not in bounds:
+        raise ValueError("not a tree of session_tree: `gap` has no bounds")
+    if not bounds["shortest"] <= gap <= bounds["longest"]:
+        raise ValueError(f"threshold {gap} lies outside the tree's bounds {bounds['shortest']} to {bounds['longest']}")
+    return int(gap)
 
 
 def sessions_at(tree: DataFrame, gap: int) -> DataFrame:
     """Sessions at threshold `gap`: an event more than `gap` seconds after the one before it
-    starts a new session, one exactly `gap` after does not. Result: entity, start_time,
-    end_time, duration (seconds), n_records."""
+    starts a new session, one exactly `gap` after does not. A threshold outside the tree's
+    bounds raises. Result: entity, start_time, end_time, duration (seconds), n_records."""
+    gap = _within(tree, gap)
     cut = tree.where((F.col("gap") <= gap) & (F.col("parent_gap") > gap))
     return cut.select("entity", "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"), "n_records")
 
 
 def sessions_for(tree: DataFrame, gaps: list[int]) -> DataFrame:
-    """Sessions of each of several thresholds from one tree, with the column `gap_s`."""
-    each = F.explode(F.filter(F.array(*[F.lit(int(g)) for g in gaps]), lambda g: (F.col("gap") <= g) & (F.col("parent_gap") > g))).alias("gap_s")
+    """Sessions of each of several thresholds from one tree, with the column `gap_s`; one outside
+    the tree's bounds raises."""
+    gaps = [_within(tree, g) for g in gaps]
+    each = F.explode(F.filter(F.array(*[F.lit(g) for g in gaps]), lambda g: (F.col("gap") <= g) & (F.col("parent_gap") > g))).alias("gap_s")
     return tree.select("entity", each, "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"), "n_records")

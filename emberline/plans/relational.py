@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import clean as C
 from emberline.functions import text as X
 from emberline.operators import encode, evaluation, hosts, joins, predicates, sampling, sequences, statistics
-from emberline.plans.durable import shared_dir, written
+from emberline.plans.durable import scratch, written
 from emberline.sources import readers, sinks
 from emberline.sources import tables as T
 
@@ -40,10 +38,6 @@ def FL(s: SparkSession, d: str) -> DataFrame:
     return T.flows(T.table(s, d, "netflow"))
 
 
-def scratch(s: SparkSession) -> str:
-    return f"{shared_dir(s)}/emberline/{uuid.uuid4().hex}"
-
-
 ESQL = "e AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)"
 WE = f"WITH {ESQL} "
 FSQL = """f AS (SELECT DISTINCT CASE WHEN time >= 100000000000 THEN time WHEN time >= 1 THEN time * 1000 END AS ms, Duration, nullif(lower(trim(SrcDevice)), '') AS src, nullif(lower(trim(DstDevice)), '') AS dst, Protocol, SrcPort, DstPort, SrcPackets, DstPackets, SrcBytes, DstBytes FROM netflow)"""

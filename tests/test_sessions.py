@@ -55,3 +55,22 @@ def test_exact_gap_belongs_and_empty_is_empty(frame):
     assert got(tree, 1_800) == [("a", 0, 1_800, 2), ("a", 3_601, 3_601, 1)]
     assert got(sessions.session_tree(frame([], "who string, t bigint"), "who", "t"), 1_800) == []
     assert got(sessions.session_tree(frame([(None, 1), ("x", None)], "who string, t bigint"), "who", "t"), 1_800) == []
+
+
+def test_thresholds_outside_the_bounds_raise(frame, tmp_path):
+    rows = [("a", t) for t in (0, 20, 50, 200, 400, 500_000, 700_000)]
+    tree = sessions.session_tree(frame(rows, "who string, t bigint"), "who", "t")
+    for gap in (10, 59, 86_401, 300_000):
+        with pytest.raises(ValueError, match="outside the tree's bounds 60 to 86400"):
+            sessions.sessions_at(tree, gap)
+        with pytest.raises(ValueError, match="outside"):
+            sessions.sessions_for(tree, [1_800, gap])
+    for gap in (60, 86_400):
+        assert sum(n for *_, n in got(tree, gap)) == len(rows) and got(tree, gap) == brute(rows, gap)
+    tree.write.parquet(f"{tmp_path}/tree")  # a stored tree keeps its bounds
+    again = tree.sparkSession.read.parquet(f"{tmp_path}/tree")
+    assert got(again, 100) == brute(rows, 100)
+    with pytest.raises(ValueError, match="outside"):
+        sessions.sessions_at(again, 10)
+    with pytest.raises(ValueError, match="no bounds"):
+        sessions.sessions_at(frame([("a", 0, 0, 1, 0, sessions.NO_PARENT)], sessions.TREE), 100)
