@@ -701,7 +701,7 @@ def under_sample(s, d):
     return got.groupBy(F.when(F.col("event_type") == "error", "positive").otherwise("negative").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), k AS (SELECT *, max(i) OVER (PARTITION BY event_type) AS n FROM r WHERE i <= 1000) SELECT event_id, event_type, CASE WHEN i <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM k")
+@query("WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_id, event_type, CASE WHEN i <= floor(least(n, 10000) * 0.8) THEN 'train' ELSE 'test' END AS part FROM r")
 def class_split(s, d):
     return sampling.class_split(T.table(s, d, "events").select("event_id", "event_type"), "event_type", 10_000, 0.8, "event_id")
 

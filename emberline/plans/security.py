@@ -206,7 +206,7 @@ def ip_octets(s, d):
 
 # ---- densities and projections -----------------------------------------------------------
 
-_KDE = """WITH v AS (SELECT lower(lang) AS lang, CAST(n_chars AS DOUBLE) AS v FROM documents WHERE lang IS NOT NULL AND n_chars < 3000), s AS (SELECT lang, count(*) AS n, min(v) AS lo, max(v) AS hi, pow(4 * pow(stddev_samp(v), 5) / (3 * count(*)), 0.2) AS h FROM v GROUP BY 1), g AS (SELECT lang, n, lo, hi, h, unnest(range(CASE WHEN hi > lo THEN 50 ELSE 1 END)) AS i FROM s), k AS (SELECT g.lang, CAST(g.i AS INTEGER) AS i, lo + (hi - lo) * g.i / 49 AS x, CASE WHEN max(hi) > max(lo) THEN sum(exp(-pow((lo + (hi - lo) * g.i / 49 - v.v) / h, 2) / 2)) / (max(n) * max(h) * sqrt(2 * pi())) ELSE 1.0 END AS density FROM g JOIN v ON v.lang = g.lang GROUP BY 1, 2, 3)"""
+_KDE = """WITH v AS (SELECT lower(lang) AS lang, CAST(n_chars AS DOUBLE) AS v FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL), s AS (SELECT lang, count(*) AS n, min(v) AS lo, max(v) AS hi, pow(4 * pow(stddev_samp(v), 5) / (3 * count(*)), 0.2) AS h FROM v GROUP BY 1), g AS (SELECT lang, n, lo, hi, h, unnest(range(CASE WHEN hi > lo THEN 50 ELSE 1 END)) AS i FROM s), k AS (SELECT g.lang, CAST(g.i AS INTEGER) AS i, lo + (hi - lo) * g.i / 49 AS x, CASE WHEN max(hi) > max(lo) THEN sum(exp(-pow((lo + (hi - lo) * g.i / 49 - v.v) / h, 2) / 2)) / (max(n) * max(h) * sqrt(2 * pi())) ELSE 1.0 END AS density FROM g JOIN v ON v.lang = g.lang GROUP BY 1, 2, 3)"""
 
 
 def _lengths(s, d):
@@ -223,20 +223,22 @@ def kde_extrema(s, d):
     return density.extrema(density.kde_grid(_lengths(s, d), "lang", "n_chars"), "lang").select("lang", "i", "kind")
 
 
-_CUTS = [[0.7, 0, 0, -1.1, 0, 0, 0, 0], [0, 1.3, 0, 0, 0, 0.4, 0, 0], [0, 0, -0.6, 0, 0.9, 0, 0, 0], [0, 0, 0, 0, 0, 0, 1.0, -0.5]]
-_DOT = ["(" + " + ".join(f"CAST({w} AS DOUBLE) * CAST(embedding[{i + 1}] AS DOUBLE)" for i, w in enumerate(c) if w) + ")" for c in _CUTS]
+#: Seeded sparse directions over all coordinates of `embeddings`, the same in code and SQL.
+_CUTS = density.sparse_cuts(64, 1_000)
+_CUT_ROWS = ", ".join(f"({j}, {i + 1}, {_CUTS[j, i]:.17e})" for j, i in zip(*_CUTS.nonzero()))
+_LODA = f"""c(cut, i, w) AS (VALUES {_CUT_ROWS}), p AS (SELECT vec_id, cut, sum(w * CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, c GROUP BY 1, 2), n AS (SELECT count(*) AS n, CAST(floor(count(*) / ln(count(*))) AS INTEGER) AS bins FROM embeddings), s AS (SELECT cut, min(v) AS lo, max(v) AS hi FROM p GROUP BY 1), b AS (SELECT vec_id, p.cut, least(floor((v - lo) * bins / (hi - lo)), bins - 1) AS bin FROM p JOIN s USING (cut), n), h AS (SELECT cut, bin, count(*) / max(n) + 1e-12 AS share FROM b, n GROUP BY 1, 2)"""
 
 
-@query("WITH p AS (" + " UNION ALL ".join(f"SELECT vec_id, {j} AS cut, {x} AS v FROM embeddings" for j, x in enumerate(_DOT)) + "), n AS (SELECT count(*) AS n, CAST(floor(count(*) / ln(count(*))) AS INTEGER) AS bins FROM embeddings), s AS (SELECT cut, min(v) AS lo, max(v) AS hi FROM p GROUP BY 1), b AS (SELECT vec_id, p.cut, least(floor((v - lo) * bins / (hi - lo)), bins - 1) AS bin FROM p JOIN s USING (cut), n), h AS (SELECT cut, bin, count(*) / max(n) + 1e-12 AS share FROM b, n GROUP BY 1, 2) SELECT vec_id, round(sum(-ln(share)) / 16, 5) AS score FROM b JOIN h USING (cut, bin) GROUP BY 1")
+@query(f"WITH {_LODA} SELECT vec_id, round(sum(-ln(share)) / 1000000, 8) AS score FROM b JOIN h USING (cut, bin) GROUP BY 1")
 def loda_score(s, d):
     v = T.table(s, d, "embeddings").select("vec_id", "embedding")
-    return density.loda_scores(v, "vec_id", "embedding", density.sparse_cuts(64, 1_000).tolist()).withColumn("score", F.round("score", 8))
+    return density.loda_scores(v, "vec_id", "embedding", _CUTS.tolist()).withColumn("score", F.round("score", 8))
 
 
 @query()
 def loda_explain(s, d):
     v = T.table(s, d, "embeddings").select("vec_id", "embedding")
-    return density.loda_explain(v, "vec_id", "embedding", density.sparse_cuts(64, 1_000).tolist())
+    return density.loda_explain(v, "vec_id", "embedding", _CUTS.tolist())
 
 
 @query("WITH p AS (SELECT vec_id, embedding FROM embeddings), l AS (SELECT arg_min(embedding, vec_id) AS l, arg_max(embedding, vec_id) AS r FROM p), d AS (SELECT vec_id, sqrt(list_sum(list_transform(list_zip(embedding, l), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dl, sqrt(list_sum(list_transform(list_zip(embedding, r), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dr, sqrt(list_sum(list_transform(list_zip(l, r), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dd FROM p, l) SELECT vec_id, round((dl * dl + dd * dd - dr * dr) / (2 * dd), 4) AS x0 FROM d")
