@@ -4,17 +4,21 @@ For a mixture of N tokens, source s with share w and T tokens at hand needs w*N/
 each of its documents: the whole part for all of them, the fraction as an inclusion
 probability. The cube method turns the fractions into 0 and 1 while it keeps two totals, the
 number of documents and the number of tokens: three undecided documents at a time move along
-the null space of the two constraints until one of them is decided (flight). Blocks of
-documents fly in parallel and each leaves at most two undecided; these fly again in fewer
-blocks, until one block per source is left with at most two documents, the landing problem,
-which is settled by the choice that misses the token total least. A long document left over
-may still miss it by half its length; documents of the source's first block are then taken in
-or out, the longest that fit first, until the total is met to within a short document.
+the null space of the two constraints until one of them is decided (flight). Three short ones
+can't make up for a long one, so long documents go first, each against all that are undecided;
+then the others by falling length. Blocks of documents fly in parallel and each leaves at most
+two undecided; these fly again in fewer blocks, until one block per source is left.
+
+That last block keeps LANDING documents of well-spaced lengths out of the flight and decides
+them together with the two that the flight leaves. Of the ways to decide them that keep the
+number of documents to within one, those that miss the token total by least, or by no more
+than half the shortest document, are weighed by their probability under the documents'
+fractions, and one is drawn.
 """
 
 from __future__ import annotations
 
-import itertools
+import bisect
 import math
 import zlib
 from collections.abc import Mapping
@@ -27,8 +31,13 @@ from pyspark.sql import functions as F
 from emberline.plans.durable import written
 
 EPS = 1e-9
-#: Documents of one flight.
+#: Documents of one flight. Which documents are chosen depends on it: with other blocks other
+#: triples fly together. The totals hold for any.
 BLOCK = 20_000
+#: A document of more than so many mean lengths of the undecided flies against all of them.
+LONG = 2.0
+#: Documents of a source kept for landing, and how many of them are the shortest there are.
+LANDING, SHORTEST = 32, 4
 
 
 def mixture_size(tokens: Mapping[str, float], share: Mapping[str, float], repeats: Mapping[str, int], total: float | None = None) -> dict[str, float]:
@@ -60,6 +69,24 @@ def mixture_size(tokens: Mapping[str, float], share: Mapping[str, float], repeat
     return {s: give.get(s, 0.0) for s in share}
 
 
+def long_flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Probabilities after the long documents' flight; `size` falls. The longest undecided one
+    moves along its projection onto the null space of the two totals over all undecided, so
+    that a long document shifts many short ones by little, until none is long."""
+    p = prob.copy()
+    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    while len(open_) > 3 and size[open_[0]] > LONG * size[open_].mean():
+        q, c = p[open_], size[open_] - size[open_].mean()
+        u = -1 / len(open_) - c * (c[0] / (c @ c))
+        u[0] += 1
+        up = np.min(np.where(u > 0, 1 - q, q)[u != 0] / np.abs(u[u != 0]))
+        down = np.min(np.where(u > 0, q, 1 - q)[u != 0] / np.abs(u[u != 0]))
+        q = q + u * (up if rng.random() * (up + down) < down else -down)
+        p[open_] = np.where(q < EPS, 0.0, np.where(q > 1 - EPS, 1.0, q))
+        open_ = open_[(q >= EPS) & (q <= 1 - EPS)]
+    return p
+
+
 def flight(prob: list[float], size: list[float], draws: np.ndarray) -> list[float]:
     """Probabilities after the flight: all but two at most are 0 or 1; sums of probabilities
     and of probability times size stay as they were."""
@@ -86,53 +113,78 @@ def flight(prob: list[float], size: list[float], draws: np.ndarray) -> list[floa
     return p
 
 
-def landing(prob: list[float], size: list[float]) -> list[float]:
-    """0 or 1 for the few that are left: the choice that misses the token total least, then the count."""
-    want, docs = sum(p * s for p, s in zip(prob, size)), sum(prob)
-    return list(map(float, min(itertools.product((0, 1), repeat=len(prob)), key=lambda c: (abs(sum(x * s for x, s in zip(c, size)) - want), abs(sum(c) - docs), c))))
+def reserve(size: list[float], undecided: list[int], n: int = LANDING) -> list[int]:
+    """Of the `undecided`, at most n kept for landing: the shortest, and then always the longest
+    that is no longer than those kept so far together (if there is none, the shortest longer
+    one), so that their sums leave no gaps."""
+    rest = sorted(undecided, key=lambda i: (size[i], i))
+    kept, total = rest[:SHORTEST], sum(size[i] for i in rest[:SHORTEST])
+    rest = rest[SHORTEST:]
+    lengths = [size[i] for i in rest]
+    while rest and len(kept) < n:
+        at = bisect.bisect_right(lengths, total + 1) - 1
+        if at < 0 or lengths[at] <= 0:
+            at = min(bisect.bisect_right(lengths, max(total, 0)), len(rest) - 1)
+        total += lengths.pop(at)
+        kept.append(rest.pop(at))
+    return kept
+
+
+def landing(prob: list[float], size: list[float], rng: np.random.Generator) -> list[float]:
+    """0 or 1 for the few that are left, see the head of the module.
+
+    The documents are split into two halves; for each way to decide the first half, the nearest
+    ways for the second are found among those of the fitting number by binary search."""
+    m = len(prob)
+    if not m:
+        return []
+    order = rng.permutation(m)  # equal documents land alike
+    p, s = np.clip(np.array(prob)[order], EPS, 1 - EPS), np.array(size, float)[order]
+    sides = []
+    for q, t in ((p[: m // 2], s[: m // 2]), (p[m // 2 :], s[m // 2 :])):
+        ways = (np.arange(2 ** len(q))[:, None] >> np.arange(len(q))) & 1
+        sides.append((ways, ways.sum(1), ways @ t, np.log(np.where(ways == 1, q, 1 - q)).sum(1)))
+    (_, n1, t1, w1), (_, n2, t2, w2) = sides
+    docs, goal = p.sum(), p @ s
+    found = []
+    for n in {math.floor(docs), math.ceil(docs)}:
+        for k in range(m - m // 2 + 1):
+            a, b = np.flatnonzero(n1 == n - k), np.flatnonzero(n2 == k)
+            if len(a) and len(b):
+                b = b[np.argsort(t2[b], kind="stable")]
+                at = np.searchsorted(t2[b], goal - t1[a])
+                found += [(a, b[np.clip(at - 1, 0, len(b) - 1)]), (a, b[np.clip(at, 0, len(b) - 1)])]
+    a, b = (np.concatenate(x) for x in zip(*found))
+    miss = np.abs(t1[a] + t2[b] - goal)
+    good = np.flatnonzero(miss <= max(miss.min() + EPS, s.min() / 2))
+    weight = w1[a[good]] + w2[b[good]]
+    share = np.cumsum(np.exp(weight - weight.max()))
+    got = good[min(np.searchsorted(share, rng.random() * share[-1], "right"), len(good) - 1)]
+    out = np.empty(m)
+    out[order] = np.concatenate([sides[0][0][a[got]], sides[1][0][b[got]]])
+    return out.tolist()
 
 
 def _fly(seed: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", ignore_index=True)
+        pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], ignore_index=True)  # short ones stay open longest
         source, block = pdf["source"].iloc[0], int(pdf["block"].iloc[0])
-        draws = np.random.default_rng([seed, zlib.crc32(source.encode()), block]).random(len(pdf))
-        size = pdf["n_tokens"].astype(float).tolist()
-        p = flight(pdf["prob"].tolist(), size, draws)
+        rng = np.random.default_rng([seed, zlib.crc32(source.encode()), block])
+        size, p = pdf["n_tokens"].astype(float).tolist(), pdf["prob"].tolist()
+        kept = set(reserve(size, [i for i, x in enumerate(p) if EPS < x < 1 - EPS])) if last else set()
+        flying = [i for i in range(len(p)) if i not in kept]
+        flown = long_flight(np.array([p[i] for i in flying]), np.array([size[i] for i in flying]), rng)
+        for i, x in zip(flying, flight(flown.tolist(), [size[i] for i in flying], rng.random(len(p)))):
+            p[i] = x
         if last:
             rest = [i for i, x in enumerate(p) if 0 < x < 1]
-            for i, x in zip(rest, landing([p[i] for i in rest], [size[i] for i in rest])):
+            for i, x in zip(rest, landing([p[i] for i in rest], [size[i] for i in rest], rng)):
                 p[i] = x
         return pdf.assign(prob=p)[["doc_id", "source", "n_tokens", "prob", "block"]]
 
     return run
 
 
-def repair(chosen: list[bool], size: list[int], excess: float) -> list[bool]:
-    """`chosen` with documents taken out (excess above 0) or in (below), in the given order as
-    long as they fit into what is left, then one more if that comes nearer."""
-    out, left = list(chosen), abs(excess)
-    state = excess > 0
-    order = sorted((i for i, c in enumerate(chosen) if c == state and size[i] > 0), key=lambda i: -size[i])
-    for i in order:
-        if size[i] <= left:
-            out[i] = not state
-            left -= size[i]
-    rest = [i for i in order if out[i] == state]
-    if rest and abs(left - size[rest[-1]]) < left:
-        out[rest[-1]] = not state
-    return out
-
-
-def _repair(excess: Mapping[str, float]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", ignore_index=True)
-        got = repair((pdf["prob"] == 1).tolist(), pdf["n_tokens"].tolist(), excess[pdf["source"].iloc[0]])
-        return pdf.assign(prob=np.array(got, float))
-
-    return run
-
-
 def balanced_sample(docs: DataFrame, rows: Mapping[str, int], seed: int = 7, block: int = BLOCK) -> DataFrame:
     """Decides the inclusion probabilities of `docs` (doc_id, source, n_tokens, prob).
 
@@ -161,14 +213,7 @@ def balanced_sample(docs: DataFrame, rows: Mapping[str, int], seed: int = 7, blo
     got = out[0]
     for d in out[1:]:
         got = got.union(d)
-    got = got.select("doc_id", "source", "n_tokens", "prob")
-    total = lambda df: {r.source: r.t for r in df.groupBy("source").agg(F.sum(F.col("prob") * F.col("n_tokens")).alias("t")).collect()}
-    goal, have = total(docs), total(got)
-    excess = {s: have[s] - goal[s] for s in have}
-    sizes = spark.createDataFrame([(s, max(1, math.ceil(n / block))) for s, n in rows.items()], "source string, blocks int")  # as long as the list of sources
-    at = got.join(F.broadcast(sizes), "source").withColumn("first", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")) == 0).select("doc_id", "source", "n_tokens", "prob", "first")
-    fixed = at.where("first").drop("first").groupBy("source").applyInPandas(_repair(excess), "doc_id bigint, source string, n_tokens bigint, prob double")
-    return at.where("NOT first").drop("first").unionByName(fixed)
+    return got.select("doc_id", "source", "n_tokens", "prob")
 
 
 def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7) -> tuple[DataFrame, list[dict]]:

@@ -20,11 +20,38 @@ def test_flight_is_unbiased():
     assert np.abs(mean - 0.5).max() < 0.04
 
 
-def test_repair():
-    assert M.repair([True, True, False], [100, 30, 7], 31.0) == [True, False, False]
-    assert M.repair([True, False, False], [100, 30, 7], -36.0) == [True, True, True]
-    assert M.repair([True, False], [100, 30], -10.0) == [True, False] and M.repair([False, False], [0, 30], -16.0) == [False, True]
-    assert M.repair([], [], 5.0) == []
+def test_long_documents_fly_first():
+    rng = np.random.default_rng(3)
+    size = np.sort(np.round(np.exp(rng.normal(4, 1.6, 3_000))))[::-1]
+    p = rng.random(3_000)
+    q = M.long_flight(p, size, rng)
+    open_ = (q > M.EPS) & (q < 1 - M.EPS)
+    assert abs(p.sum() - q.sum()) < 1e-6 and abs(p @ size - q @ size) < 1e-3
+    assert size[open_].max() <= M.LONG * size[open_].mean() < size.max() and 3 < open_.sum() < 3_000
+    one = [M.long_flight(np.full(40, 0.4), np.array([900.0] + [float(x) for x in range(39, 0, -1)]), np.random.default_rng(i))[0] for i in range(2_000)]
+    assert abs(np.mean(one) - 0.4) < 0.04  # unbiased
+    assert (M.long_flight(np.full(5, 0.5), np.full(5, 7.0), rng) == 0.5).all() and M.long_flight(np.zeros(0), np.zeros(0), rng).size == 0
+
+
+def test_reserve():
+    assert M.reserve([5.0, 7.0], [0, 1]) == [0, 1] and M.reserve([], []) == []
+    size = [float(x) for x in range(1, 3_000)]
+    kept = M.reserve(size, list(range(len(size))))
+    lengths = sorted(size[i] for i in kept)
+    assert len(set(kept)) == M.LANDING and lengths[: M.SHORTEST] == [1, 2, 3, 4] and all(x <= 1 + sum(lengths[:i]) for i, x in enumerate(lengths)) and lengths[-1] > 1_000
+    assert len(M.reserve([0.0] * 40 + [900.0], list(range(41)))) == M.LANDING
+
+
+def test_landing():
+    rng = np.random.default_rng(5)
+    assert M.landing([], [], rng) == [] and M.landing([0.5], [9.0], rng) in ([0.0], [1.0])
+    assert M.landing([0.5, 0.5], [10.0, 30.0], rng) in ([1.0, 0.0], [0.0, 1.0])
+    for _ in range(20):
+        p, s = rng.random(18).tolist(), rng.integers(5, 400, 18).astype(float).tolist()
+        c = M.landing(p, s, rng)
+        assert abs(sum(c) - sum(p)) < 1 and abs(sum(a * b for a, b in zip(c, s)) - sum(a * b for a, b in zip(p, s))) <= min(s)
+    mean = np.mean([M.landing([0.3] * 10, [7.0] * 10, rng) for _ in range(3_000)], 0)
+    assert np.abs(mean - 0.3).max() < 0.05  # equal documents land alike
 
 
 def test_sizes_with_caps():
@@ -49,6 +76,8 @@ def test_mixture(spark):
         got = sum(r.copies * r.n_tokens for r in rows if r.source == s)
         goal = next(x["goal_tokens"] for x in report if x["source"] == s)
         assert abs(got - goal) <= 5 and abs(got / total - share) < 1e-3
+        x = next(x for x in report if x["source"] == s)
+        assert abs(sum(r.copies for r in rows if r.source == s) - x["each"] * x["n_docs"]) < 1.001  # and its documents
     again = {(r.doc_id, r.copies) for r in M.mix(df.repartition(9), targets)[0].collect()}
     assert again == {(r.doc_id, r.copies) for r in rows}
 
