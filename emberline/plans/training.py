@@ -16,10 +16,6 @@ HEAVY_SHARE = 0.02
 QUIET_DAYS = 14
 
 
-def _flows(spark: SparkSession, d: str) -> DataFrame:
-    return T.flows(T.table(spark, d, "netflow"))
-
-
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return T.records(T.table(spark, d, "windows_event_logs"))
 
@@ -33,7 +29,7 @@ def _last_record_s(spark: SparkSession, d: str) -> int | None:
 
 
 def rolled(spark: SparkSession, d: str) -> DataFrame:
-    daily = rolling.daily_totals(_flows(spark, d), "src_device", C.day_of_ms("ms"), ["SrcPackets", "SrcBytes"])
+    daily = rolling.daily_totals(T.flows(T.table(spark, d, "netflow"), "src_device", "ms", "SrcPackets", "SrcBytes"), "src_device", C.day_of_ms("ms"), ["SrcPackets", "SrcBytes"])
     return rolling.rolling_totals(daily, ["SrcPackets", "SrcBytes"], _last_flow_day(spark, d))
 
 

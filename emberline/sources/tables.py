@@ -6,8 +6,9 @@ named here are read, so that the scan stays narrow and clashing names never meet
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from emberline.functions import clean as C
 
@@ -27,13 +28,34 @@ def read_flows(df: DataFrame) -> DataFrame:
     return df.select(C.flow_ms("time").alias("ms"), C.name("SrcDevice").alias("src_device"), C.name("DstDevice").alias("dst_device"), *rest)
 
 
-def flows(df: DataFrame) -> DataFrame:
-    """One row for each flow: rows that agree in all fields but the delivery time count once.
+def row_hash(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of all columns, h1 and h2, that tell rows apart: rows that agree
+    everywhere (nulls and NaNs agree) have both in common, and others don't (one pair in 2**128).
+    Spark's hash passes over a null, so which columns are null is hashed as well."""
+    nulls = sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(df.columns)), F.lit(0))
+    return [F.xxhash64(nulls, *df.columns).alias("h1"), F.xxhash64(F.lit("h2"), *df.columns[::-1], nulls).alias("h2")]
 
-    The distinct runs over all eleven fields, so its shuffle is spread by the whole row and
-    no device, however busy, gathers in one task; copies meet map-side first.
+
+def one_of_each(df: DataFrame, *columns: str) -> DataFrame:
+    """`columns` of the rows of `df`, rows that agree in all columns of `df` once.
+
+    Rows meet under the two hashes of the whole row, so the shuffle carries 16 bytes and the
+    wanted columns instead of every column, is spread by the whole row however often one
+    value occurs, and copies are combined before it."""
+    text = [c for c in columns if not isinstance(df.schema[c].dataType, K.NumericType)]  # only numbers can be combined in place
+    keyed = df.select(*columns, *row_hash(df))
+    return keyed.groupBy("h1", "h2", *text).agg(*[F.max(c).alias(c) for c in columns if c not in text]).select(*columns)
+
+
+def flows(df: DataFrame, *columns: str) -> DataFrame:
+    """One row for each flow, all columns or those named: rows that agree in all fields but the
+    delivery time count once.
+
+    The shuffle is spread by the whole row, so no device, however busy, gathers in one task;
+    copies meet map-side first. With `columns`, see `one_of_each`.
     """
-    return read_flows(df).distinct()
+    rows = read_flows(df)
+    return one_of_each(rows, *columns) if columns else rows.distinct()
 
 
 def read_records(df: DataFrame) -> DataFrame:
@@ -42,6 +64,7 @@ def read_records(df: DataFrame) -> DataFrame:
     return df.select(C.log_s("Time").alias("time_s"), F.col("EventID").alias("event_id"), F.col("LogonType").alias("logon_type"), *[C.name(a).alias(b) for a, b in names.items()])
 
 
-def records(df: DataFrame) -> DataFrame:
-    """One row for each log record, see `flows`."""
-    return read_records(df).distinct()
+def records(df: DataFrame, *columns: str) -> DataFrame:
+    """One row for each log record, all columns or those named, see `flows`."""
+    rows = read_records(df)
+    return one_of_each(rows, *columns) if columns else rows.distinct()
