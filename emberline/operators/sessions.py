@@ -16,6 +16,7 @@ the remaining nodes from them in the same way.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,148 +31,118 @@ TREE = "entity string, start_time bigint, end_time bigint, n_records bigint, gap
 _PART = TREE + ", open boolean, known boolean"
 
 
-class _Out:
-    """Rows of the tree, gathered into batches."""
-
-    def __init__(self, flags: bool):
-        self.cols: list[list] = [[] for _ in range(8 if flags else 6)]
-        self.flags = flags
-
-    def add(self, entity, start, end, n, gap, parent, is_open=False, known=True):
-        for c, v in zip(self.cols, (entity, start, end, n, gap, parent, is_open, known)):
-            c.append(v)
-
-    def batch(self) -> pa.RecordBatch:
-        kinds = [pa.string(), *[pa.int64()] * 5, pa.bool_(), pa.bool_()]
-        names = ["entity", "start_time", "end_time", "n_records", "gap", "parent_gap", "open", "known"]
-        k = len(self.cols)
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.cols, kinds)], names=names[:k])
-        self.cols = [[] for _ in range(k)]
-        return out
-
-
-def _nodes(entity, start, end, n, gap, known, left: int, right: int, longest: int, out: _Out) -> None:
-    """All tree nodes over the elements (start, end, n); gaps stand between them, `left` and
-    `right` enclose them. `gap` is an element's own inner gap; `known` elements have been
-    emitted before. Nodes with a gap above `longest` are not emitted."""
-    stack: list[list] = []  # open nodes from the longest gap down: [gap, start, n]
-    last = len(start) - 1
-    for i in range(last + 1):
-        s, e, c, own, seen = start[i], end[i], n[i], gap[i], known[i]
-        g = start[i + 1] - e if i < last else right
-        while stack and stack[-1][0] < g:
-            top, s0, n0 = stack.pop()
-            if not seen:
-                out.add(entity, s, e, c, own, top)
-            s, c, own, seen = s0, c + n0, top, top > longest
-        if i == last:
-            if not seen:
-                out.add(entity, s, e, c, own, min(left, right))
-            return
-        if not seen:
-            out.add(entity, s, e, c, own, g)
-        if stack and stack[-1][0] == g:
-            stack[-1][2] += c
-        else:
-            stack.append([g, s, c])
-
-
-def _chunk(entity, t: list[int], n: list[int], shortest: int, longest: int, out: _Out) -> None:
-    """Round one for the events of one entity and chunk, sorted by time."""
-    if len(t) == 1:
-        out.add(entity, t[0], t[0], n[0], 0, NO_PARENT, True, False)
-        return
-    start, end, count, inner = [t[0]], [t[0]], [n[0]], [0]
-    for i in range(1, len(t)):
-        g = t[i] - end[-1]
-        if g <= shortest:
-            end[-1] = t[i]
-            count[-1] += n[i]
-            inner[-1] = max(inner[-1], g)
-        else:
-            start.append(t[i]), end.append(t[i]), count.append(n[i]), inner.append(0)
-    last = len(start) - 1
-    g = [start[i + 1] - end[i] for i in range(last)]
-    spine, most = set(), 0
-    for i in range(last):
-        if g[i] >= most:
-            most = g[i]
-            spine.add(i)
-    most = 0
-    for i in range(last - 1, -1, -1):
-        if g[i] >= most:
-            most = g[i]
-            spine.add(i)
-    cuts = sorted(spine)
-    x = 0
-    for y in [*cuts, last]:  # elements x..y lie between two spine gaps
-        if x == 0 or y == last:  # reaches an end of the chunk, so its parent isn't known yet; a single element, as the outermost gap is always on the spine
-            out.add(entity, start[x], end[y], count[x], inner[x], NO_PARENT, True, False)
-        elif x == y:
-            out.add(entity, start[x], end[x], count[x], inner[x], min(g[x - 1], g[x]))
-            out.add(entity, start[x], end[x], count[x], inner[x], NO_PARENT, True, True)
-        else:
-            _nodes(entity, start[x : y + 1], end[x : y + 1], count[x : y + 1], inner[x : y + 1], [False] * (y + 1 - x), g[x - 1], g[y], longest, out)
-            out.add(entity, start[x], end[y], sum(count[x : y + 1]), max(g[x:y]), NO_PARENT, True, True)
-        x = y + 1
+_KINDS = [pa.string(), *[pa.int64()] * 5, pa.bool_(), pa.bool_()]
+_NAMES = ["entity", "start_time", "end_time", "n_records", "gap", "parent_gap", "open", "known"]
+
+
+def _batch(entity: pa.Array, at: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
+    """Rows with the entity names at the places `at`."""
+    values = [entity.take(pa.array(at)), *cols]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) if isinstance(v, np.ndarray) else v for v, t in zip(values, _KINDS)], names=_NAMES[: len(values)])
+
+
+def _nearest(g: np.ndarray, step: int, equal_stops: bool = False) -> np.ndarray:
+    """For each place below NO_PARENT the nearest one before (step -1) or after (1) it with a larger
+    value, or one at least as large. All places jump at once, each over what its neighbour has
+    jumped over already, so it takes about log(longest run) rounds."""
+    to = np.arange(len(g)) + step
+    todo = np.flatnonzero(g < NO_PARENT)
+    while todo.size:
+        there = g[to[todo]]
+        todo = todo[there < g[todo] if equal_stops else there <= g[todo]]
+        to[todo] = to[to[todo]]
+    return to
+
+
+def _nodes(g: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tree nodes over elements with the gaps g: g[e] before element e, g[e + 1] after it,
+    NO_PARENT where a chunk begins or ends. Returns the gap at the top of each node and the two
+    gaps that enclose it; a node holds the elements from the first of these to before the second.
+    Equal gaps without a longer one between them are one node, that of the first."""
+    left, right = _nearest(g, -1), _nearest(g, 1)
+    top = np.flatnonzero((g <= longest) & (_nearest(g, -1, True) == left))
+    return top, left[top], right[top]
+
+
+class _Held:
+    """Batches as whole groups: rows of the last group wait for the next batch."""
+
+    def __init__(self, keys: int, width: int):
+        self.keys, self.width, self.parts = keys, width, []
+
+    def _edges(self, cols: list[pa.Array]) -> np.ndarray:
+        code = [c.dictionary_encode().indices if pa.types.is_string(c.type) else c for c in cols[: self.keys]]
+        code = [c.to_numpy(zero_copy_only=False) for c in code]
+        return np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in code])) + 1
+
+    def whole(self, batch: pa.RecordBatch | None) -> tuple[list[pa.Array], np.ndarray] | None:
+        """Columns of the groups that are complete, and where each begins; without a batch all that is left."""
+        if batch is not None:
+            new = [batch.column(i) for i in range(self.width)]
+            goes_on = self.parts and all(a[len(a) - 1].as_py() == b[0].as_py() for a, b in zip(self.parts[-1][: self.keys], new))
+            self.parts.append(new)
+            if goes_on and not self._edges(new).size:
+                return None
+        if not self.parts:
+            return None
+        cols = [pa.concat_arrays(c) for c in zip(*self.parts)]
+        edge = self._edges(cols)
+        cut = len(cols[0]) if batch is None else int(edge[-1]) if edge.size else 0
+        self.parts = [[c.slice(cut) for c in cols]] if batch is not None else []
+        return ([c.slice(0, cut) for c in cols], np.append(0, edge[edge < cut])) if cut else None
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, width: int) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+    held = _Held(keys, width)
+    for batch in chain((b for b in batches if b.num_rows), [None]):
+        if (got := held.whole(batch)) is not None:
+            yield got
 
 
 def _round_one(shortest: int, longest: int):
+    """(entity, chunk, second, events), sorted, to closed nodes and open spine stretches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Out(True)
-        key, held_t, held_n = None, [], []  # the open chunk
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column(0).dictionary_encode()
-            code = names.indices.to_numpy(zero_copy_only=False)
-            chunk = batch.column(1).to_numpy(zero_copy_only=False)
-            t, n = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            bounds = np.flatnonzero((code[1:] != code[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-            words = names.dictionary.to_pylist()
-            at = np.append(0, bounds)
-            for lo, hi, c, k in zip(at.tolist(), [*bounds.tolist(), batch.num_rows], code[at].tolist(), chunk[at].tolist()):
-                new = (words[c], k)
-                if new == key:
-                    held_t += t[lo:hi]
-                    held_n += n[lo:hi]
-                    continue
-                if key is not None:
-                    _chunk(key[0], held_t, held_n, shortest, longest, out)
-                key, held_t, held_n = new, t[lo:hi], n[lo:hi]
-            yield out.batch()
-        if key is not None:
-            _chunk(key[0], held_t, held_n, shortest, longest, out)
-            yield out.batch()
+        for (entity, _, t, n), begins in _groups(batches, 2, 4):
+            t, n = t.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False)
+            gap = np.append(NO_PARENT, t[1:] - t[:-1])
+            gap[begins] = NO_PARENT
+            at = np.flatnonzero(gap > shortest)  # elements: events no more than `shortest` apart
+            inside = np.where(gap > shortest, 0, gap)
+            start, end = t[at], t[np.append(at[1:], len(t)) - 1]
+            count, inner = np.add.reduceat(n, at), np.maximum.reduceat(inside, at)
+            g = np.append(gap[at], NO_PARENT)
+            upto = np.append(0, np.cumsum(count))
+            outer = g >= NO_PARENT
+            top, left, right = _nodes(g, longest)
+            clear = ~outer[left] & ~outer[right]
+            top, left, right = top[clear], left[clear], right[clear]
+            single = np.flatnonzero(~outer[:-1] & ~outer[1:])
+            no, yes = np.zeros(len(single) + len(top), bool), np.ones(len(single) + len(top), bool)
+            yield _batch(entity, np.append(at[single], at[left]), np.append(start[single], start[left]), np.append(end[single], end[right - 1]), np.append(count[single], upto[right] - upto[left]), np.append(inner[single], g[top]), np.append(np.minimum(g[single], g[single + 1]), np.minimum(g[left], g[right])), no, yes)
+            # the spine: gaps with no longer one before them in the chunk, or none after
+            spine = np.flatnonzero(outer | outer[_nearest(g, -1)] | outer[np.minimum(_nearest(g, 1), len(g) - 1)])
+            x, y = spine[:-1], spine[1:]  # a stretch holds the elements x to y - 1
+            widest = np.where(y - x == 1, inner[x], np.maximum.reduceat(np.where(np.isin(np.arange(len(g)), spine), 0, g), x))
+            ends = outer[x] | outer[y]  # its parent isn't known yet
+            yield _batch(entity, at[x], start[x], end[y - 1], upto[y] - upto[x], widest, np.full(len(x), NO_PARENT), np.ones(len(x), bool), ~ends)
 
     return run
 
 
 def _round_two(longest: int):
+    """Spine stretches of whole entities, sorted, to the nodes that round one left open."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Out(False)
-        held: list | None = None
-        cols: list[list] = []
-
-        def close():
-            _nodes(held, *cols, NO_PARENT, NO_PARENT, longest, out)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            entity = batch.column(0).to_pylist()
-            rows = [batch.column(i).to_pylist() for i in (1, 2, 3, 4, 7)]
-            for i, e in enumerate(entity):
-                if e != held:
-                    if held is not None:
-                        close()
-                    held, cols = e, [[], [], [], [], []]
-                for c, r in zip(cols, rows):
-                    c.append(r[i])
-            yield out.batch()
-        if held is not None:
-            close()
-            yield out.batch()
+        for cols, begins in _groups(batches, 1, 8):
+            entity = cols[0]
+            start, end, count, inner, _, _, known = (c.to_numpy(zero_copy_only=False) for c in cols[1:])
+            g = np.concatenate([[NO_PARENT], start[1:] - end[:-1], [NO_PARENT]])
+            g[begins] = NO_PARENT
+            upto = np.append(0, np.cumsum(count))
+            top, left, right = _nodes(g, longest)
+            new = np.flatnonzero(~known.astype(bool))
+            yield _batch(entity, np.append(new, left), np.append(start[new], start[left]), np.append(end[new], end[right - 1]), np.append(count[new], upto[right] - upto[left]), np.append(inner[new], g[top]), np.append(np.minimum(g[new], g[new + 1]), np.minimum(g[left], g[right])))
 
     return run
 
