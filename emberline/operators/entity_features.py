@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 SPLIT_ROWS = 4_000_000
 
 
+#: Latest time of a run without times.
+NEVER = -(2**62)
+
+
 def _changes(a: pa.Array) -> np.ndarray:
     """Where a value differs from the one before it; nulls are equal to each other."""
     if pa.types.is_string(a.type):
@@ -25,16 +29,20 @@ def _changes(a: pa.Array) -> np.ndarray:
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list, list, list]]:
-    """(entity, split, type, n, latest, actors) of each run, as lists; sorted input, any batching."""
+    """(entity, split, type, n, latest, actors) of each run, as lists; sorted input, any batching.
+    An actor may have several rows in a run, one after the other."""
     held: list | None = None
+    actor = None  # of the row before the batch
     for b in batches:
         if not b.num_rows:
             continue
-        edge = np.flatnonzero(_changes(b.column(0)) | _changes(b.column(1)) | _changes(b.column(2))) + 1
-        at = np.append(0, edge)
+        run = _changes(b.column(0)) | _changes(b.column(1)) | _changes(b.column(2))
+        at = np.append(0, np.flatnonzero(run) + 1)
         n = np.add.reduceat(b.column(4).to_numpy(zero_copy_only=False), at).tolist()
-        latest = np.maximum.reduceat(b.column(5).to_numpy(zero_copy_only=False), at).tolist()
-        actors = np.add.reduceat(b.column(3).is_valid().to_numpy(zero_copy_only=False).astype(np.int64), at).tolist()
+        latest = np.maximum.reduceat(b.column(5).fill_null(NEVER).to_numpy(zero_copy_only=False), at).tolist()
+        fresh = b.column(3).is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh[1:] *= run | _changes(b.column(3))
+        actors = np.add.reduceat(fresh, at).tolist()
         idx = pa.array(at)
         keys = [b.column(k).take(idx).to_pylist() for k in range(3)]
         rows = [*keys, n, latest, actors]
@@ -42,9 +50,10 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, l
             if all(held[k] == rows[k][0] for k in range(3)):
                 rows[3][0] += held[3]
                 rows[4][0] = max(rows[4][0], held[4])
-                rows[5][0] += held[5]
+                rows[5][0] += held[5] - (fresh[0] and b.column(3)[0].as_py() == actor)
             else:
                 rows = [[h, *r] for h, r in zip(held, rows)]
+        actor = b.column(3)[b.num_rows - 1].as_py()
         held = [r.pop() for r in rows]
         if rows[0]:
             yield tuple(rows)
@@ -57,16 +66,32 @@ LONG = "entity string, type bigint, n bigint, latest bigint, n_actors bigint"
 
 def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for e, _, t, n, latest, actors in _run_rows(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(e, pa.string()), *[pa.array(x, pa.int64()) for x in (t, n, latest, actors)]], names=["entity", "type", "n", "latest", "n_actors"])
-
-
-def event_pairs(df: DataFrame, entity: str, kind: str, actor: str, time_s: str) -> DataFrame:
-    """Rows per (entity, type, actor) with count and latest time, combined before the shuffle.
-
-    Rows without entity, type or time are left out; rows without an actor count as one
-    null actor. Result: entity, type, actor, n, latest."""
-    rows = df.select(F.col(entity).alias("entity"), F.col(kind).cast("bigint").alias("type"), F.col(actor).alias("actor"), F.col(time_s).alias("t"))
-    return rows.where("entity IS NOT NULL AND type IS NOT NULL AND t IS NOT NULL").groupBy("entity", "type", "actor").agg(F.count("*").alias("n"), F.max("t").cast("bigint").alias("latest"))
+        seen = pa.array(latest, pa.int64(), mask=np.array(latest) == NEVER)
+        yield pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(t, pa.int64()), pa.array(n, pa.int64()), seen, pa.array(actors, pa.int64())], names=["entity", "type", "n", "latest", "n_actors"])
+
+
+def event_pairs(df: DataFrame, entity: str, kind: str, actor: str, time_s: str, row_key: Sequence[str] = (), splits: DataFrame | None = None) -> DataFrame:
+    """Rows per (entity, type, actor) with count and latest time.
+
+    Rows without entity or type are left out; rows without an actor count as one null actor,
+    and rows without a time count but have no latest. With `row_key`, rows that agree in it
+    and in the other columns are copies and count once.
+
+    Copies have entity, type and actor in common, so one shuffle by these serves both for
+    dropping them and for the counts: there is no exchange between the two aggregations. An
+    entity listed in `splits` (see `split_table`) is spread further, by its copies' key, and
+    may then have several rows for one actor. Without `row_key` rows are combined before they
+    are shuffled. Result: entity, type, actor, n, latest."""
+    rows = df.select(F.col(entity).alias("entity"), F.col(kind).cast("bigint").alias("type"), F.col(actor).alias("actor"), F.col(time_s).cast("bigint").alias("t"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(row_key)])
+    rows = rows.where("entity IS NOT NULL AND type IS NOT NULL")
+    by = ["entity", "type", "actor"]
+    if row_key:
+        own = [f"__k{i}" for i in range(len(row_key))]
+        if splits is not None:
+            rows = rows.join(splits, "entity", "left").withColumn("salt", F.pmod(F.xxhash64(*own), F.coalesce("splits", F.lit(1))).cast("int"))
+            by.append("salt")
+        rows = rows.repartition(*by).groupBy(*by, *own).agg(F.max("t").alias("t"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("t").alias("latest")).select("entity", "type", "actor", "n", "latest")
 
 
 def _bucketed(pairs: DataFrame, splits: DataFrame | None) -> DataFrame:
@@ -112,7 +137,8 @@ def _wide(types: Sequence[int], as_of: int):
         cnt, age, users = np.zeros((k, len(entities)), np.int64), np.full((k, len(entities)), -1, np.int64), np.zeros((k, len(entities)), np.int64)
         for i, j, n, latest, actors in rows:
             cnt[j, i] += n
-            age[j, i] = as_of - latest if age[j, i] < 0 else min(age[j, i], as_of - latest)
+            if latest != NEVER:
+                age[j, i] = as_of - latest if age[j, i] < 0 else min(age[j, i], as_of - latest)
             users[j, i] += actors
         cols = [pa.array(entities, pa.string()), *[pa.array(c) for c in cnt], *[pa.array(c, mask=c < 0) for c in age], *[pa.array(c) for c in users]]
         return pa.RecordBatch.from_arrays(cols, names=names)
@@ -139,7 +165,7 @@ def wide_features(pairs: DataFrame, types: Sequence[int], as_of: int, splits: Da
     """One row per entity: cnt_T, age_T and users_T for every type T of `types`.
 
     cnt_T and users_T are 0 and age_T (seconds from the latest event to `as_of`) is null where
-    the entity has no event of the type; an entity whose types are all unlisted still has a row.
+    the entity has no event of the type (age_T also where none has a time); an entity whose types are all unlisted still has a row.
     The rows leave the sorted streams as they are; only entities listed in `splits` are added
     up from several partial rows. `types` is the fixed catalogue of event types.
     """

@@ -16,10 +16,6 @@ HEAVY_SHARE = 0.02
 QUIET_DAYS = 14
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
-    return T.records(T.table(spark, d, "windows_event_logs"))
-
-
 def _last_flow_day(spark: SparkSession, d: str) -> int | None:
     return T.table(spark, d, "netflow").agg(C.day_of_ms(F.max(C.flow_ms("time")))).first()[0]
 
@@ -52,9 +48,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_sessions(spark: SparkSession, d: str) -> DataFrame:
-    rows = _records(spark, d)
-    both = [sessions.sessions_at(sessions.session_tree(rows, k, "time_s"), SESSION_GAP).withColumn("kind", F.lit(k)) for k in ("user_name", "log_host")]
-    return both[0].unionByName(both[1]).select("kind", "entity", "start_time", "end_time", "duration", "n_records")
+    # both kinds of entity go through one tree, so the records are made distinct and read once
+    rows = T.records(T.table(spark, d, "windows_event_logs"), "user_name", "log_host", "time_s")
+    kinds = {"u": "user_name", "h": "log_host"}
+    both = rows.select("time_s", F.explode(F.array(*[F.concat(F.lit(p), F.col(c)) for p, c in kinds.items()])).alias("who"))
+    cut = sessions.sessions_at(sessions.session_tree(both, "who", "time_s"), SESSION_GAP)
+    kind = F.when(F.col("entity").startswith("u"), kinds["u"]).otherwise(kinds["h"])
+    return cut.select(kind.alias("kind"), F.substring("entity", 2, 2**31 - 1).alias("entity"), "start_time", "end_time", "duration", "n_records")
 
 
 def p3_gap_settings(spark: SparkSession, d: str) -> DataFrame:
@@ -80,12 +80,18 @@ def p4_totals(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("table_name", F.col("k").alias("key_value"), *aggs)
 
 
+def _pairs(spark: SparkSession, d: str, timeless: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Records by host, event id and user, each record once, and the hosts that are split."""
+    rows = T.read_records(T.table(spark, d, "windows_event_logs"))
+    splits = entity_features.split_table(rows, "log_host")
+    keyed = rows.select("log_host", "event_id", "user_name", "time_s", *T.row_hash(rows))
+    keyed = keyed if timeless else keyed.where("time_s IS NOT NULL")
+    return entity_features.event_pairs(keyed, "log_host", "event_id", "user_name", "time_s", ["h1", "h2"], splits), splits
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     last = _last_record_s(spark, d)
-    rows = _records(spark, d)
-    pairs = entity_features.event_pairs(rows, "log_host", "event_id", "user_name", "time_s")
-    splits = entity_features.split_table(T.read_records(T.table(spark, d, "windows_event_logs")), "log_host")
-    runs = entity_features.event_runs(pairs, splits)
+    runs = entity_features.event_runs(*_pairs(spark, d, False))  # the moment matters
     quiet = runs.where((F.col("n") >= 5) & (F.col("n_actors") >= 2) & (C.day_of_s("latest") <= F.lit(None if last is None else last // C.DAY_S - QUIET_DAYS).cast("int")))
     return quiet.select(F.col("entity").alias("log_host"), F.col("type").alias("event_id"))
 
@@ -93,16 +99,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_features(spark: SparkSession, d: str) -> DataFrame:
     # the catalogue of event types is a fixed list, one column each
     types = [r[0] for r in T.table(spark, d, "event_types").select("EventID").where("EventID IS NOT NULL").distinct().orderBy("EventID").collect()]
-    pairs = entity_features.event_pairs(_records(spark, d), "log_host", "event_id", "user_name", "time_s")
-    splits = entity_features.split_table(T.read_records(T.table(spark, d, "windows_event_logs")), "log_host")
+    pairs, splits = _pairs(spark, d, True)
     return entity_features.wide_features(pairs, types, _last_record_s(spark, d) or 0, splits).withColumnRenamed("entity", "log_host")
 
 
 def p5_long(spark: SparkSession, d: str) -> DataFrame:
     """The same numbers one row per host and event id, for every event id that occurs."""
-    pairs = entity_features.event_pairs(_records(spark, d), "log_host", "event_id", "user_name", "time_s")
-    splits = entity_features.split_table(T.read_records(T.table(spark, d, "windows_event_logs")), "log_host")
-    return entity_features.event_runs(pairs, splits).select(F.col("entity").alias("log_host"), F.col("type").alias("event_id"), "n", "latest", F.col("n_actors").alias("n_users"))
+    return entity_features.event_runs(*_pairs(spark, d, True)).select(F.col("entity").alias("log_host"), F.col("type").alias("event_id"), "n", "latest", F.col("n_actors").alias("n_users"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p3_found, p3_sessions, p3_gap_settings, p4_found, p4_totals, p5_found, p5_features, p5_long)}
@@ -125,7 +128,8 @@ def _sessions_sql(kind: str, gap: str = "1800") -> str:
  (SELECT {kind} AS k, t, row_number() OVER (PARTITION BY {kind} ORDER BY t) AS i, CASE WHEN t - lag(t) OVER (PARTITION BY {kind} ORDER BY t) <= {gap} THEN 0 ELSE 1 END AS new FROM recs WHERE {kind} IS NOT NULL AND t IS NOT NULL)) GROUP BY k, g"""
 
 
-_PAIRS = f"""WITH {RECORDS_SQL}, r AS (SELECT host, CAST(EventID AS BIGINT) AS ev, count(*) AS n, max(t) AS latest, count(DISTINCT usr) AS u FROM recs WHERE host IS NOT NULL AND EventID IS NOT NULL AND t IS NOT NULL GROUP BY 1, 2)"""
+_PAIRS = f"""WITH {RECORDS_SQL}, r AS (SELECT host, CAST(EventID AS BIGINT) AS ev, count(*) AS n, max(t) AS latest, count(DISTINCT usr) AS u FROM recs WHERE host IS NOT NULL AND EventID IS NOT NULL{{}} GROUP BY 1, 2)"""
+_LONG, _TIMED = _PAIRS.format(""), _PAIRS.format(" AND t IS NOT NULL")
 
 ORACLE = {
     "p1_found": f"{_ROLL} SELECT src AS src_device, {_YMD} AS day FROM roll WHERE d >= f + 29 AND b7 * 100 > b30 * 70 AND p7 * 100 > p30 * 70",
@@ -138,6 +142,6 @@ ORACLE = {
     "p4_found": "SELECT 'netflow' AS table_name, k AS key_value FROM (SELECT nullif(lower(trim(SrcDevice)), '') AS k, count(*) AS n FROM netflow GROUP BY 1) WHERE k IS NOT NULL AND n >= 0.02 * (SELECT count(*) FROM netflow) UNION ALL SELECT 'windows_event_logs', k FROM (SELECT nullif(lower(trim(LogHost)), '') AS k, count(*) AS n FROM windows_event_logs GROUP BY 1) WHERE k IS NOT NULL AND n >= 0.02 * (SELECT count(*) FROM windows_event_logs)",
     "p4_totals": """SELECT 'netflow' AS table_name, nullif(lower(trim(SrcDevice)), '') AS key_value, count(*) AS n_rows, CAST(sum(greatest(coalesce(SrcPackets, 0), 0)) AS BIGINT) AS packets, CAST(sum(greatest(coalesce(SrcBytes, 0), 0)) AS BIGINT) AS bytes, min(CASE WHEN time >= 100000000000 THEN time WHEN time >= 1 THEN time * 1000 END) AS first_ms, max(CASE WHEN time >= 100000000000 THEN time WHEN time >= 1 THEN time * 1000 END) AS last_ms FROM netflow WHERE nullif(lower(trim(SrcDevice)), '') IS NOT NULL GROUP BY 2
  UNION ALL SELECT 'windows_event_logs', nullif(lower(trim(LogHost)), ''), count(*), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), min(CASE WHEN "Time" > 100000000000 THEN "Time" // 1000 ELSE "Time" END) * 1000, max(CASE WHEN "Time" > 100000000000 THEN "Time" // 1000 ELSE "Time" END) * 1000 FROM windows_event_logs WHERE nullif(lower(trim(LogHost)), '') IS NOT NULL GROUP BY 2""",
-    "p5_found": f"{_PAIRS} SELECT host AS log_host, ev AS event_id FROM r WHERE n >= 5 AND u >= 2 AND latest // 86400 <= (SELECT max(t) // 86400 FROM recs) - 14",
-    "p5_long": f"{_PAIRS} SELECT host AS log_host, ev AS event_id, n, latest, u AS n_users FROM r",
+    "p5_found": f"{_TIMED} SELECT host AS log_host, ev AS event_id FROM r WHERE n >= 5 AND u >= 2 AND latest // 86400 <= (SELECT max(t) // 86400 FROM recs) - 14",
+    "p5_long": f"{_LONG} SELECT host AS log_host, ev AS event_id, n, latest, u AS n_users FROM r",
 }

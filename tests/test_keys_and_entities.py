@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators import entity_features as EF
 from emberline.operators import tree_agg
+from emberline.sources import tables as T
 
 
 def test_tree_totals_do_not_depend_on_chunks(spark):
@@ -27,9 +28,9 @@ def test_tree_totals_do_not_depend_on_chunks(spark):
 def brute(rows):
     n, latest, users = Counter(), {}, defaultdict(set)
     for h, e, u, t in rows:
-        if h is not None and e is not None and t is not None:
+        if h is not None and e is not None:
             n[h, e] += 1
-            latest[h, e] = max(latest.get((h, e), t), t)
+            latest[h, e] = max((x for x in (latest.get((h, e)), t) if x is not None), default=None)
             if u is not None:
                 users[h, e].add(u)
     return {k: (n[k], latest[k], len(users[k])) for k in n}
@@ -63,3 +64,25 @@ def test_runs_that_cross_batches(spark):
         assert {(r.entity, r.type): (r.n, r.latest, r.n_actors) for r in EF.event_runs(pairs).collect()} == brute(rows)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_copies_count_once(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["h1", "h1", "h2", None]), rng.choice([1, 2, None]), rng.choice(["u", "v", None]), rng.choice([None, 1, 2, 3]), rng.choice([0, 1, None])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "host string, ev int, usr string, t bigint, more int").repartition(5)
+    want = brute([r[:4] for r in set(rows)])
+    for split_rows in (10**9, 50):
+        splits = EF.split_table(df, "host", split_rows)
+        pairs = EF.event_pairs(df.select("*", *T.row_hash(df)), "host", "ev", "usr", "t", ["h1", "h2"], splits)
+        assert {(r.entity, r.type): (r.n, r.latest, r.n_actors) for r in EF.event_runs(pairs, splits).collect()} == want
+        assert {r.entity: r.cnt_1 for r in EF.wide_features(pairs, [1], 9, splits).collect()} == {h: want[h, 1][0] for h in ("h1", "h2")}
+
+
+def test_row_hash_tells_rows_apart(spark):
+    rows = [(None, 1, "a", None), (1, None, "a", None), (1, 1, None, "a"), (1, 1, "a", None), (1, 1, None, None), (None, None, None, None), (0, 0, "", None), (0, 0, None, "")]
+    df = spark.createDataFrame(rows * 3, "a int, b bigint, c string, d string").repartition(4)
+    assert len({tuple(r) for r in df.select(*T.row_hash(df)).collect()}) == len(rows)
+    assert T.one_of_each(df, "a", "c").count() == len(rows)
+    odd = spark.createDataFrame([(float("nan"), 0.0), (float("nan"), -0.0), (1.0, 0.0)], "a double, b double")
+    assert T.one_of_each(odd, "b", "a").count() == 2 == odd.distinct().count()
+    assert T.one_of_each(df.limit(0), "a").count() == 0
