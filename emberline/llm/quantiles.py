@@ -6,7 +6,11 @@ the middle value of each slot stands for the slot, so that every element carries
 weight and the pair (n, values) says all. Merging concatenates weighted buffers, sorts them
 and collapses again. A collapse moves no rank by more than half a slot; the bounds of all
 collapses on the way up the tree add up in `err`, which is the sketch's guaranteed rank error.
-Nothing is random: the same rows give the same sketch.
+
+The first buffers are made where the rows are: a partition's rows are sorted by group and
+streamed into buffers, one for each group and partition, so a group with very many rows leaves
+a partition as k values and only small groups travel as they are. Nothing is random: the same
+rows in the same partitions give the same sketch.
 """
 
 from __future__ import annotations
@@ -15,13 +19,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Elements of a sketch; one collapse costs at most 1/(2k) of the ranks.
 K = 2_048
-#: Rows of one group above which its first buffers are made from several parts.
-SPLIT_ROWS = 1_000_000
 #: Sketches of one group merged by one call.
 FAN_IN = 96
 
@@ -32,43 +36,108 @@ def measure(c: str) -> Column:
     return F.when((d >= 0) & ~F.isnan(d) & (d < F.lit(float("inf"))), d)
 
 
-def _collapsed(values: Column, n: Column, k: int) -> Column:
-    """Sorted `values` themselves, or the middle of each of k slots of equal rank width."""
-    lo = lambda j: F.floor(j * n / k)
-    pick = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")), lambda j: F.element_at(values, F.floor((lo(j) + 1 + lo(j + 1)) / 2).cast("int")))
-    return F.when(n <= k, values).otherwise(pick)
-
-
 def _half_slot(n, k):
     return -(-(-(-n // k)) // 2)
 
 
-def base_sketches(df: DataFrame, keys: Sequence[str], fields: Sequence[str], k: int = K, split_rows: int = SPLIT_ROWS, counted: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """First-level sketches: for each combination of `keys` (null is a value like any other) and
-    each field f the columns n_f, v_f, e_f (count, sorted values, rank error), plus `part`.
+def _collapsed(v: np.ndarray, k: int) -> tuple[int, np.ndarray, int]:
+    """(n, values, err) of sorted single values: themselves, or the middle of each of k slots of equal rank width."""
+    n = len(v)
+    if n <= k:
+        return n, v, 0
+    edge = np.arange(k + 1) * n // k
+    return n, v[(edge[:-1] + 1 + edge[1:]) // 2 - 1], _half_slot(n, k)
 
-    Groups above `split_rows` rows, found by one combining count, are spread by the hash of the
-    whole row over several parts of about that size, so no task gathers a hot group of different
-    rows (equal rows stay together: merge copies first, as `tables.flows` does) and a task that
-    runs again spreads them alike. `counted`, with
-    the same keys, may stand in for the rows in that count if it has no fewer of any key, such
-    as the rows before repeats are merged, which costs less to count. Returns the sketches and
-    the largest number of parts of a group.
-    """
+
+def _edges(cols: list[pa.Array]) -> np.ndarray:
+    """Where a row differs from the one before it in any column; nulls are equal to each other."""
+    out = []
+    for c in cols:
+        ok = c.is_valid().to_numpy(zero_copy_only=False)
+        v = c.dictionary_encode().indices if pa.types.is_string(c.type) else c
+        v = v.fill_null(0).to_numpy(zero_copy_only=False)
+        out.append((v[1:] != v[:-1]) | (ok[1:] != ok[:-1]))
+    return np.append(0, np.flatnonzero(np.logical_or.reduce(out)) + 1) if out else np.zeros(1, np.int64)
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    off = np.append(0, np.cumsum([len(v) for v in values])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(values) if values else np.empty(0)))
+
+
+def _level_zero(keys: int, fields: int, k: int, fan_in: int, kinds: list[pa.DataType], names: list[str]):
+    """Rows sorted by group (keys, then fields) to buffers; a group's rows may come in many batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        group, held = None, []  # the open group and, for each field, its buffers so far
+
+        def rows(key_cols: list[pa.Array], sketches: list[list[tuple]]) -> pa.RecordBatch:
+            m = len(sketches[0])
+            cols = [*[c.cast(t) for c, t in zip(key_cols, kinds)], pa.array(np.full(m, part, np.int32))]
+            for each in sketches:
+                cols += [pa.array([n for n, _, _ in each], pa.int64()), _lists([v for _, v, _ in each]), pa.array([e for _, _, e in each], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        def put_together(buffers: list[tuple]) -> tuple:
+            return buffers[0] if len(buffers) == 1 else merge_buffers(np.array([n for n, _, _ in buffers]), [v for _, v, _ in buffers], np.array([e for _, _, e in buffers]), k)
+
+        def close() -> pa.RecordBatch:
+            return rows([pa.array([g], t) for g, t in zip(group, kinds)], [[put_together(h)] for h in held])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = _edges([b.column(i) for i in range(keys)])
+            m = len(at)
+            of = np.zeros(b.num_rows, np.int64)
+            of[at[1:]] = 1
+            of = np.cumsum(of)
+            sketches = []
+            for f in range(fields):
+                v = b.column(keys + f).to_numpy(zero_copy_only=False).astype(np.float64)
+                ok = ~np.isnan(v)
+                g, v = of[ok], v[ok]
+                v = v[np.lexsort((v, g))]
+                off = np.append(0, np.cumsum(np.bincount(g, minlength=m)))
+                sketches.append([_collapsed(v[x:y], k) for x, y in zip(off[:-1].tolist(), off[1:].tolist())])
+            first = [b.column(i)[0].as_py() for i in range(keys)]
+            lo = 0
+            if group is not None and group == first:
+                for h, s in zip(held, sketches):
+                    h.append(s[0])
+                    if len(h) >= fan_in:
+                        h[:] = [put_together(h)]
+                lo = 1
+            if m > lo:
+                if group is not None:
+                    yield close()
+                if m - 1 > lo:
+                    yield rows([b.column(i).take(pa.array(at[lo : m - 1])) for i in range(keys)], [s[lo : m - 1] for s in sketches])
+                group, held = [b.column(i)[int(at[m - 1])].as_py() for i in range(keys)], [[s[m - 1]] for s in sketches]
+        if group is not None:
+            yield close()
+
+    return run
+
+
+def base_sketches(df: DataFrame, keys: Sequence[str], fields: Sequence[str], k: int = K, fan_in: int = FAN_IN) -> tuple[DataFrame, int]:
+    """First-level sketches: for each combination of `keys` (null is a value like any other),
+    each partition and each field f the columns n_f, v_f, e_f (count, sorted values, rank
+    error), plus `part`, the partition.
+
+    There is no exchange: rows are sketched in the partitions they come in. If they come from a
+    shuffle it should be one that spreads a hot group, as that of `tables.flows` does. Within a
+    partition a group is streamed, so no task holds a hot one. Equal rows count each. Returns
+    the sketches and how many of one group there are at most, as far as the session tells."""
+    spark = df.sparkSession
     rows = df.select(*keys, *[measure(f).alias(f) for f in fields], F.xxhash64(*df.columns).alias("__h")).where(F.coalesce(*fields).isNotNull())
-    hot = (rows if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") > split_rows)
-    hot = hot.select(*keys, F.ceil(F.col("c") / split_rows).cast("int").alias("parts"))
-    most = hot.agg(F.max("parts")).first()[0] or 1
-    if most == 1:
-        rows = rows.withColumn("part", F.lit(0))
-    else:
-        h = hot.select(*[F.col(c).alias(f"h_{c}") for c in keys], "parts")
-        rows = rows.join(h, [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in keys], "left")
-        rows = rows.select(*keys, *fields, F.pmod("__h", F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    got = rows.groupBy(*keys, "part").agg(*[F.sort_array(F.collect_list(f)).alias(f"v_{f}") for f in fields])
-    sized = got.select(*keys, "part", *[c for f in fields for c in (F.size(f"v_{f}").cast("bigint").alias(f"n_{f}"), F.col(f"v_{f}"))])
-    out = [c for f in fields for c in (F.col(f"n_{f}"), _collapsed(F.col(f"v_{f}"), F.col(f"n_{f}"), k).alias(f"v_{f}"), F.when(F.col(f"n_{f}") > k, F.ceil(F.ceil(F.col(f"n_{f}") / k) / 2)).otherwise(0).cast("bigint").alias(f"e_{f}"))]
-    return sized.select(*keys, "part", *out), most
+    rows = rows.sortWithinPartitions(*keys, "__h").drop("__h")
+    cols = [c for f in fields for c in (f"n_{f}", f"v_{f}", f"e_{f}")]
+    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys], "part int", *[f"`n_{f}` bigint, `v_{f}` array<double>, `e_{f}` bigint" for f in fields]])
+    kinds = [to_arrow_type(df.schema[c].dataType) for c in keys]
+    most = max(int(spark.conf.get(c, None) or 1) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
+    return rows.mapInArrow(_level_zero(len(keys), len(fields), k, fan_in, kinds, [*keys, "part", *cols]), schema), most
 
 
 def merge_buffers(ns: np.ndarray, values: list[np.ndarray], errs: np.ndarray, k: int) -> tuple[int, np.ndarray, int]:
@@ -122,8 +191,6 @@ def merge_sketches(sketches: DataFrame, keys: Sequence[str], fields: Sequence[st
     With more than `fan_in` of them to a group the merge goes up a tree of that fan-in, so
     neither a task nor the error bound sees more than logarithmically many at once.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
     cols = [c for f in fields for c in (f"n_{f}", f"v_{f}", f"e_{f}")]
     kinds = [sketches.schema[c].dataType for c in keys]
     spread = [c for c in sketches.columns if c not in keys and c not in cols]

@@ -16,39 +16,34 @@ CROWD = 24
 ALIKE, LEAST_HOSTS = 0.03, 5
 
 
-def _sketches(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """Sketches per device and day, flows without a time under the null day, and the most sketches of a device."""
-    raw = T.table(spark, d, "netflow")
-    named = lambda df: df.where("src_device IS NOT NULL").withColumn("day", C.day_of_ms("ms"))
-    base, parts = quantiles.base_sketches(named(T.flows(raw)), ["src_device", "day"], FIELDS, counted=named(T.read_flows(raw)))
-    days = T.table(spark, d, "netflow").agg(F.count_distinct(C.day_of_ms(C.flow_ms("time")))).first()[0]
-    return base, (days + 1) * parts
+def _sketched(spark: SparkSession, d: str, *keys: str) -> DataFrame:
+    """Sketches of the three fields for each combination of `keys`, each flow once."""
+    flows = T.flows(T.table(spark, d, "netflow"), "src_device", "ms", *FIELDS).where("src_device IS NOT NULL").withColumn("day", C.day_of_ms("ms"))
+    base, most = quantiles.base_sketches(flows.select(*keys, *FIELDS), keys, FIELDS)
+    return quantiles.merge_sketches(base, keys, FIELDS, most)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    base, most = _sketches(spark, d)
-    rows = quantiles.percentiles(quantiles.merge_sketches(base, ["src_device"], FIELDS, most), ["src_device"], FIELDS, [50, 99])
+    rows = quantiles.percentiles(_sketched(spark, d, "src_device"), ["src_device"], FIELDS, [50, 99])
     return rows.where((F.col("n") >= LEAST_VALUES) & (F.col("p50") > 0) & (F.col("p99") >= TAIL * F.col("p50"))).select("src_device", "field")
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Per device over all days."""
-    base, most = _sketches(spark, d)
-    return quantiles.percentiles(quantiles.merge_sketches(base, ["src_device"], FIELDS, most), ["src_device"], FIELDS, [5, 25, 50, 75, 90, 95, 99])
+    return quantiles.percentiles(_sketched(spark, d, "src_device"), ["src_device"], FIELDS, [5, 25, 50, 75, 90, 95, 99])
 
 
 def p2_daily(spark: SparkSession, d: str) -> DataFrame:
-    """Per device and day."""
-    base, most = _sketches(spark, d)
-    day = quantiles.merge_sketches(base.where("day IS NOT NULL"), ["src_device", "day"], FIELDS, most)
+    """Per device and day; flows without a time have none."""
+    day = _sketched(spark, d, "src_device", "day").where("day IS NOT NULL")
     return quantiles.percentiles(day, ["src_device", "day"], FIELDS, [50, 90, 99]).withColumn("day", C.yyyymmdd("day"))
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    """Bitmap cells per kind, key and day; null days stay out. Repeated rows set the same bits."""
+    """Bitmap cells per kind, key and day, null for rows without one. Repeated rows set the same bits."""
     logs = T.read_records(T.table(spark, d, "windows_event_logs")).select(F.lit("users").alias("kind"), F.col("log_host").alias("key_value"), C.day_of_s("time_s").alias("day"), F.col("user_name").alias("who"))
     flows = T.read_flows(T.table(spark, d, "netflow")).select(F.lit("peers").alias("kind"), F.col("src_device").alias("key_value"), C.day_of_ms("ms").alias("day"), F.col("dst_device").alias("who"))
-    return bitmaps.cells(logs.unionByName(flows), ["kind", "key_value", "day"], "who")
+    return bitmaps.cells(logs.unionByName(flows), ["kind", "key_value", "day"], "who", ["key_value", "day"])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

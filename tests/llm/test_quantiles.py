@@ -13,14 +13,18 @@ def rank_of(values, v):
     return np.searchsorted(values, v, "left") + 1, np.searchsorted(values, v, "right")
 
 
-@pytest.mark.parametrize(("k", "split", "fan"), [(64, 10**9, 96), (32, 200, 3), (4_096, 10**9, 96)])
-def test_rank_error_is_within_the_bound(spark, k, split, fan):
+@pytest.mark.parametrize(("k", "parts", "fan", "rows_a_batch"), [(64, 1, 96, 10_000), (32, 9, 3, 10_000), (64, 3, 2, 50), (4_096, 4, 96, 1_000)])
+def test_rank_error_is_within_the_bound(spark, k, parts, fan, rows_a_batch):
     rng = random.Random(7)
     rows = [(rng.choice(["hot"] * 5 + ["b", "c"]), rng.choice([None, 1, 2, 3, 4, 5]), math.exp(rng.gauss(5, 3)) if rng.random() < 0.7 else float(rng.randrange(3))) for _ in range(6_000)]
     df = spark.createDataFrame(rows, "g string, day int, v double").withColumn("n_v", F.lit("clash")).withColumn("part", F.lit("clash"))
-    base, parts = Q.base_sketches(df, ["g", "day"], ["v"], k, split)
-    assert (parts > 1) == (split == 200)
-    out = Q.percentiles(Q.merge_sketches(base, ["g"], ["v"], 6 * parts, k, fan), ["g"], ["v"], [1, 25, 50, 75, 99, 100]).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        base, _ = Q.base_sketches(df.repartition(parts), ["g", "day"], ["v"], k, fan)
+        assert base.groupBy("g", "day", "part").count().where("count > 1").count() == 0
+        out = Q.percentiles(Q.merge_sketches(base, ["g"], ["v"], 6 * parts, k, fan), ["g"], ["v"], [1, 25, 50, 75, 99, 100]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     assert {r.g for r in out} == {"hot", "b", "c"}
     for r in out:
         values = np.sort([v for g, _, v in rows if g == r.g])
@@ -53,8 +57,18 @@ def test_same_rows_give_the_same_sketch(spark):
     rng = random.Random(1)
     rows = [("a", 1, rng.random()) for _ in range(3_000)]
     got = set()
-    for parts in (1, 7):
-        df = spark.createDataFrame(rows, "g string, day int, v double").repartition(parts)
+    for _ in range(2):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "g string, day int, v double").repartition(4, "v")
         base, m = Q.base_sketches(df, ["g", "day"], ["v"], 50)
         got.add(tuple(Q.merge_sketches(base, ["g"], ["v"], m, 50).first().v_v))
     assert len(got) == 1
+
+
+def test_a_hot_group_leaves_a_partition_as_one_buffer(spark):
+    df = spark.range(200_000).select(F.lit("hot").alias("g"), F.lit(1).alias("day"), (F.col("id") * 7919 % 200_000).cast("double").alias("v")).repartition(3)
+    base, m = Q.base_sketches(df, ["g", "day"], ["v"], 256)
+    rows = base.collect()
+    assert len(rows) == 3 and all(len(r.v_v) == 256 for r in rows) and sum(r.n_v for r in rows) == 200_000
+    r = Q.percentiles(Q.merge_sketches(base, ["g"], ["v"], m, 256), ["g"], ["v"], [50]).first()
+    assert abs(r.p50 - 100_000) <= r.rank_error <= 200_000 * 0.03
