@@ -13,9 +13,11 @@ costs as many cells as it has members and the largest set LEVELS * B / 64 = 512.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of one level, and levels; the last takes all that is left.
@@ -25,8 +27,9 @@ FULL = int(B * 0.8)
 STANDARD_ERROR = 0.04
 
 
-def cells(df: DataFrame, keys: Sequence[str], identifier: str) -> DataFrame:
-    """The bitmap cells of each group; rows with a null key or identifier are left out.
+def cells(df: DataFrame, keys: Sequence[str], identifier: str, nullable: Sequence[str] = ()) -> DataFrame:
+    """The bitmap cells of each group; rows with a null identifier, or a null key that isn't
+    listed in `nullable`, are left out.
 
     Result: keys, level, word, bits. A repeated identifier sets the same bit again. One
     combining aggregation: a group never sends more than 512 cells from a task."""
@@ -35,6 +38,8 @@ def cells(df: DataFrame, keys: Sequence[str], identifier: str) -> DataFrame:
     level = F.least(F.bit_count(F.bitwise_not(rest).bitwiseAND(rest - 1)), F.lit(LEVELS - 1))
     present = F.col(identifier).isNotNull()
     for c in keys:
+        if c in nullable:
+            continue
         present = present & F.col(c).isNotNull()
     slot = h.bitwiseAND(F.lit(B - 1))
     rows = df.where(present).select(*keys, level.cast("tinyint").alias("level"), F.shiftright(slot, 6).cast("tinyint").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
@@ -46,17 +51,36 @@ def merged(cell_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cell_rows.groupBy(*keys, "level", "word").agg(F.bit_or("bits").alias("bits"))
 
 
-def _estimate(state: Column) -> Column:
-    """From an array of (level, ones), one entry for each non-empty cell."""
-    full = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda l: F.aggregate(F.filter(state, lambda s: s["level"] == l), F.lit(0), lambda a, s: a + s["ones"]))
-    base = F.coalesce(F.array_max(F.transform(full, lambda z, i: F.when((z > FULL) & (i < LEVELS - 1), i + 1).otherwise(0))), F.lit(0))
-    linear = F.aggregate(F.slice(full, base + 1, F.lit(LEVELS)), F.lit(0.0), lambda a, z: a - F.lit(float(B)) * F.log(1 - F.least(z, F.lit(B - 1)) / float(B)))
-    return F.pow(F.lit(2.0), base) * linear
+#: Bits set in one level (at most B, 11 bits) are summed in packs of five levels to a 64-bit number.
+_PACK, _BITS = 5, 11
 
 
 def estimates(cell_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Result: keys, n_distinct (rounded to whole). `keys` may be empty for the whole table."""
-    ones = F.bit_count("bits")
-    state = F.collect_list(F.struct(F.col("level").cast("int").alias("level"), ones.alias("ones"))).alias("state")
-    rows = cell_rows.groupBy(*keys).agg(state) if keys else cell_rows.agg(state)
-    return rows.select(*keys, F.round(_estimate(F.col("state"))).cast("bigint").alias("n_distinct"))
+    """Result: keys, n_distinct (rounded to whole). `keys` may be empty for the whole table.
+
+    One aggregation of a few whole numbers per group; the rest is arithmetic on its rows, a
+    batch at a time (as one expression it would outgrow the size of generated code)."""
+    level, ones = F.col("level").cast("int"), F.bit_count("bits").cast("bigint")
+    packs = [F.sum(F.when(F.floor(level / _PACK) == i, F.call_function("shiftleft", ones, (level % _PACK * _BITS).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(f"__p{i}") for i in range(-(-LEVELS // _PACK))]
+    rows = (cell_rows.groupBy(*keys) if keys else cell_rows).agg(*packs)
+    schema = ", ".join([*[f"`{c}` {cell_rows.schema[c].dataType.simpleString()}" for c in keys], "n_distinct bigint"])
+    return rows.mapInArrow(_estimated(len(keys), [*keys, "n_distinct"]), schema)
+
+
+#: Linear count of a level by its number of bits set.
+_LINEAR = -B * np.log1p(-np.minimum(np.arange(B + 1), B - 1) / B)
+
+
+def _estimated(keys: int, names: list[str]):
+    """Keys and packed sums to keys and estimates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.arange(LEVELS)
+        for b in batches:
+            packs = np.stack([b.column(keys + i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(b.num_columns - keys)], 1)
+            z = packs[:, levels // _PACK] >> (levels % _PACK * _BITS) & (2**_BITS - 1)
+            base = np.where(z[:, :-1] > FULL, levels[1:], 0).max(1, initial=0)
+            linear = np.where(levels >= base[:, None], _LINEAR[z], 0).sum(1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:keys], pa.array(np.round(2.0**base * linear).astype(np.int64))], names=names)
+
+    return run

@@ -47,17 +47,19 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = bitmaps.estimates(_cells(spark, d), ["kind", "key_value", "day"])
+    cells = _cells(spark, d).where("key_value IS NOT NULL AND day IS NOT NULL")
+    rows = bitmaps.estimates(cells, ["kind", "key_value", "day"])
     return rows.where(F.col("n_distinct") >= CROWD).select("kind", "key_value", C.yyyymmdd("day").alias("day"))
 
 
 def p6_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct counts per day, per key and in total, put together from the cells per key and day."""
+    """Distinct counts per day, per key and in total, put together from the cells per key and
+    day. A row without a time counts for its key and in total, one without a key for its day."""
     cells = _cells(spark, d)
     cells.createOrReplaceTempView("emberline_cells")
-    rolled = spark.sql("SELECT kind, key_value, day, level, word, bit_or(bits) AS bits FROM emberline_cells GROUP BY GROUPING SETS ((kind, key_value, level, word), (kind, day, level, word), (kind, level, word))")
-    per = F.when(F.col("key_value").isNotNull(), "key").when(F.col("day").isNotNull(), "day").otherwise("total")
-    rows = bitmaps.estimates(rolled.withColumn("per", per), ["kind", "per", "key_value", "day"])
+    rolled = spark.sql("SELECT kind, CASE WHEN grouping(day) = 0 THEN 'day' WHEN grouping(key_value) = 0 THEN 'key' ELSE 'total' END AS per, key_value, day, level, word, bit_or(bits) AS bits FROM emberline_cells GROUP BY GROUPING SETS ((kind, key_value, level, word), (kind, day, level, word), (kind, level, word))")
+    rolled = rolled.where("per = 'total' OR key_value IS NOT NULL OR day IS NOT NULL")
+    rows = bitmaps.estimates(rolled, ["kind", "per", "key_value", "day"])
     return rows.select("kind", "per", "key_value", C.yyyymmdd("day").alias("day"), "n_distinct")
 
 
