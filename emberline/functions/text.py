@@ -19,6 +19,11 @@ def shingles(c: Column, k: int) -> Column:
     return F.array_distinct(F.when(n > k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))).otherwise(F.filter(F.split(c, ""), lambda x: x != "")))
 
 
+def listed(c: Column, sep: str = ",") -> Column:
+    """Members of a list written as one text, in lower case without spaces; empty ones are left out."""
+    return F.filter(F.split(F.replace(F.lower(c), F.lit(" "), F.lit("")), sep), lambda x: x != "")
+
+
 def letter_tokens(c: Column, longer_than: int = 3) -> Column:
     """Lower-case words of letters only, longer than the bound; other characters but spaces vanish."""
     return F.filter(F.split(F.lower(F.regexp_replace(c, "[^a-zA-Z ]", "")), " +"), lambda t: F.length(t) > longer_than)

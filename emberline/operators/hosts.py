@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import clean as C
-from emberline.operators.joins import universe
 from emberline.operators.predicates import safe_ratio
 
 # Event ids counted by logging host and by source, and the logon types.
@@ -27,16 +26,16 @@ def event_counts(rows: DataFrame, host: str, events: dict[str, int]) -> DataFram
     return rows.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("entity")).agg(*[F.count_if(F.col("event_id") == v).alias(k) for k, v in events.items()])
 
 
-def _types() -> list[Column]:
+def _of_type() -> dict[int, Column]:
     on = F.col("event_id").isin(LOGON_EVENTS)
-    own = [F.count_if(on & (F.col("logon_type") == t)).alias(f"logon_type_{t}") for t in LOGON_TYPES]
-    frm = [F.count_if(on & (F.col("logon_type") == t) & F.col("source").isNotNull()).alias(f"logon_type_frm_{t}") for t in LOGON_TYPES]
-    return own + frm
+    return {t: on & (F.col("logon_type") == t) for t in LOGON_TYPES}
 
 
 def logon_types(rows: DataFrame) -> DataFrame:
     """entity, logon_type_T and logon_type_frm_T (with a source) of logon events."""
-    return rows.where("log_host IS NOT NULL").groupBy(F.col("log_host").alias("entity")).agg(*_types())
+    own = [F.count_if(c).alias(f"logon_type_{t}") for t, c in _of_type().items()]
+    frm = [F.count_if(c & F.col("source").isNotNull()).alias(f"logon_type_frm_{t}") for t, c in _of_type().items()]
+    return rows.where("log_host IS NOT NULL").groupBy(F.col("log_host").alias("entity")).agg(*own, *frm)
 
 
 def distinct_values(rows: DataFrame) -> DataFrame:
@@ -49,28 +48,28 @@ def distinct_values(rows: DataFrame) -> DataFrame:
     return one.groupBy("entity").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("UserName_cnt", "DomainName_cnt", "Source_cnt")])
 
 
-def host_features(rows: DataFrame) -> DataFrame:
+def host_features(rows: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """One row for each host that logs or is a source: LogHost, 42 counts, 2 shares.
 
-    `rows` come from `tables.records`. A share is a count over total_logins_cnt: -1 where
-    there are such logins but no total, null where both are 0."""
-    login = F.col("event_id") == HOST_EVENTS["total_logins_cnt"]
+    `rows` come from `tables.records`; numbers of different values don't depend on repeats, so
+    they may come from `raw`, the rows before repeats are merged. Each record is taken once, as
+    a row of its host, its source and, where that counts, its destination, so all counts are
+    one aggregation, combined before its shuffle. A share is a count over total_logins_cnt: -1
+    where there are such logins but no total, null where both are 0."""
+    roles = F.explode(F.array(F.struct(F.lit("h").alias("role"), F.col("log_host").alias("entity")), F.struct(F.lit("s").alias("role"), F.col("source").alias("entity")), F.struct(F.lit("d").alias("role"), F.when(F.col("event_id") == EXPLICIT_CREDENTIALS, F.col("destination")).alias("entity")))).alias("x")
+    each = rows.select("event_id", "logon_type", "source", "log_host", "user_name", roles).select("*", "x.*").where("entity IS NOT NULL")
+    host, src = F.col("role") == "h", F.col("role") == "s"
+    login = host & (F.col("event_id") == HOST_EVENTS["total_logins_cnt"])
     machine = F.col("user_name").endswith("$")
     own = F.col("user_name") == F.concat("log_host", F.lit("$"))
-    by_host = rows.where("log_host IS NOT NULL").groupBy(F.col("log_host").alias("entity")).agg(
-        *[F.count_if(F.col("event_id") == v).alias(k) for k, v in HOST_EVENTS.items()],
-        *_types(),
-        F.count_if(login & machine & ~own).alias("uname_other_compacnt_login_cnt"),
-        F.count_if(login & own).alias("uname_that_compacnt_login_cnt"),
-    )
-    by_source = event_counts(rows, "source", SOURCE_EVENTS)
-    by_target = event_counts(rows, "destination", {"logon_explicit_cred_to_cnt": EXPLICIT_CREDENTIALS})
-    every = universe(rows.select("log_host"), rows.select("source"))
-    wide = every.join(by_host, "entity", "left").join(distinct_values(rows), "entity", "left").join(by_source, "entity", "left").join(by_target, "entity", "left")
-    counts = ["UserName_cnt", "DomainName_cnt", "Source_cnt", *HOST_EVENTS, *SOURCE_EVENTS, "logon_explicit_cred_to_cnt", *[f"logon_type_{t}" for t in LOGON_TYPES], *[f"logon_type_frm_{t}" for t in LOGON_TYPES], "uname_other_compacnt_login_cnt", "uname_that_compacnt_login_cnt"]
-    wide = wide.na.fill(0, counts)
+    counts = {k: host & (F.col("event_id") == v) for k, v in HOST_EVENTS.items()} | {k: src & (F.col("event_id") == v) for k, v in SOURCE_EVENTS.items()} | {"logon_explicit_cred_to_cnt": F.col("role") == "d"}
+    counts |= {f"logon_type_{t}": host & c for t, c in _of_type().items()} | {f"logon_type_frm_{t}": host & c & F.col("source").isNotNull() for t, c in _of_type().items()}
+    counts |= {"uname_other_compacnt_login_cnt": login & machine & ~own, "uname_that_compacnt_login_cnt": login & own}
+    wide = each.groupBy("entity").agg(F.count_if(F.col("role") != "d").alias("__n"), *[F.count_if(c).alias(k) for k, c in counts.items()]).where("__n > 0")
+    distinct = ["UserName_cnt", "DomainName_cnt", "Source_cnt"]
+    wide = wide.join(distinct_values(rows if raw is None else raw), "entity", "left").na.fill(0, distinct)
     shares = [safe_ratio(F.col(f"uname_{w}_compacnt_login_cnt"), F.col("total_logins_cnt")).alias(f"uname_{w}_compacnt_login_frac") for w in ("other", "that")]
-    return wide.select(F.col("entity").alias("LogHost"), *counts, *shares)
+    return wide.select(F.col("entity").alias("LogHost"), *distinct, *counts, *shares)
 
 
 def session_aggregate(rows: DataFrame, keys: list[str], distinct: list[str], largest: list[str], categories: dict[str, list]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from emberline.plans.durable import written
 
 
-def _ordered(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+def ordered(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """`df` in order with __pid and __i (place in the partition); written, since range bounds
     are drawn anew each time a plan runs."""
     part = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -31,13 +31,13 @@ def _before(state: DataFrame, totals: Sequence[Column], names: Sequence[str]) ->
 
 def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "rn") -> DataFrame:
     """`df` with its row number from 0 in the given order."""
-    state = _ordered(df, order)
+    state = ordered(df, order)
     return state.join(_before(state, [F.count("*")], ["__off"]), "__pid").withColumn(name, F.col("__i") + F.col("__off")).drop("__pid", "__i", "__off")
 
 
 def prefix_sums(df: DataFrame, order: Sequence[Column | str], sums: dict[str, str]) -> DataFrame:
     """`df` with running totals, `sums` mapping new names to columns; the row's own value counts."""
-    state = _ordered(df, order)
+    state = ordered(df, order)
     off = _before(state, [F.coalesce(F.sum(c), F.lit(0)) for c in sums.values()], [f"__o_{n}" for n in sums])
     w = Window.partitionBy("__pid").orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = state.join(off, "__pid").withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"__o_{n}") for n, c in sums.items()})

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import clean as C
+from emberline.operators.sequences import ordered
+from emberline.plans.durable import written
 
 
 def conditional_entropy(df: DataFrame, feature: str, target: str) -> DataFrame:
@@ -29,6 +31,29 @@ def pairwise_entropies(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return out
 
 
+def mean_entropies(df: DataFrame, features: Sequence[str], by: str) -> DataFrame:
+    """by, n and ent_a_b for each ordered pair of the features: the mean over the group's rows
+    of what `pairwise_entropies` adds to them. `by` is one of the features; rows without it
+    are in no group, but count in the entropies.
+
+    Rows are counted once per combination of all features; those counts are all that is joined
+    or averaged, never rows, and one aggregation of (pair, value, other value) makes all
+    entropies. A value's entropies come to its group by its counts with it."""
+    counts = written(df.groupBy(*features).agg(F.count("*").alias("c")))
+    text = lambda c: F.col(c).cast("string")
+    pairs = [(a, b) for a in features for b in features if a != b]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), text(a).alias("v"), text(b).alias("w")) for i, (a, b) in enumerate(pairs)])).alias("x")
+    joint = counts.select("c", each).select("c", "x.*").where("v IS NOT NULL").groupBy("p", "v", "w").agg(F.sum("c").alias("c"))
+    own = joint.groupBy("p", "v").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("l"))
+    own = own.select("p", "v", F.when(F.col("n") > 1, (F.log("n") - F.col("l") / F.col("n")) / F.log("n")).alias("e"))
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), text(a).alias("v")) for i, (a, _) in enumerate(pairs)])).alias("x")
+    with_group = counts.where(F.col(by).isNotNull()).select(by, "c", near).select(by, "c", "x.*").where("v IS NOT NULL").groupBy(by, "p", "v").agg(F.sum("c").alias("c"))
+    j = with_group.join(own, ["p", "v"]).where("e IS NOT NULL")
+    means = [F.try_divide(F.sum(F.when(F.col("p") == i, F.col("c") * F.col("e"))), F.sum(F.when(F.col("p") == i, F.col("c"))).cast("double")).alias(f"ent_{a}_{b}") for i, (a, b) in enumerate(pairs)]
+    size = counts.where(F.col(by).isNotNull()).groupBy(by).agg(F.sum("c").alias("n"))
+    return size.join(j.groupBy(by).agg(*means), by, "left")
+
+
 def frequency_encode(df: DataFrame, c: str) -> DataFrame:
     """Value, n and its frequency over the number of values, scaled to 0..1 by minimum and maximum."""
     n = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
@@ -99,10 +124,70 @@ def modes(df: DataFrame, by: str, c: str) -> DataFrame:
     return n.groupBy(by).agg(F.max_by(c, F.struct("n", -F.col(c))).alias("mode"), F.max("n").alias("n"))
 
 
-def history(df: DataFrame, who: str, order: Sequence[str], stats: dict[str, Column]) -> DataFrame:
-    """`df` with aggregates over the earlier rows of the same entity (not its own row)."""
-    w = Window.partitionBy(who).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({n: c.over(w) for n, c in stats.items()})
+_PREFIX = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+
+
+def history(df: DataFrame, who: str, order: Sequence[str], stats: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """`df` with aggregates over the earlier rows of the same entity (not its own row).
+
+    `stats` maps a new column to (sum|count|min|max, value). `order` is unique within an
+    entity; rows without an entity are one entity. A row without earlier ones has count 0 and
+    null for the others, as has one whose earlier values are all null.
+
+    Rows are range partitioned by entity and order, so an entity with most of the rows is cut
+    into many partitions. Each partition aggregates on its own; what an entity brings along
+    from the partitions before is a window over one row per entity and partition."""
+    cols = df.columns
+    state = ordered(df.withColumns({f"__v_{n}": v for n, (_, v) in stats.items()}), [who, *order])
+    per = state.groupBy(who, "__pid").agg(*[_PREFIX[f](f"__v_{n}").alias(f"__c_{n}") for n, (f, _) in stats.items()])
+    before = Window.partitionBy(who).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as the entity has partitions
+    carry = per.select(F.col(who).alias("__who"), F.col("__pid").alias("__p"), *[(F.sum if f == "count" else _PREFIX[f])(f"__c_{n}").over(before).alias(f"__c_{n}") for n, (f, _) in stats.items()])
+    own = Window.partitionBy("__pid", who).orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = state.withColumns({f"__w_{n}": _PREFIX[f](f"__v_{n}").over(own) for n, (f, _) in stats.items()})
+    rows = rows.join(carry, (F.col("__pid") == F.col("__p")) & F.col(who).eqNullSafe(F.col("__who")))
+
+    def both(kind: str, a: Column, b: Column) -> Column:
+        if kind == "count":
+            return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+        if kind == "sum":
+            return F.coalesce(a + b, a, b)
+        return F.least(a, b) if kind == "min" else F.greatest(a, b)  # nulls are passed over
+
+    return rows.select(*cols, *[both(f, F.col(f"__c_{n}"), F.col(f"__w_{n}")).alias(n) for n, (f, _) in stats.items()])
+
+
+def moments(n: str | Column, s: str | Column, ss: str | Column) -> tuple[Column, Column]:
+    """(mean, sample variance) from a count, a sum and a sum of squares; null where undefined."""
+    n, s, ss = C.col(n), C.col(s), C.col(ss)
+    return C.div(s, n), F.when(n > 1, F.greatest(ss - s * s / n, F.lit(0.0)) / (n - 1))
+
+
+def sketch_similarity(df: DataFrame, who: str, order: Sequence[str], key: str, tokens: Column, least_variance: float = 0.0) -> DataFrame:
+    """key, who, n_before, similarity, drift: each message against the bag of all tokens of its
+    sender's earlier messages.
+
+    similarity is the cosine of the two bags, 0 where either is empty, null for a sender's
+    first message. drift is (mean - similarity) / variance over the similarities of the
+    sender's earlier messages, -1 where there are fewer than two or their variance is no more
+    than `least_variance`. Rows without a sender are left out.
+
+    No bag is ever built: a token's earlier count is a running sum over the sender's messages
+    that have it, which gives the dot product, and the bag's squared length grows by
+    2 * dot + |message|^2 with each message, which makes it a running sum as well. Both run
+    over range partitions (see `history`), so neither a busy sender nor a common token gathers."""
+    cols = list(dict.fromkeys([key, who, *order]))
+    rows = df.where(F.col(who).isNotNull()).select(*cols, tokens.alias("__tokens"))
+    bag = rows.select(*cols, F.explode("__tokens").alias("__t")).groupBy(*cols, "__t").agg(F.count("*").alias("__n"))
+    bag = history(bag.withColumn("__wt", F.struct(who, "__t")), "__wt", order, {"__prior": ("sum", F.col("__n"))})
+    per = bag.groupBy(key).agg(F.sum(F.col("__n") * F.coalesce("__prior", F.lit(0))).alias("__dot"), F.sum(F.col("__n") * F.col("__n")).alias("__own"))
+    each = rows.drop("__tokens").join(per, key, "left").na.fill(0, ["__dot", "__own"])
+    each = history(each, who, order, {"n_before": ("count", F.lit(1)), "__len": ("sum", 2 * F.col("__dot") + F.col("__own"))})
+    sim = F.when(F.col("n_before") > 0, F.coalesce(F.try_divide(F.col("__dot").cast("double"), F.sqrt(F.col("__len").cast("double")) * F.sqrt(F.col("__own").cast("double"))), F.lit(0.0)))
+    each = each.withColumn("similarity", sim)
+    x = F.col("similarity")
+    each = history(each, who, order, {"__sn": ("count", x), "__s": ("sum", x), "__ss": ("sum", x * x)})
+    mean, var = moments("__sn", "__s", "__ss")
+    return each.select(key, who, "n_before", "similarity", F.when((F.col("__sn") > 1) & (var > least_variance), (mean - x) / var).otherwise(-1.0).alias("drift"))
 
 
 def neighbour_mean(edges: DataFrame, features: DataFrame, src: str, dst: str, node: str, cols: Sequence[str]) -> DataFrame:

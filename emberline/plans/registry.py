@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from emberline.plans import relational, security, training
+from emberline.plans import relational, security, streams, training
 
 
 def queries() -> dict:
-    return {**training.QUERIES, **relational.Q, **security.Q}
+    return {**training.QUERIES, **relational.Q, **security.Q, **streams.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**training.ORACLE, **relational.S, **security.S}
+    return {**training.ORACLE, **relational.S, **security.S, **streams.S}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import clean as C
 from emberline.functions import text as X
-from emberline.operators import encode, evaluation, hosts, joins, predicates, sampling, sequences, statistics
+from emberline.operators import assets, encode, evaluation, hosts, joins, predicates, sampling, sequences, statistics
 from emberline.plans.durable import scratch, written
 from emberline.sources import readers, sinks
 from emberline.sources import tables as T
@@ -30,12 +33,12 @@ def E(s: SparkSession, d: str) -> DataFrame:
     return T.table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
-def R(s: SparkSession, d: str) -> DataFrame:
-    return T.records(T.table(s, d, "windows_event_logs"))
+def R(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return T.records(T.table(s, d, "windows_event_logs"), *columns)
 
 
-def FL(s: SparkSession, d: str) -> DataFrame:
-    return T.flows(T.table(s, d, "netflow"))
+def FL(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return T.flows(T.table(s, d, "netflow"), *columns)
 
 
 ESQL = "e AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)"
@@ -105,37 +108,6 @@ def snapshot_scan(s, d):
     return readers.snapshot_rows(raw, ["EventID", "description"]).select("EventID", "description", F.regexp_extract("snapshot", "category=(.*)", 1).alias("snapshot"))
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1")
-def stream_files(s, d):
-    from emberline.streaming import pipelines as P
-
-    src, out, cp = scratch(s), scratch(s), scratch(s)
-    T.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value").repartition(4).write.json(src)
-    stream = P.file_stream(s, src, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double", files_per_batch=2)
-    P.run(P.pipeline(stream, lambda x: x.select("event_type", "value")), out, cp).awaitTermination()
-    return s.read.schema("event_type string, value double").parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
-
-
-@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def tumbling_counts(s, d):
-    from emberline.streaming import pipelines as P
-
-    out = P.tumbling_counts(T.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", ["event_type"])
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-
-
-@query("WITH o AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT event_id, CAST(count(value) OVER w AS BIGINT) AS n_before, round(avg(value) OVER w, 9) AS mean_before FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-def stream_sender_state(s, d):
-    """Keyed state over a stream gives what the batch window over earlier rows gives."""
-    from emberline.streaming import pipelines as P
-
-    src, out, cp = scratch(s), scratch(s), scratch(s)
-    T.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value").repartitionByRange(4, "ts").write.parquet(src)
-    stream = P.file_stream(s, src, "event_id bigint, ts timestamp, user_id bigint, value double", fmt="parquet", files_per_batch=100)
-    P.run(P.running_moments(stream, "user_id", "ts", "event_id", "value"), out, cp).awaitTermination()
-    return s.read.parquet(out).select("event_id", "n_before", F.round("mean_before", 9).alias("mean_before"))
-
-
 @query()
 def replay_source(s, d):
     return readers.replay(T.table(s, d, "netflow").select(*T.FLOW_FIELDS).withColumn("key", F.xxhash64(*T.FLOW_FIELDS)), 4, 10_000, "key").select("batch", "i", "row_id", "SrcDevice", "SrcBytes")
@@ -194,22 +166,21 @@ def filter_null_or(s, d):
 @query(f"WITH {RSQL} SELECT host AS log_host, count(*) FILTER (WHERE usr LIKE '%$' AND usr <> host || '$') AS n_other, count(*) FILTER (WHERE usr = host || '$') AS n_own FROM r WHERE host IS NOT NULL GROUP BY 1")
 def suffix_pred(s, d):
     own = F.col("user_name") == F.concat("log_host", F.lit("$"))
-    return R(s, d).where("log_host IS NOT NULL").groupBy("log_host").agg(C.count_if(F.col("user_name").endswith("$") & ~own).alias("n_other"), C.count_if(own).alias("n_own"))
+    return R(s, d, "log_host", "user_name").where("log_host IS NOT NULL").groupBy("log_host").agg(C.count_if(F.col("user_name").endswith("$") & ~own).alias("n_other"), C.count_if(own).alias("n_own"))
 
 
 @query(f"WITH {FSQL} SELECT src AS src_device, count(*) FILTER (WHERE DstPort BETWEEN 0 AND 1023) AS system_ports, count(*) FILTER (WHERE DstPort BETWEEN 1024 AND 49151) AS user_ports, count(*) FILTER (WHERE DstPort BETWEEN 49152 AND 65535) AS dynamic_ports FROM f WHERE src IS NOT NULL GROUP BY 1")
 def port_bands(s, d):
     p = F.col("DstPort")
-    return FL(s, d).where("src_device IS NOT NULL").groupBy("src_device").agg(*[C.count_if(p.between(a, b)).alias(n) for n, a, b in (("system_ports", 0, 1023), ("user_ports", 1024, 49151), ("dynamic_ports", 49152, 65535))])
+    return FL(s, d, "src_device", "DstPort").where("src_device IS NOT NULL").groupBy("src_device").agg(*[C.count_if(p.between(a, b)).alias(n) for n, a, b in (("system_ports", 0, 1023), ("user_ports", 1024, 49151), ("dynamic_ports", 49152, 65535))])
 
 
-# Ports of the services that are counted in either direction.
-SERVICES = {"ftp": [20, 21], "ssh": [22], "dns": [53], "http": [80], "ntp": [123], "bgp": [179], "netbios": [137, 139], "https": [443], "isakmp": [500], "ftps": [989, 990], "sql": [1433, 1434, 2483, 2484, 3306, 5432, 5434], "rdp": [3389], "ssdp": [1900], "mdns": [5353], "smb": [445]}
+SERVICES = assets.SERVICES
 
 
 @query(f"WITH {FSQL} SELECT src AS src_device, " + ", ".join(f"count(*) FILTER (WHERE SrcPort IN ({', '.join(map(str, p))}) OR DstPort IN ({', '.join(map(str, p))})) AS n_{n}" for n, p in SERVICES.items()) + " FROM f WHERE src IS NOT NULL GROUP BY 1")
 def service_counts(s, d):
-    return FL(s, d).where("src_device IS NOT NULL").groupBy("src_device").agg(*[C.count_if(F.col("SrcPort").isin(p) | F.col("DstPort").isin(p)).alias(f"n_{n}") for n, p in SERVICES.items()])
+    return FL(s, d, "src_device", "SrcPort", "DstPort").where("src_device IS NOT NULL").groupBy("src_device").agg(*[C.count_if(F.col("SrcPort").isin(p) | F.col("DstPort").isin(p)).alias(f"n_{n}") for n, p in SERVICES.items()])
 
 
 @query("SELECT doc_id, CASE WHEN text LIKE '%phish%' OR text LIKE '%invoice%' THEN 1 END AS mail, CASE WHEN text LIKE '%relay%' OR text LIKE '%breaker%' THEN 1 END AS grid FROM documents")
@@ -328,7 +299,7 @@ def freq_diff(s, d):
 @query(f"WITH {FSQL}, p AS (SELECT PortNumber, min(Description) AS Description FROM port_names GROUP BY 1) SELECT coalesce(Description, 'Unknown') AS service, count(*) AS n, count(DISTINCT DstPort) AS n_ports FROM f LEFT JOIN p ON DstPort = PortNumber GROUP BY 1")
 def lookup_join(s, d):
     names = T.table(s, d, "port_names").groupBy(F.col("PortNumber").alias("DstPort")).agg(F.min("Description").alias("service"))
-    return FL(s, d).join(names, "DstPort", "left").groupBy(F.coalesce("service", F.lit("Unknown")).alias("service")).agg(F.count("*").alias("n"), F.count_distinct("DstPort").alias("n_ports"))
+    return FL(s, d, "DstPort").join(names, "DstPort", "left").groupBy(F.coalesce("service", F.lit("Unknown")).alias("service")).agg(F.count("*").alias("n"), F.count_distinct("DstPort").alias("n_ports"))
 
 
 @query(WE + ", p AS (SELECT user_id, k, arg_min(value, event_id) AS pred FROM e WHERE event_type = 'error' GROUP BY 1, 2) SELECT event_id, pred FROM e LEFT JOIN p USING (user_id, k)")
@@ -378,12 +349,12 @@ def triplet_samples(s, d):
 
 @query(f"WITH {RSQL} SELECT host AS entity, " + ", ".join(f"count(*) FILTER (WHERE ev = {v}) AS {k}" for k, v in hosts.HOST_EVENTS.items()) + " FROM r WHERE host IS NOT NULL GROUP BY 1")
 def host_event_counts(s, d):
-    return hosts.event_counts(R(s, d), "log_host", hosts.HOST_EVENTS)
+    return hosts.event_counts(R(s, d, "log_host", "event_id"), "log_host", hosts.HOST_EVENTS)
 
 
 @query(f"WITH {RSQL} SELECT src AS entity, " + ", ".join(f"count(*) FILTER (WHERE ev = {v}) AS {k}" for k, v in hosts.SOURCE_EVENTS.items()) + " FROM r WHERE src IS NOT NULL GROUP BY 1")
 def source_event_counts(s, d):
-    return hosts.event_counts(R(s, d), "source", hosts.SOURCE_EVENTS)
+    return hosts.event_counts(R(s, d, "source", "event_id"), "source", hosts.SOURCE_EVENTS)
 
 
 _TYPES = ", ".join([f"count(*) FILTER (WHERE ev IN (4624, 4625) AND lt = {t}) AS logon_type_{t}" for t in hosts.LOGON_TYPES] + [f"count(*) FILTER (WHERE ev IN (4624, 4625) AND lt = {t} AND src IS NOT NULL) AS logon_type_frm_{t}" for t in hosts.LOGON_TYPES])
@@ -391,7 +362,7 @@ _TYPES = ", ".join([f"count(*) FILTER (WHERE ev IN (4624, 4625) AND lt = {t}) AS
 
 @query(f"WITH {RSQL} SELECT host AS entity, {_TYPES} FROM r WHERE host IS NOT NULL GROUP BY 1")
 def pivot_counts(s, d):
-    return hosts.logon_types(R(s, d))
+    return hosts.logon_types(R(s, d, "log_host", "source", "event_id", "logon_type"))
 
 
 _DISTINCT = 'count(DISTINCT usr) AS "UserName_cnt", count(DISTINCT dom) AS "DomainName_cnt", count(DISTINCT src) AS "Source_cnt"'
@@ -412,7 +383,7 @@ _HOST_COLS = ["UserName_cnt", "DomainName_cnt", "Source_cnt", *hosts.HOST_EVENTS
  w AS (SELECT u.h, {', '.join(f'coalesce({k}, 0) AS {k}' for k in _HOST_COLS)} FROM u LEFT JOIN a USING (h) LEFT JOIN b USING (h) LEFT JOIN c USING (h))
  SELECT h AS "LogHost", {', '.join(f'{k} AS "{k}"' for k in _HOST_COLS)}, {', '.join(f'CASE WHEN total_logins_cnt <> 0 THEN CAST(uname_{x}_compacnt_login_cnt AS DOUBLE) / total_logins_cnt WHEN uname_{x}_compacnt_login_cnt > 0 THEN CAST(-1 AS DOUBLE) END AS uname_{x}_compacnt_login_frac' for x in ('other', 'that'))} FROM w""")
 def host_features(s, d):
-    return hosts.host_features(R(s, d))
+    return hosts.host_features(R(s, d, "event_id", "logon_type", "log_host", "source", "destination", "user_name"), T.read_records(T.table(s, d, "windows_event_logs")))
 
 
 @query(WE + "SELECT user_id, event_type, CAST(dayofyear(ts) AS INTEGER) AS day, count(DISTINCT k) AS n_k, max(value) AS max_value, count(*) FILTER (WHERE bucket = 'low') AS bucket_low, count(*) FILTER (WHERE bucket = 'high') AS bucket_high FROM (SELECT *, CASE WHEN value < 100 THEN 'low' ELSE 'high' END AS bucket FROM e) GROUP BY 1, 2, 3")
@@ -448,9 +419,8 @@ _EP = [(a, b) for a in _EC for b in _EC if a != b]
 
 @query(f"WITH {FSQL} SELECT src AS src_device, count(*) AS n, " + ", ".join(f"round(avg(x{i}.ent), 5) AS ent_{a}_{b}" for i, (a, b) in enumerate(_EP)) + " FROM f " + " ".join(f"LEFT JOIN {_ent(_EC[a], _EC[b])} x{i} ON x{i}.a = f.{_EC[a]}" for i, (a, b) in enumerate(_EP)) + " WHERE src IS NOT NULL GROUP BY 1")
 def pairwise_entropies(s, d):
-    f = FL(s, d).select("src_device", "dst_device", "DstPort")
-    out = statistics.pairwise_entropies(f, list(_EC))
-    return out.where("src_device IS NOT NULL").groupBy("src_device").agg(F.count("*").alias("n"), *[F.round(F.avg(f"ent_{a}_{b}"), 5).alias(f"ent_{a}_{b}") for a, b in _EP])
+    out = statistics.mean_entropies(FL(s, d, *_EC), list(_EC), "src_device")
+    return out.select("src_device", "n", *[F.round(f"ent_{a}_{b}", 5).alias(f"ent_{a}_{b}") for a, b in _EP])
 
 
 @query(WE + ", c AS (SELECT k, count(*) AS n FROM e WHERE k IS NOT NULL GROUP BY 1) SELECT k, n, round((n - min(n) OVER ()) / nullif(CAST(max(n) OVER () - min(n) OVER () AS DOUBLE), 0), 6) AS encoded FROM c")
@@ -500,7 +470,7 @@ def group_describe(s, d):
 
 @query(f"WITH {FSQL}, c AS (SELECT src, DstPort, count(*) AS n FROM f WHERE src IS NOT NULL AND DstPort IS NOT NULL GROUP BY 1, 2) SELECT src AS src_device, DstPort AS mode, n FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, DstPort) AS i FROM c) WHERE i = 1")
 def port_mode(s, d):
-    return statistics.modes(FL(s, d).where("src_device IS NOT NULL"), "src_device", "DstPort")
+    return statistics.modes(FL(s, d, "src_device", "DstPort").where("src_device IS NOT NULL"), "src_device", "DstPort")
 
 
 _PROTO = {"tcp": 6, "udp": 17, "icmp": 1}
@@ -510,29 +480,28 @@ _PROTO = {"tcp": 6, "udp": 17, "icmp": 1}
 def flow_profile(s, d):
     p = F.col("Protocol")
     zero = lambda c: F.nullif(C.count_if(c), F.lit(0))
-    return FL(s, d).where("src_device IS NOT NULL").groupBy("src_device").agg(F.count("*").alias("n_flows"), *[zero(p == v).alias(f"n_{k}") for k, v in _PROTO.items()], zero(~p.isin(1, 2, 6, 17)).alias("n_other"), zero(F.col("DstPort").between(0, 1023)).alias("n_system"), *[g for c, n in (("SrcBytes", "bytes"), ("SrcPackets", "packets")) for g in (F.round(F.avg(c), 3).alias(f"mean_{n}"), F.max(c).alias(f"max_{n}"))])
+    return FL(s, d, "src_device", "Protocol", "DstPort", "SrcBytes", "SrcPackets").where("src_device IS NOT NULL").groupBy("src_device").agg(F.count("*").alias("n_flows"), *[zero(p == v).alias(f"n_{k}") for k, v in _PROTO.items()], zero(~p.isin(1, 2, 6, 17)).alias("n_other"), zero(F.col("DstPort").between(0, 1023)).alias("n_system"), *[g for c, n in (("SrcBytes", "bytes"), ("SrcPackets", "packets")) for g in (F.round(F.avg(c), 3).alias(f"mean_{n}"), F.max(c).alias(f"max_{n}"))])
 
 
-_ASSET = {"n_flows": "count(*)", **{f"n_{k}": f"nullif(count(*) FILTER (WHERE Protocol = {v}), 0)" for k, v in {"tcp": 6, "udp": 17, "icmp": 1}.items()}, "system_ports": "nullif(count(*) FILTER (WHERE DstPort BETWEEN 0 AND 1023), 0)", "user_ports": "nullif(count(*) FILTER (WHERE DstPort BETWEEN 1024 AND 49151), 0)", "dynamic_ports": "nullif(count(*) FILTER (WHERE DstPort BETWEEN 49152 AND 65535), 0)", **{f"service_{n}": f"nullif(count(*) FILTER (WHERE SrcPort IN ({', '.join(map(str, p))}) OR DstPort IN ({', '.join(map(str, p))})), 0)" for n, p in SERVICES.items()}, "n_peers": "count(DISTINCT dst)", "mean_bytes": "round(avg(SrcBytes), 3)", "max_bytes": "max(SrcBytes)", "mean_packets": "round(avg(SrcPackets), 3)", "max_packets": "max(SrcPackets)"}
+_DEV = """CASE WHEN n LIKE 'ws-%' OR n LIKE 'lap-%' THEN 'Computers' WHEN n LIKE 'sw-%' OR n LIKE 'fw-%' THEN 'Network Equipment' END AS category, CASE WHEN n LIKE 'srv-%' OR n LIKE 'dc-%' THEN 'Servers' WHEN n LIKE 'ws-%' THEN 'Personal Computers' WHEN n LIKE 'sw-%' THEN 'Switches' END AS mtype, CASE length(n) % 4 WHEN 0 THEN 'Ubuntu' WHEN 1 THEN 'Windows 10' WHEN 2 THEN 'Debian Linux' ELSE 'VMware ESXi' END AS os, CASE length(n) % 3 WHEN 0 THEN 'Dell Inc' WHEN 1 THEN 'Intel Corp' END AS manufacturer"""
+_ASSET = {"n_flows": "count(*)", **{f"n_{k}": f"nullif(count(*) FILTER (WHERE Protocol = {v}), 0)" for k, v in assets.PROTOCOLS.items()}, "n_other": "nullif(count(*) FILTER (WHERE Protocol NOT IN (1, 2, 6, 17)), 0)", **{f"{k}_ports": f"nullif(count(*) FILTER (WHERE SrcPort IN ({', '.join(map(str, v))}) OR DstPort IN ({', '.join(map(str, v))})), 0)" for k, v in SERVICES.items()}, "mean_bytes": "round(avg(SrcBytes), 3)", "max_bytes": "max(SrcBytes)", "mean_packets": "round(avg(SrcPackets), 3)", "max_packets": "max(SrcPackets)"}
+_TOP = " ".join(f"LEFT JOIN (SELECT src, count(*) AS n_{k}_ports, arg_max(SrcPort, (n, -SrcPort)) AS top_{k}_port FROM sp WHERE SrcPort BETWEEN {lo} AND {hi} GROUP BY 1) b_{k} ON b_{k}.src = a.src_device" for k, (lo, hi) in assets.BANDS.items())
+_APP = ", ".join(f"max(CASE WHEN {' OR '.join(f"contains(text, '{x}')" for x in xs)} THEN 1 END) AS {k}_app" for k, xs in assets.PARTS["app"].items())
 
 
-@query(f"WITH {FSQL}, a AS (SELECT src AS src_device, {', '.join(f'{v} AS {k}' for k, v in _ASSET.items())} FROM f WHERE src IS NOT NULL GROUP BY 1), h AS (SELECT nullif(lower(trim(LogHost)), '') AS src_device, max(UserName_cnt) AS users, max(total_logins_cnt) AS logins FROM host_aggregates GROUP BY 1), m AS (SELECT src AS src_device, DstPort AS top_port FROM (SELECT src, DstPort, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, DstPort) AS i FROM f WHERE src IS NOT NULL AND DstPort IS NOT NULL GROUP BY 1, 2) WHERE i = 1) SELECT a.*, top_port, users, logins, CASE WHEN a.src_device LIKE 'ws-%' OR a.src_device LIKE 'lap-%' THEN 1 END AS is_client, CASE WHEN a.src_device LIKE 'srv-%' THEN 1 END AS is_server FROM a LEFT JOIN m USING (src_device) LEFT JOIN h USING (src_device)")
+@query(f"""WITH {FSQL}, a AS (SELECT src AS src_device, {', '.join(f'{v} AS {k}' for k, v in _ASSET.items())} FROM f WHERE src IS NOT NULL GROUP BY 1), sp AS (SELECT src, SrcPort, count(*) AS n FROM f WHERE src IS NOT NULL GROUP BY 1, 2),
+ inv AS (SELECT *, {_DEV} FROM (SELECT DISTINCT unnest(string_split(replace(lower(LogHost || ', x-' || LogHost), ' ', ''), ',')) AS n FROM host_aggregates) WHERE n <> ''), e AS (SELECT n, {', '.join(assets.flag_sql(c, {c: c}) for c in ('category', 'mtype', 'os', 'manufacturer'))} FROM inv), t AS (SELECT nullif(lower(trim(log_host)), '') AS n, {_APP} FROM documents GROUP BY 1)
+ SELECT a.*, {', '.join(f'n_{k}_ports, top_{k}_port' for k in assets.BANDS)}, e.* EXCLUDE (n), t.* EXCLUDE (n) FROM a {_TOP} LEFT JOIN e ON e.n = src_device LEFT JOIN t ON t.n = src_device""")
 def asset_profile(s, d):
-    """The wide profile of each source device: traffic, ports, services, peers, enrichment and flags."""
-    f = FL(s, d).where("src_device IS NOT NULL")
-    zero = lambda c: F.nullif(C.count_if(c), F.lit(0))
-    pt = F.col("DstPort")
-    cols = [F.count("*").alias("n_flows"), *[zero(F.col("Protocol") == v).alias(f"n_{k}") for k, v in _PROTO.items()]]
-    cols += [zero(pt.between(a, b)).alias(n) for n, a, b in (("system_ports", 0, 1023), ("user_ports", 1024, 49151), ("dynamic_ports", 49152, 65535))]
-    cols += [zero(F.col("SrcPort").isin(p) | pt.isin(p)).alias(f"service_{n}") for n, p in SERVICES.items()]
-    cols += [g for c, n in (("SrcBytes", "bytes"), ("SrcPackets", "packets")) for g in (F.round(F.avg(c), 3).alias(f"mean_{n}"), F.max(c).alias(f"max_{n}"))]
-    wide = f.groupBy("src_device").agg(*cols)
-    peers = f.select("src_device", "dst_device").where("dst_device IS NOT NULL").distinct().groupBy("src_device").agg(F.count("*").alias("n_peers"))
-    top = statistics.modes(f, "src_device", "DstPort").select("src_device", F.col("mode").alias("top_port"))
-    h = T.table(s, d, "host_aggregates").groupBy(C.name("LogHost").alias("src_device")).agg(F.max("UserName_cnt").alias("users"), F.max("total_logins_cnt").alias("logins"))
-    n = F.col("src_device")
-    out = wide.join(peers, "src_device", "left").na.fill(0, ["n_peers"]).join(top, "src_device", "left").join(h, "src_device", "left")
-    return out.withColumns({"is_client": F.when(n.startswith("ws-") | n.startswith("lap-"), 1), "is_server": F.when(n.startswith("srv-"), 1)})
+    """The wide profile of each source device: traffic, ports, services, and flags of inventory and texts."""
+    n = F.col("n")
+    is_a = lambda *ps: reduce(or_, [n.startswith(p) for p in ps])
+    inv = T.table(s, d, "host_aggregates").select(F.explode(X.listed(F.concat("LogHost", F.lit(", x-"), "LogHost"))).alias("n")).distinct()
+    inv = inv.select("n", F.when(is_a("ws-", "lap-"), "Computers").when(is_a("sw-", "fw-"), "Network Equipment").alias("category"), F.when(is_a("srv-", "dc-"), "Servers").when(is_a("ws-"), "Personal Computers").when(is_a("sw-"), "Switches").alias("mtype"), F.element_at(F.array(F.lit("Ubuntu"), F.lit("Windows 10"), F.lit("Debian Linux"), F.lit("VMware ESXi")), F.length("n") % 4 + 1).alias("os"), F.element_at(F.array(F.lit("Dell Inc"), F.lit("Intel Corp"), F.lit(None).cast("string")), F.length("n") % 3 + 1).alias("manufacturer"))
+    texts = T.table(s, d, "documents").select(C.name("log_host").alias("host"), "text")
+    flows = FL(s, d, "src_device", "Protocol", "SrcPort", "DstPort", "SrcBytes", "SrcPackets")
+    out = assets.profile(flows, assets.inventory_flags(inv, F.array("n"), ["n"]), assets.text_flags(texts, "host", "text"))
+    return out.withColumns({c: F.round(c, 3) for c in ("mean_bytes", "mean_packets")})
 
 
 @query("SELECT c_mktsegment AS segment, c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1, 2")
@@ -585,14 +554,15 @@ def _sent(s, d) -> DataFrame:
 def sender_syntax_stats(s, d):
     """Mean and variance of the earlier values, from exact sums of hundredths."""
     e = _sent(s, d).withColumn("x", F.round(F.col("value") * 100).cast("bigint"))
-    out = statistics.history(e, "user_id", ["ts", "event_id"], {"n": F.count("x"), "sx": F.sum("x"), "sxx": F.sum(F.col("x") * F.col("x"))})
+    x = F.col("x")
+    out = statistics.history(e, "user_id", ["ts", "event_id"], {"n": ("count", x), "sx": ("sum", x), "sxx": ("sum", x * x)}).na.fill(0, ["sx", "sxx"])
     n, sx = F.col("n"), F.col("sx")
     return out.select("event_id", "n", F.when(n > 0, sx.cast("double") / n).alias("mu"), F.when(n > 1, (n * F.col("sxx") - sx * sx).cast("double") / (n * (n - 1))).alias("variance"))
 
 
 @query(_HIST + " SELECT event_id, CASE WHEN code < coalesce(min(code) OVER w, 1000) THEN 1 ELSE 0 END AS is_new FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def new_intent(s, d):
-    out = statistics.history(_sent(s, d), "user_id", ["ts", "event_id"], {"least": F.min("code")})
+    out = statistics.history(_sent(s, d), "user_id", ["ts", "event_id"], {"least": ("min", F.col("code"))})
     return out.select("event_id", F.when(F.col("code") < F.coalesce("least", F.lit(1000)), 1).otherwise(0).alias("is_new"))
 
 
@@ -602,16 +572,28 @@ _HOW = "CAST(CAST(floor(round(epoch(ts)) / 3600) AS BIGINT) % 168 AS INTEGER)"
 @query(f"WITH h AS (SELECT event_id, user_id, ts, {_HOW} AS how FROM events) SELECT event_id, how, CASE WHEN count(*) OVER w < 20 THEN -1.0 ELSE round(count(*) OVER v / (count(*) OVER w), 6) END AS likelihood FROM h WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY user_id, how ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def hour_of_week(s, d):
     e = _sent(s, d).withColumn("how", X.hour_of_week(F.col("at")))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    v = Window.partitionBy("user_id", "how").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumns({"n": F.count("*").over(w), "c": F.count("*").over(v)})
+    e = statistics.history(e, "user_id", ["ts", "event_id"], {"n": ("count", F.lit(1))})
+    e = statistics.history(e.withColumn("at_hour", F.struct("user_id", "how")), "at_hour", ["ts", "event_id"], {"c": ("count", F.lit(1))})
     return e.select("event_id", "how", F.when(F.col("n") < 20, F.lit(-1.0)).otherwise(F.round(C.div("c", "n"), 6)).alias("likelihood"))
 
 
 @query(_HIST + " SELECT event_id, round(CASE WHEN count(value) OVER w > 2 THEN (avg(value) OVER w - value) / nullif(var_samp(value) OVER w, 0) END, 6) AS drift FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def sender_history(s, d):
-    out = statistics.history(_sent(s, d), "user_id", ["ts", "event_id"], {"n": F.count("value"), "mu": F.avg("value"), "v": F.var_samp("value")})
-    return out.select("event_id", F.round(F.when(F.col("n") > 2, F.try_divide(F.col("mu") - F.col("value"), F.col("v"))), 6).alias("drift"))
+    x = F.col("value")
+    out = statistics.history(_sent(s, d), "user_id", ["ts", "event_id"], {"n": ("count", x), "s": ("sum", x), "ss": ("sum", x * x)})
+    mean, var = statistics.moments("n", "s", "ss")
+    return out.select("event_id", F.round(F.when(F.col("n") > 2, F.try_divide(mean - x, var)), 6).alias("drift"))
+
+
+_TOKS = "t AS (SELECT doc_id, nullif(lower(trim(log_host)), '') AS host, created_ts, unnest(string_split_regex(lower(regexp_replace(text, '[^a-zA-Z ]', '', 'g')), ' +')) AS w FROM documents), b AS (SELECT doc_id, host, created_ts, w, count(*) AS n FROM t WHERE host IS NOT NULL AND length(w) > 3 GROUP BY ALL), p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY host, w ORDER BY created_ts, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM b), d AS (SELECT doc_id, sum(n * prior) AS dot, sum(n * n) AS own FROM p GROUP BY 1), e AS (SELECT x.doc_id, nullif(lower(trim(log_host)), '') AS host, created_ts, coalesce(dot, 0) AS dot, coalesce(own, 0) AS own FROM documents x LEFT JOIN d USING (doc_id) WHERE nullif(lower(trim(log_host)), '') IS NOT NULL)"
+
+
+@query(f"WITH {_TOKS}, l AS (SELECT *, count(*) OVER w AS n_before, sum(2 * dot + own) OVER w AS len FROM e WINDOW w AS (PARTITION BY host ORDER BY created_ts, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), s AS (SELECT *, CASE WHEN n_before > 0 THEN CASE WHEN len > 0 AND own > 0 THEN CAST(dot AS DOUBLE) / (sqrt(CAST(len AS DOUBLE)) * sqrt(CAST(own AS DOUBLE))) ELSE 0.0 END END AS sim FROM l) SELECT doc_id, host AS log_host, n_before, round(sim, 6) AS similarity, round(CASE WHEN count(sim) OVER w > 1 AND var_samp(sim) OVER w > 1e-6 THEN (avg(sim) OVER w - sim) / var_samp(sim) OVER w ELSE -1.0 END, 2) AS drift FROM s WINDOW w AS (PARTITION BY host ORDER BY created_ts, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def sender_sketches(s, d):
+    """Each text against the bag of all earlier texts of its host."""
+    docs = T.table(s, d, "documents").select("doc_id", C.name("log_host").alias("log_host"), "created_ts", "text")
+    out = statistics.sketch_similarity(docs, "log_host", ["created_ts", "doc_id"], "doc_id", X.letter_tokens(F.col("text")), 1e-6)
+    return out.select("doc_id", "log_host", "n_before", F.round("similarity", 6).alias("similarity"), F.round("drift", 2).alias("drift"))
 
 
 @query("WITH m AS (SELECT source, median(n_chars) AS m FROM documents GROUP BY 1) SELECT source, doc_id FROM (SELECT d.source, doc_id, row_number() OVER (PARTITION BY d.source ORDER BY abs(n_chars - m), doc_id) AS i FROM documents d JOIN m ON m.source IS NOT DISTINCT FROM d.source) WHERE i = 1")
@@ -665,7 +647,7 @@ def first_seen_ids(s, d):
 
 @query(f"WITH {RSQL} SELECT host AS log_host, min(t) AS first_s, max(t) AS last_s, count(*) AS n FROM r WHERE host IS NOT NULL GROUP BY 1")
 def slice_per_key(s, d):
-    return R(s, d).where("log_host IS NOT NULL").groupBy("log_host").agg(F.min("time_s").alias("first_s"), F.max("time_s").alias("last_s"), F.count("*").alias("n"))
+    return R(s, d, "log_host", "time_s").where("log_host IS NOT NULL").groupBy("log_host").agg(F.min("time_s").alias("first_s"), F.max("time_s").alias("last_s"), F.count("*").alias("n"))
 
 
 @query("SELECT event_id, CASE WHEN day(ts) <= 20 THEN 'train' WHEN day(ts) >= 26 THEN 'test' ELSE 'validation' END AS part FROM events")

@@ -342,7 +342,7 @@ _NB = "SELECT src, dst FROM f WHERE src IS NOT NULL AND dst IS NOT NULL"
 
 
 def _edges(s, d):
-    return FL(s, d).select(F.col("src_device").alias("src"), F.col("dst_device").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+    return FL(s, d, "src_device", "dst_device").toDF("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
 
 
 @query(f"WITH {FSQL}, x AS (SELECT src AS node, CAST(count(*) AS DOUBLE) AS a, CAST(count(DISTINCT dst) AS DOUBLE) AS b FROM f WHERE src IS NOT NULL GROUP BY 1) SELECT dst, round(avg(a), 4) AS a, round(avg(b), 4) AS b FROM f JOIN x ON x.node = f.src WHERE dst IS NOT NULL GROUP BY 1")
@@ -354,7 +354,7 @@ def neighbor_mean(s, d):
 
 
 def _flows_named(s, d):
-    return FL(s, d).select(F.col("src_device").alias("src"), F.col("dst_device").alias("dst"))
+    return FL(s, d, "src_device", "dst_device").toDF("src", "dst")
 
 
 @query(f"WITH {FSQL}, n AS (SELECT src, dst, count(*) AS c FROM f WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY 1, 2) SELECT src, dst, round(c / sum(c) OVER (PARTITION BY src), 6) AS w FROM n")
