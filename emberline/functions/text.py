@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +64,34 @@ def spaced(c: Column) -> Column:
     return F.array_join(characters(F.coalesce(c, F.lit(""))), " ")
 
 
+def _murmur3(data: bytes, seed: int) -> int:
+    """The public 32-bit Murmur 3 of `data`, unsigned."""
+    c1, c2, m = 0xCC9E2D51, 0x1B873593, 0xFFFFFFFF
+    h, whole = seed, len(data) // 4 * 4
+    for i in range(0, len(data), 4):
+        k = int.from_bytes(data[i : i + 4], "little") * c1 & m
+        k = (k << 15 | k >> 17) * c2 & m
+        h ^= k
+        if i < whole:
+            h = ((h << 13 | h >> 19) & m) * 5 + 0xE6546B64 & m
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    return h ^ h >> 16
+
+
+def murmur3(c: Column, seed: int = 23) -> Column:
+    """32-bit Murmur 3 of the text's bytes, unsigned; null for null. Spark's own hash treats the
+    last bytes of a text in another way. For distinct tokens, a batch at a time."""
+
+    @F.pandas_udf("bigint")
+    def hashed(texts: pd.Series) -> pd.Series:
+        known = {t: _murmur3(t.encode(), seed) for t in texts.dropna().unique()}
+        return texts.map(known).astype("Int64")
+
+    return hashed(c)
+
+
 def money(c: Column) -> Column:
     """'$1,234.50' as a number; null if it isn't one."""
     return F.regexp_replace(c, "[$,]", "").try_cast("double")

@@ -53,6 +53,11 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     return F.lit(2.0 * radius) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def speed(km: Column, clock_s: Column) -> Column:
+    """Distance over the clock in thousands of millions of seconds; null at 0."""
+    return F.try_divide(km, clock_s.cast("double") / 1e9)
+
+
 def ip_octets(c: Column) -> Column:
     """Four numbers 0..1 of a dotted address: parts beyond four dropped, missing and
     non-numeric parts 0, blank and null 0.0.0.0."""

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import clean as C
 from emberline.functions import text as X
-from emberline.functions import vectors as V
-from emberline.plans.durable import written
+from emberline.operators import loda
+from emberline.operators.loda import sparse_cuts as sparse_cuts
+from emberline.plans.durable import dropped, written
+from emberline.sources import sinks
 
 #: Different values of a group beyond which they are first counted in bins of 1/BINS of their range.
 BINS = 4_096
@@ -53,59 +54,14 @@ def extrema(grid: DataFrame, by: str) -> DataFrame:
     return g.withColumn("kind", kind).where("kind IS NOT NULL").select(by, "i", "x", "density", "kind")
 
 
-def sparse_cuts(dim: int, cuts: int, seed: int = 1) -> np.ndarray:
-    """Sparse Gaussian directions: each with floor(sqrt(dim)) coordinates that aren't 0."""
-    rng = np.random.default_rng(seed)
-    w = np.zeros((cuts, dim))
-    for row in w:
-        on = rng.choice(dim, max(1, math.isqrt(dim)), replace=False)
-        row[on] = rng.standard_normal(len(on))
-    return w
-
-
-def _loda_rows(df: DataFrame, key: str, vec: str, cuts: Sequence[Sequence[float]], bins: int | None) -> DataFrame:
-    """key, cut, s (-ln share) of every usable row and cut."""
-    n = df.count()
-    bins = bins or max(1, min(1_000_000, int(n / math.log(n)) if n > 2 else 1))
-    ok = df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: F.isnan(x.cast("double")) | x.isNull()))
-    # only coordinates that aren't 0, as one constant: an expression for each cut would be too many
-    sparse = json.dumps([{"cut": j, "at": [{"i": i, "w": float(x)} for i, x in enumerate(c) if x]} for j, c in enumerate(cuts)])
-    each = F.from_json(F.lit(sparse), "array<struct<cut:int,at:array<struct<i:int,w:double>>>>")
-    place = lambda c: F.aggregate(c["at"], F.lit(0.0), lambda s, x: s + F.get(vec, x["i"]).cast("double") * x["w"])
-    proj = ok.select(key, F.explode(F.transform(each, lambda c: F.struct(c["cut"].alias("cut"), place(c).alias("p")))).alias("x")).select(key, "x.*")
-    span = proj.groupBy("cut").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))  # one row per cut
-    at = F.least(F.floor(F.coalesce(F.try_divide((F.col("p") - F.col("lo")) * bins, F.col("hi") - F.col("lo")), F.lit(0.0))), F.lit(bins - 1)).cast("int")
-    rows = proj.join(F.broadcast(span), "cut").select(key, "cut", at.alias("bin"))
-    share = rows.groupBy("cut", "bin").agg((F.count("*") / float(n) + 1e-12).alias("share"))
-    return rows.join(share, ["cut", "bin"]).select(key, "cut", (-F.log("share")).alias("s"))
-
-
 def loda_scores(df: DataFrame, key: str, vec: str, cuts: Sequence[Sequence[float]], bins: int | None = None) -> DataFrame:
-    """key, score: mean over one-dimensional projections of -ln of the histogram share of the
-    row's bin (+1e-12), once more divided by the number of cuts. Bins default to floor(n/ln n),
-    at most 1,000,000, equal width over each projection's range.
-
-    One shuffle counts (cut, bin) with map-side combining; the counts come back to the rows by
-    an equi-join, and the mean per row is taken after a shuffle by key. Rows whose vector is
-    null or holds NaN have no score."""
-    return _loda_rows(df, key, vec, cuts, bins).groupBy(key).agg((F.sum("s") / (len(cuts) ** 2)).alias("score"))
+    """Scores of the rows from histograms of the same rows, see `loda.fit` and `Loda.score`."""
+    return loda.fit(df, vec, np.asarray(cuts), bins).score(df, key, vec)
 
 
 def loda_explain(df: DataFrame, key: str, vec: str, cuts: Sequence[Sequence[float]], bins: int | None = None) -> DataFrame:
-    """key, feature, t: Welch's t between the scores of the cuts that use a feature and of those
-    that don't; large where the feature makes the row stand out. Null with fewer than two cuts on a side."""
-    rows = _loda_rows(df, key, vec, cuts, bins)
-    dim = len(cuts[0])
-    aggs = []
-    for j in range(dim):
-        use = [i for i, c in enumerate(cuts) if c[j]]
-        for side, cond in (("a", F.col("cut").isin(use) if use else F.lit(False)), ("b", ~F.col("cut").isin(use) if use else F.lit(True))):
-            v = F.when(cond, F.col("s"))
-            aggs += [F.count(v).alias(f"n{side}{j}"), F.avg(v).alias(f"m{side}{j}"), F.var_samp(v).alias(f"v{side}{j}")]
-    one = rows.groupBy(key).agg(*aggs)
-    t = [F.struct(F.lit(j).alias("feature"), F.try_divide(F.col(f"ma{j}") - F.col(f"mb{j}"), F.sqrt(F.col(f"va{j}") / F.col(f"na{j}") + F.col(f"vb{j}") / F.col(f"nb{j}"))).alias("t")) for j in range(dim)]
-    t = [F.when((F.col(f"na{j}") > 1) & (F.col(f"nb{j}") > 1), x).otherwise(F.struct(F.lit(j).alias("feature"), F.lit(None).cast("double").alias("t"))) for j, x in enumerate(t)]
-    return one.select(key, F.inline(F.array(*t)))
+    """What makes the rows stand out from the same rows, see `loda.fit` and `Loda.explain`."""
+    return loda.fit(df, vec, np.asarray(cuts), bins).explain(df, key, vec)
 
 
 def fastmap(dl: Column, dr: Column, d: Column) -> Column:
@@ -144,43 +100,102 @@ def fit_pivots(df: DataFrame, group: str, key: str, features: str, iters: int =
     return far.withColumn("d", _set_distance(F.col("l"), F.col("r")))
 
 
-def string_groups(df: DataFrame, key: str, text: str, shingle: int = 4, iters: int = 5, points: int = 200) -> DataFrame:
-    """key, group, representative: strings grouped by resemblance.
+class StringGroups:
+    """Fitted string groups: a `cuts` list of lengths, and per part of the lengths its pivots
+    (l, r as shingle hashes, d their distance), the maxima `tops` of its density, and the
+    representative of each maximum. All of it is as short as the density's grid."""
+
+    def __init__(self, shingle: int, cuts: list[float], pivots: DataFrame, tops: DataFrame, representatives: DataFrame | None = None):
+        self.shingle, self.cuts, self.pivots, self.tops, self.representatives = shingle, cuts, pivots, tops, representatives
+
+    def save(self, path: str) -> None:
+        sinks.save_table_model(self.pivots.sparkSession, path, {"shingle": self.shingle, "cuts": self.cuts}, pivots=self.pivots, tops=self.tops, representatives=self.representatives)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> StringGroups:
+        meta, t = sinks.load_table_model(spark, path, "pivots", "tops", "representatives")
+        return StringGroups(meta["shingle"], meta["cuts"], t["pivots"], t["tops"], t["representatives"])
+
+    def _cut(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """key, s, part and f, the shingles, of the strings that aren't null or empty."""
+        rows = df.select(F.col(key).alias("key"), F.col(text).alias("s")).where("s IS NOT NULL AND s <> ''")
+        part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in self.cuts]).cast("array<double>"), lambda c: c < F.length("s"))) if self.cuts else F.lit(0)
+        return rows.select("key", "s", part.alias("part"), _shingle_ids(F.col("s"), self.shingle).alias("f"))
+
+    def _place(self, cut: DataFrame) -> DataFrame:
+        """key, s, part, x0: the string's place on the line through its part's pivots."""
+        d = cut.join(F.broadcast(self.pivots), "part").select("key", "s", "part", "d", _set_distance(F.col("f"), F.col("l")).alias("dl"), _set_distance(F.col("f"), F.col("r")).alias("dr"))  # one row of pivots per part
+        return d.select("key", "s", "part", fastmap(F.col("dl"), F.col("dr"), F.col("d")).alias("x0"))
+
+    def _nearest(self, placed: DataFrame) -> DataFrame:
+        """key, s, group, off: the nearest maximum of the part; a part without one is one group."""
+        near = F.array_min(F.transform("tops", lambda t, i: F.struct(F.abs(t - F.col("x0")).alias("d"), i.alias("i"))))
+        got = placed.join(F.broadcast(self.tops), "part", "left").withColumn("b", F.coalesce(near, F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("i"))))
+        return got.select("key", "s", F.concat_ws(".", "part", "b.i").alias("group"), F.col("b.d").alias("off"))
+
+    def transform(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """key, group, representative of any strings, also ones that were not fitted on. A length
+        or a place beyond the fitted ones belongs to the nearest; a part that no fitted string
+        was in has no pivots, its strings no row."""
+        got = self._nearest(self._place(self._cut(df, key, text)))
+        return got.join(F.broadcast(self.representatives), "group", "left").select(F.col("key").alias(key), "group", "representative")  # one row per group
+
+
+def fit_string_groups(df: DataFrame, key: str, text: str, shingle: int = 4, iters: int = 5, points: int = 200) -> tuple[StringGroups, DataFrame]:
+    """The groups of strings by resemblance, and what `transform` gives for the fitted strings.
 
     Lengths are split at the minima of their density; within each part strings are projected to
     a line by shingle sets, and each goes to the nearest maximum of the projections' density
     (a part without a maximum is one group). The string nearest to the maximum represents the
     group, ties by key. Null and empty strings are left out."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("s")).where("s IS NOT NULL AND s <> ''").withColumn("len", F.length("s")).withColumn("one", F.lit(1))
+    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.length(text).alias("len"), F.lit(1).alias("one"))
     cuts = [r.x for r in extrema(kde_grid(rows, "one", "len", points), "one").where("kind = 'min'").orderBy("x").collect()]  # at most half the grid
-    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c < F.col("len"))) if cuts else F.lit(0)
-    rows = written(rows.select("key", "s", part.alias("part"), _shingle_ids(F.col("s"), shingle).alias("f")))
-    pivots = fit_pivots(rows, "part", "key", "f", iters)
-    placed = written(rows.join(F.broadcast(pivots), "part").select("key", "s", "part", "d", _set_distance(F.col("f"), F.col("l")).alias("dl"), _set_distance(F.col("f"), F.col("r")).alias("dr")).select("key", "s", "part", fastmap(F.col("dl"), F.col("dr"), F.col("d")).alias("x0")))
-    top = extrema(kde_grid(placed, "part", "x0", points), "part").where("kind = 'max'").groupBy("part").agg(F.sort_array(F.collect_list("x")).alias("tops"))
-    near = F.array_min(F.transform("tops", lambda t, i: F.struct(F.abs(t - F.col("x0")).alias("d"), i.alias("i"))))
-    got = placed.join(top, "part", "left").withColumn("b", F.coalesce(near, F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("i"))))
-    got = got.select("key", "s", F.concat_ws(".", "part", "b.i").alias("group"), F.col("b.d").alias("d"))
-    rep = got.groupBy("group").agg(F.min_by("s", F.struct("d", "key")).alias("representative"))
-    return got.join(rep, "group").select(F.col("key").alias(key), "group", "representative")
-
-
-def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int, parts: int = 8, rounds: int = 60) -> DataFrame:
-    """key, cluster: density clusters in the plane, -1 for noise, clusters numbered by size.
-
-    Rows are counted in small squares of side eps/(parts*sqrt 2), and distances are measured
-    between square centres, so a distance may be off by at most eps/parts. A square is core if
-    the squares within eps hold `min_points` rows. Neighbouring squares are found by an
-    equi-join on coarse cells; a dense spot is one square however many rows it holds, so no
+    model = StringGroups(shingle, cuts, None, None)
+    cut = written(model._cut(df, key, text))
+    model.pivots = written(fit_pivots(cut, "part", "key", "f", iters).select("part", "l", "r", "d"))
+    placed = written(model._place(cut))
+    dropped(cut)
+    model.tops = written(extrema(kde_grid(placed, "part", "x0", points), "part").where("kind = 'max'").groupBy("part").agg(F.sort_array(F.collect_list("x")).alias("tops")))
+    got = model._nearest(placed)
+    model.representatives = written(got.groupBy("group").agg(F.min_by("s", F.struct("off", "key")).alias("representative")))
+    return model, got.join(model.representatives, "group").select(F.col("key").alias(key), "group", "representative")
+
+
+def string_groups(df: DataFrame, key: str, text: str, shingle: int = 4, iters: int = 5, points: int = 200) -> DataFrame:
+    """key, group, representative of the strings, see `fit_string_groups`."""
+    return fit_string_groups(df, key, text, shingle, iters, points)[1]
+
+
+def _shifted(cell: str, axis: int, by: int) -> Column:
+    return F.transform(cell, lambda x, k: F.when(k == axis, x + by).otherwise(x))
+
+
+#: Length of the diagonal of a unit cube by metric, in the metric's own measure.
+_DIAGONAL = {1.0: lambda d: float(d), 2.0: lambda d: math.sqrt(d), 0.5: lambda d: float(d * d)}
+
+
+def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float, min_points: int, metric: float = 2.0, parts: int = 8, rounds: int = 60) -> DataFrame:
+    """key, cluster: density clusters of the points `cols` (any number of coordinates), -1 for
+    noise, clusters numbered by size. `metric` is the p of the distance (sum |d|^p)^(1/p): 1, 2 or 0.5.
+
+    Rows are counted in small cubes whose diagonal is eps/parts, and distances are measured
+    between cube centres, so a distance may be off by at most eps/parts. A cube is core if
+    the cubes within eps hold `min_points` rows. Neighbouring cubes are found by an
+    equi-join on coarse cells; a dense spot is one cube however many rows it holds, so no
     pairs of rows are ever made. Components are merged until nothing changes."""
-    side = eps / (parts * math.sqrt(2))
+    d = len(cols)
+    side = eps / (parts * _DIAGONAL[metric](d))
     reach = math.ceil(eps / side)
-    rows = df.select(key, F.floor(C.finite(x) / side).alias("i"), F.floor(C.finite(y) / side).alias("j")).where("i IS NOT NULL AND j IS NOT NULL")
-    sq = written(rows.groupBy("i", "j").agg(F.count("*").alias("n")).select("*", F.floor(F.col("i") / reach).alias("ci"), F.floor(F.col("j") / reach).alias("cj"), F.concat_ws(",", "i", "j").alias("id")))
-    step = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    around = sq.withColumn("di", F.explode(step)).withColumn("dj", F.explode(step)).select((F.col("ci") + F.col("di")).alias("ci"), (F.col("cj") + F.col("dj")).alias("cj"), F.col("i").alias("oi"), F.col("j").alias("oj"), F.col("n").alias("m"), F.col("id").alias("other"))
-    close = (F.pow(F.col("i") - F.col("oi"), 2) + F.pow(F.col("j") - F.col("oj"), 2)) * (side * side) <= eps * eps
-    near = written(sq.join(around, ["ci", "cj"]).where(close).select("id", "other", "n", "m"))
+    at = F.array(*[F.floor(C.finite(c) / side) for c in cols])
+    rows = df.select(F.col(key).alias("__key"), at.alias("at")).where(~F.exists("at", lambda x: x.isNull()))
+    sq = written(rows.groupBy("at").agg(F.count("*").alias("n")).select("at", "n", F.transform("at", lambda x: F.floor(x / reach)).alias("cell"), F.array_join(F.transform("at", lambda x: x.cast("string")), ",").alias("id")))
+    around = sq.select("cell", F.col("at").alias("oat"), F.col("n").alias("m"), F.col("id").alias("other"))
+    for i in range(d):  # every cell next to its own, one coordinate after the other
+        around = around.withColumn("cell", F.explode(F.array(*[_shifted("cell", i, s) for s in (-1, 0, 1)])))
+    gaps = F.zip_with("at", "oat", lambda a, b: F.abs(a - b).cast("double"))
+    far = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + (g * g if metric == 2.0 else g if metric == 1.0 else F.sqrt(g)))
+    far = F.sqrt(far) if metric == 2.0 else far if metric == 1.0 else far * far
+    near = written(sq.join(around, "cell").where(far * side <= eps * (1 + 1e-12)).select("id", "other", "n", "m"))
     core = written(near.groupBy("id").agg(F.sum("m").alias("m")).where(F.col("m") >= min_points).select("id"))
     edges = written(near.select("id", "other").join(core, "id").join(core.toDF("other"), "other"))
     label = components(core, edges, rounds)
@@ -189,7 +204,7 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int,
     size = every.join(sq.select("id", "n"), "id").groupBy("label").agg(F.sum("n").alias("size"))
     order = size.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("size"), "label")) - 1)  # one row per cluster
     named = every.join(order, "label").select("id", "cluster")
-    return rows.withColumn("id", F.concat_ws(",", "i", "j")).join(named, "id", "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return rows.withColumn("id", F.array_join(F.transform("at", lambda x: x.cast("string")), ",")).join(named, "id", "left").select(F.col("__key").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -32,6 +32,11 @@ def char_vocabulary(df: DataFrame, text: str) -> DataFrame:
     return numbered(chars, ["ch"], "id").select("ch", "id")
 
 
+def decode_characters(ids: DataFrame, key: str, vocabulary: DataFrame, out: str = "text") -> DataFrame:
+    """key and the text whose characters have the ids, in order of pos; unknown ids are left out."""
+    return ids.join(vocabulary, "id").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]), "").alias(out))
+
+
 def encode_characters(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """key, pos (from 0), id of each character of each text."""
     chars = df.select(key, F.posexplode(F.filter(F.split(text, ""), lambda x: x != "")).alias("pos", "ch"))

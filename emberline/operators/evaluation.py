@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from emberline.functions import clean as C
 from emberline.operators.sequences import prefix_sums
@@ -103,10 +108,74 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select("n", F.try_divide(mi, (ha + hb) / 2).alias("nmi"), F.coalesce(F.try_divide(F.col("pairs") - want, (F.col("pr") + F.col("pc")) / 2 - want), F.when(n > 0, F.lit(1.0))).alias("ari"))
 
 
+#: Labels or clusters that an assignment may have.
+MOST_CLASSES = 1_000
+
+
+def silhouette(df: DataFrame, key: str, vec: str, cluster: str, asked: Column, metric: str = "l2") -> DataFrame:
+    """key, cluster, a, b, silhouette of the rows where `asked` holds, against all rows: the mean
+    distance a to its own cluster's other rows, the least mean distance b to another cluster's,
+    and (b - a) / max(a, b). 0 for a row alone in its cluster, null with one cluster only.
+
+    `metric` is l1, l2 or cosine (distance 1 - similarity). The asked rows (at most MOST_ASKED,
+    more raise) go to every task; a task adds up their distances by cluster, so what is
+    shuffled is one row per asked row, cluster and task, never a pair of rows."""
+    rows = df.where(F.col(vec).isNotNull() & F.col(cluster).isNotNull())
+    q = rows.where(asked).select(key, cluster, F.transform(vec, lambda x: x.cast("double")).alias("v")).limit(MOST_ASKED + 1).toPandas()
+    if len(q) > MOST_ASKED:
+        raise ValueError(f"more than {MOST_ASKED} rows are asked for")
+    spark = df.sparkSession
+    key_type, cluster_type = (df.schema[c].dataType.simpleString() for c in (key, cluster))
+    table = spark.createDataFrame([(i, k, c) for i, (k, c) in enumerate(zip(q[key].tolist(), q[cluster].tolist()))], f"q int, `{key}` {key_type}, `{cluster}` {cluster_type}")
+    shared = spark.sparkContext.broadcast(np.stack([np.asarray(v, np.float64) for v in q["v"]]) if len(q) else np.zeros((0, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        sums: dict = {}
+        for b in batches:
+            if not b.num_rows or not len(asked):
+                continue
+            x = np.stack([np.asarray(v, np.float64) for v in b.column(1).to_pylist()])
+            labels = b.column(0).dictionary_encode()
+            code = labels.indices.to_numpy(zero_copy_only=False)
+            for lo in range(0, len(x), 256):
+                y = x[lo : lo + 256]
+                if metric == "cosine":
+                    n = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(y, axis=1)
+                    d = 1 - np.divide(asked @ y.T, n, out=np.zeros((len(asked), len(y))), where=n > 0)
+                elif metric == "l1":
+                    d = np.abs(asked[:, None] - y).sum(2)
+                else:
+                    d = np.sqrt(((asked[:, None] - y) ** 2).sum(2))
+                for c in np.unique(code[lo : lo + 256]):
+                    on = code[lo : lo + 256] == c
+                    have = sums.setdefault(labels.dictionary[int(c)].as_py(), [np.zeros(len(asked)), 0])
+                    have[0] += d[:, on].sum(1)
+                    have[1] += int(on.sum())
+        for c, (d, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(d), dtype=np.int32)), pa.array([c] * len(d), kind), pa.array(d), pa.array(np.full(len(d), n, np.int64))], names=["q", "other", "d", "n"])
+
+    kind = to_arrow_type(df.schema[cluster].dataType)
+    per = rows.select(cluster, vec).mapInArrow(run, f"q int, other {cluster_type}, d double, n bigint").groupBy("q", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    own = F.col("other") == F.col(cluster)
+    j = per.join(F.broadcast(table), "q").groupBy("q", key, cluster).agg(F.max(F.when(own, F.try_divide("d", F.col("n") - 1))).alias("a"), F.max(F.when(own, F.col("n"))).alias("__n"), F.min(F.when(~own, F.try_divide("d", "n"))).alias("b"))
+    s = F.when(F.col("b").isNull(), None).when(F.col("__n") == 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return j.select(key, cluster, "a", "b", s.alias("silhouette"))
+
+
+#: Rows whose silhouette can be asked for at once.
+MOST_ASKED = 20_000
+
+
 def matched_accuracy(df: DataFrame, truth: str, cluster: str) -> float | None:
     """Accuracy under the best one-to-one assignment of clusters to labels (Hungarian method on
-    the contingency table, whose size is the number of labels times clusters)."""
-    t = df.where(F.col(truth).isNotNull() & F.col(cluster).isNotNull()).groupBy(truth, cluster).count().collect()
+    the contingency table). None without rows; more than MOST_CLASSES labels or clusters raise,
+    as the assignment is solved by the driver."""
+    pairs = df.where(F.col(truth).isNotNull() & F.col(cluster).isNotNull()).groupBy(truth, cluster).count()
+    sizes = pairs.agg(F.count_distinct(truth).alias("a"), F.count_distinct(cluster).alias("b")).first()
+    if max(sizes.a, sizes.b) > MOST_CLASSES:
+        raise ValueError(f"{sizes.a} labels and {sizes.b} clusters are more than {MOST_CLASSES}")
+    t = pairs.collect()
     if not t:
         return None
     rows, cols = sorted({r[0] for r in t}), sorted({r[1] for r in t})

@@ -43,16 +43,32 @@ def edge_predictions(rows: DataFrame, preds: DataFrame, src: str, dst: str, pos:
 
 
 def neighbours(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """node, neighbours: the sorted different counterparties in either direction, itself left out."""
+    """node, neighbours: the sorted different counterparties in either direction, itself left out.
+    A node's neighbours have to fit into one row; `neighbour_pairs` has no such limit."""
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(b, a))
     return both.where("node IS NOT NULL AND other IS NOT NULL AND node <> other").groupBy("node").agg(F.sort_array(F.collect_set("other")).alias("neighbours"))
 
 
+def neighbour_pairs(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """node, other: each counterparty of a node in either direction once, itself left out. As
+    rows, so that a hub's neighbours need no room in one of them."""
+    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(b, a))
+    return both.where("node IS NOT NULL AND other IS NOT NULL AND node <> other").distinct()
+
+
+#: References that fit into one expression.
+MOST_REFERENCES = 5_000
+
+
 def nearest_reference(rows: DataFrame, refs: DataFrame, vec: str, label: str, cutoff: float, other: str, key: str) -> DataFrame:
     """key, nearest (label of the reference with the least squared distance, ties by label),
     distance; beyond `cutoff` the label is `other`. `refs` is a short fixed catalogue, collected
-    into the expression so that rows need neither a join nor a shuffle."""
-    catalogue = refs.select(label, vec).orderBy(label).collect()
+    into the expression so that rows need neither a join nor a shuffle; one of more than
+    MOST_REFERENCES rows raises."""
+    catalogue = refs.select(label, vec).limit(MOST_REFERENCES + 1).collect()
+    if len(catalogue) > MOST_REFERENCES:
+        raise ValueError(f"more than {MOST_REFERENCES} references")
+    catalogue.sort(key=lambda r: str(r[label]))
     if not catalogue:
         return rows.select(key, F.lit(other).alias("nearest"), F.lit(None).cast("double").alias("distance"))
     dist = lambda v: F.aggregate(F.zip_with(F.col(vec), F.array(*[F.lit(float(x)) for x in v]), lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda s, x: s + x)
@@ -60,6 +76,14 @@ def nearest_reference(rows: DataFrame, refs: DataFrame, vec: str, label: str, cu
     return rows.select(key, best.alias("__b")).select(key, F.when(F.col("__b.distance") <= cutoff, F.col("__b.label")).otherwise(other).alias("nearest"), F.col("__b.distance").alias("distance"))
 
 
+def positional(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str]) -> DataFrame:
+    """Columns of both side by side, row by row in the given orders; what is left over of the
+    longer one has nulls. The orders are unique; numbers come from range partitions, and the
+    rows meet by an equi-join of their numbers. Column names must differ."""
+    x, y = numbered(a, order_a, "__n"), numbered(b, order_b, "__n")
+    return x.join(y, "__n", "full").select(F.col("__n").alias("position"), *a.columns, *b.columns)
+
+
 def universe(*columns: DataFrame) -> DataFrame:
     """Distinct non-null values of one-column frames under the name `entity`."""
     out = columns[0].toDF("entity")

@@ -18,6 +18,15 @@ def project(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{a}`").alias(b) for a, b in names.items()])
 
 
+def regular_names(df: DataFrame) -> DataFrame:
+    """Column names without spaces around them, and with one underscore for spaces in them. Names
+    that become equal raise."""
+    names = ["_".join(c.split()) for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns with the same regular name: {sorted({n for n in names if names.count(n) > 1})}")
+    return df.toDF(*names)
+
+
 def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
     """Nested structs as flat columns, a.b becoming a<sep>b, to any depth."""
 
@@ -58,12 +67,14 @@ def drop_non_finite(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.where(reduce(and_, [C.finite(c).isNotNull() for c in cols]))
 
 
-def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """NaN, infinite and null values of `cols` replaced by the exact median of the rest.
+def impute_median(df: DataFrame, cols: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """NaN, infinite and null values of `cols` replaced by the median of the rest: the exact one,
+    which one task finds from all different values, or with `accuracy` one whose rank is off by
+    at most 1/accuracy of the rows, from mergeable summaries.
 
     The medians are one row; it is joined as such and never grows. A column without values stays null."""
     clean = df.withColumns({c: C.finite(c) for c in cols})
-    medians = clean.agg(*[F.median(c).alias(f"__m_{c}") for c in cols])
+    medians = clean.agg(*[(F.median(c) if accuracy is None else F.percentile_approx(c, 0.5, accuracy)).alias(f"__m_{c}") for c in cols])
     return clean.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"__m_{c}") for c in cols}).drop(*[f"__m_{c}" for c in cols])
 
 

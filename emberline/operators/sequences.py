@@ -61,6 +61,14 @@ def batches(df: DataFrame, order: Sequence[Column | str], size: int) -> DataFram
     return numbered(df, order).withColumn("batch", F.floor(F.col("rn") / size))
 
 
+def length_batches(df: DataFrame, order: Sequence[Column | str], length: str, size: int) -> DataFrame:
+    """`df` with place (row number in `order`) and batch: consecutive rows by `size` from the
+    longest to the shortest, equal lengths in the given order. Sorting by place gives the old
+    order back."""
+    placed = numbered(df, order, "place")
+    return numbered(placed, [F.desc(length), F.col("place")], "__by").withColumn("batch", F.floor(F.col("__by") / size)).drop("__by")
+
+
 def grams(items: Column, n: int) -> Column:
     """All runs of n neighbours of an array; none if it is shorter."""
     return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(items) - (n - 1), F.lit(1))), lambda i: F.slice(items, i, n))).otherwise(F.array().cast("array<array<string>>"))

@@ -97,12 +97,26 @@ def histogram(df: DataFrame, c: str, bins: int, lo: float | None = None, hi: flo
     return v.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def scaled(df: DataFrame, c: str, key: str) -> DataFrame:
+def standardised(df: DataFrame, c: str, key: str) -> DataFrame:
+    """key and z, the value over the population deviation; null where all values are equal."""
+    v = C.finite(c)
+    one = df.agg(F.avg(v).alias("mu"), F.stddev_pop(v).alias("sd"))
+    return df.crossJoin(F.broadcast(one)).select(key, C.div(v - F.col("mu"), "sd").alias("z"))  # one row
+
+
+def quantiles(v: Column, at: Sequence[float], accuracy: int | None) -> Column:
+    """Exact percentiles, which hold a group's different values in one task, or with `accuracy`
+    such whose rank is off by at most 1/accuracy of the group, from mergeable summaries."""
+    at = F.array(*[F.lit(x) for x in at])
+    return F.percentile(v, at) if accuracy is None else F.percentile_approx(v, at, accuracy)
+
+
+def scaled(df: DataFrame, c: str, key: str, accuracy: int | None = None) -> DataFrame:
     """key and the value z-scored (sample deviation + 1e-4), min-max and robustly scaled.
 
-    The statistics are one row from one aggregation; quartiles and median are exact."""
+    The statistics are one row from one aggregation; quartiles and median as in `quantiles`."""
     v = C.finite(c)
-    one = df.agg(F.avg(v).alias("mu"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    one = df.agg(F.avg(v).alias("mu"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"), quantiles(v, (0.25, 0.5, 0.75), accuracy).alias("q"))
     return df.crossJoin(F.broadcast(one)).select(key, ((v - F.col("mu")) / (F.lit(1e-4) + F.col("sd"))).alias("z"), C.div(v - F.col("lo"), F.col("hi") - F.col("lo")).alias("minmax"), C.div(v - F.col("q")[1], F.col("q")[2] - F.col("q")[0]).alias("robust"))
 
 
@@ -111,10 +125,10 @@ def group_stats(df: DataFrame, by: str, c: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
 
 
-def describe(df: DataFrame, by: str, c: str) -> DataFrame:
-    """n, mean, sd, min, exact quartiles and max for each group."""
+def describe(df: DataFrame, by: str, c: str, accuracy: int | None = None) -> DataFrame:
+    """n, mean, sd, min, quartiles (see `quantiles`) and max for each group."""
     v = C.finite(c)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = quantiles(v, (0.25, 0.5, 0.75), accuracy)
     return df.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), q.alias("q"), F.max(v).alias("hi")).select(by, "n", "mean", "sd", "lo", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "hi")
 
 

@@ -323,10 +323,9 @@ def entity_universe(s, d):
     return joins.universe(r.select("log_host"), r.select("source")).join(known, "entity", "left_anti")
 
 
-@query(f"WITH {FSQL}, b AS (SELECT src AS node, dst AS other FROM f UNION SELECT dst, src FROM f) SELECT node, count(*) AS n, string_agg(other, ',' ORDER BY other) AS neighbours FROM b WHERE node IS NOT NULL AND other IS NOT NULL AND node <> other GROUP BY 1")
+@query(f"WITH {FSQL}, b AS (SELECT src AS node, dst AS other FROM f UNION SELECT dst, src FROM f) SELECT node, other FROM b WHERE node IS NOT NULL AND other IS NOT NULL AND node <> other")
 def neighbors(s, d):
-    n = joins.neighbours(T.read_flows(T.table(s, d, "netflow")), "src_device", "dst_device")
-    return n.select("node", F.size("neighbours").cast("bigint").alias("n"), F.array_join("neighbours", ",").alias("neighbours"))
+    return joins.neighbour_pairs(T.read_flows(T.table(s, d, "netflow")), "src_device", "dst_device")
 
 
 _DIST = "list_sum(list_transform(list_zip(v.embedding, r.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))"
@@ -698,7 +697,7 @@ def distinct_vals(s, d):
     return E(s, d).select("event_type", "k").distinct()
 
 
-@query()
+@query("SELECT event_id FROM events")
 def random_shuffle(s, d):
     return T.table(s, d, "events").select("event_id").orderBy(F.xxhash64("event_id", F.lit(4)), "event_id")
 

@@ -33,11 +33,13 @@ def query(sql: str | None = None):
 _URL = r"(?:https?|hxxps?)://[A-Za-z0-9./?=&_#%:-]+"
 _SPLIT = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _SUF = ", ".join(f"'{x}'" for x in U.SUFFIXES)
+_FAM = ", ".join(f"'{x}'" for x in U.FAMILIES)
 USQL = f"""u0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_URL}')) AS url FROM documents),
  u1 AS (SELECT doc_id, url, CASE WHEN starts_with(url, 'http') THEN url ELSE 'http://' || url END AS full_url FROM u0),
  u2 AS (SELECT *, trim(regexp_replace(lower(regexp_extract(full_url, '{_SPLIT}', 2)), ':[0-9]*$', ''), '.') AS host, regexp_extract(full_url, '{_SPLIT}', 3) AS path, regexp_extract(full_url, '{_SPLIT}', 4) AS query, regexp_extract(full_url, '{_SPLIT}', 5) AS fragment FROM u1),
  u3 AS (SELECT *, string_split(host, '.') AS labels, len(string_split(host, '.')) AS nl, regexp_matches(host, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') OR len(string_split(host, '.')) < 2 AS whole FROM u2),
- u4 AS (SELECT *, CASE WHEN nl > 2 AND array_to_string(labels[nl - 1 : nl], '.') IN ({_SUF}) THEN 2 ELSE 1 END AS ns FROM u3),
+ u35 AS (SELECT *, CASE WHEN nl > 2 AND array_to_string(labels[nl - 1 : nl], '.') IN ({_SUF}) THEN 2 ELSE 1 END AS n0 FROM u3),
+ u4 AS (SELECT *, n0 + CASE WHEN nl > n0 + 1 AND labels[nl - n0] IN ({_FAM}) THEN 1 ELSE 0 END AS ns FROM u35),
  u AS (SELECT doc_id, url, host, path, query, fragment, CASE WHEN whole THEN host ELSE labels[nl - ns] END AS domain, CASE WHEN whole THEN '' ELSE array_to_string(labels[nl - ns + 1 : nl], '.') END AS suffix, CASE WHEN whole OR nl - ns - 1 <= 0 THEN '' ELSE array_to_string(labels[1 : nl - ns - 1], '.') END AS subdomain FROM u4)"""
 
 
@@ -51,29 +53,35 @@ def url_domain(s, d):
     return urls(s, d).select("doc_id", "url", h.alias("h")).select("doc_id", "url", "h.*")
 
 
+_RANKED = f"r AS (SELECT domain, suffix, row_number() OVER (ORDER BY count(*) DESC, domain, suffix) AS rank FROM u GROUP BY 1, 2), ur AS (SELECT u.*, CASE WHEN rank <= {U.TOP} THEN 2 WHEN rank <= {U.KNOWN} THEN 1 ELSE 0 END AS domain_in_alexa FROM u LEFT JOIN r USING (domain, suffix))"
 _BR = "|".join(U.BRANDS)
-_FEATS = f"""0 AS domain_in_alexa, CAST(length(domain) AS INTEGER) AS domain_len, CAST(length(regexp_replace(domain, '[^0-9]', '', 'g')) AS INTEGER) AS domain_numbers, CAST(regexp_matches(domain, '^[0-9A-Za-z]+$') AS INTEGER) AS domain_isalnum, CAST(length(subdomain) AS INTEGER) AS subdomain_len, CAST(length(regexp_replace(subdomain, '[^0-9]', '', 'g')) AS INTEGER) AS subdomain_numbers_count, CAST(len(string_split(subdomain, '.')) AS INTEGER) AS subdomain_parts_count, CAST(length(suffix) AS INTEGER) AS tld_len, CAST(len(string_split(suffix, '.')) AS INTEGER) AS tld_parts_count,
+_FEATS = f"""domain_in_alexa, CAST(length(domain) AS INTEGER) AS domain_len, CAST(length(regexp_replace(domain, '[^0-9]', '', 'g')) AS INTEGER) AS domain_numbers, CAST(regexp_matches(domain, '^[0-9A-Za-z]+$') AS INTEGER) AS domain_isalnum, CAST(length(subdomain) AS INTEGER) AS subdomain_len, CAST(length(regexp_replace(subdomain, '[^0-9]', '', 'g')) AS INTEGER) AS subdomain_numbers_count, CAST(len(string_split(subdomain, '.')) AS INTEGER) AS subdomain_parts_count, CAST(length(suffix) AS INTEGER) AS tld_len, CAST(len(string_split(suffix, '.')) AS INTEGER) AS tld_parts_count,
  CASE WHEN query = '' THEN 0 ELSE CAST(len(string_split(query, '&')) AS INTEGER) END AS queries_amount, CAST(fragment <> '' AS INTEGER) AS fragments_amount, CAST(length(path) AS INTEGER) AS path_len, CAST(length(path) - length(replace(path, '/', '')) AS INTEGER) AS path_slash_counts, CAST((length(path) - length(replace(path, '//', ''))) // 2 AS INTEGER) AS path_double_slash_counts, CAST(regexp_matches(subdomain, '{_BR}') AS INTEGER) AS brand_in_subdomain, CAST(regexp_matches(path, '{_BR}') AS INTEGER) AS brand_in_path,
  CAST(list_max(list_transform(string_split(trim(regexp_replace(lower(path), '[^0-9a-z]+', ' ', 'g')), ' '), lambda w: length(w))) AS INTEGER) AS path_max_len"""
 
 
-@query(f"WITH {USQL} SELECT doc_id, url, {_FEATS} FROM u")
+def _ranked(s: SparkSession, d: str) -> DataFrame:
+    """The URLs with the rank of their registered domain, by how often it occurs, from 1 to U.KNOWN."""
+    u = urls(s, d).select("doc_id", "url", U.parts(U.with_scheme(F.col("url"))).alias("p")).withColumn("h", U.split_host(F.col("p.host"))).withColumns({"domain": F.col("h.domain"), "suffix": F.col("h.suffix")})
+    n = u.groupBy("domain", "suffix").agg(F.count("*").alias("n"))
+    top = sequences.numbered(n, [F.desc("n"), F.col("domain"), F.col("suffix")], "rank").where(F.col("rank") < U.KNOWN).select("domain", "suffix", (F.col("rank") + 1).alias("rank"))
+    return u.join(top, ["domain", "suffix"], "left")
+
+
+@query(f"WITH {USQL}, {_RANKED} SELECT doc_id, url, {_FEATS} FROM ur")
 def url_features(s, d):
-    return urls(s, d).select("doc_id", "url", *U.structural(F.col("url"), F.lit(0)))
+    return _ranked(s, d).select("doc_id", "url", *U.features(F.col("p"), F.col("h"), U.popularity(F.col("rank"))))
 
 
-@query(f"WITH {USQL}, f AS (SELECT doc_id, url, {_FEATS} FROM u) SELECT doc_id, url, " + ", ".join(f"round((CAST({n} AS DOUBLE) - {lo}) / {hi - lo}, 6) AS {n}" for n, (lo, hi) in U.BOUNDS.items()) + " FROM f")
+@query(f"WITH {USQL}, {_RANKED}, f AS (SELECT doc_id, url, {_FEATS} FROM ur) SELECT doc_id, url, " + ", ".join(f"round((CAST({n} AS DOUBLE) - {lo}) / {hi - lo}, 6) AS {n}" for n, (lo, hi) in U.BOUNDS.items()) + " FROM f")
 def url_norm(s, d):
-    f = urls(s, d).select("doc_id", "url", *U.structural(F.col("url"), F.lit(0)))
+    f = _ranked(s, d).select("doc_id", "url", *U.features(F.col("p"), F.col("h"), U.popularity(F.col("rank"))))
     return f.select("doc_id", "url", *[F.round(U.normalised(n), 6).alias(n) for n in U.BOUNDS])
 
 
-@query(f"WITH {USQL}, r AS (SELECT host, row_number() OVER (ORDER BY count(*) DESC, host) AS rank FROM u GROUP BY 1) SELECT doc_id, url, CASE WHEN rank <= 10 THEN 2 WHEN rank <= 100 THEN 1 ELSE 0 END AS domain_in_top FROM u JOIN r USING (host)")
+@query(f"WITH {USQL}, {_RANKED} SELECT doc_id, url, domain_in_alexa AS domain_in_top FROM ur")
 def domain_rank(s, d):
-    u = urls(s, d).withColumn("host", U.parts(U.with_scheme(F.col("url")))["host"])
-    n = u.groupBy("host").agg(F.count("*").alias("n"))
-    r = sequences.numbered(n, [F.desc("n"), F.col("host")], "rank").select("host", "rank")
-    return u.join(r, "host").select("doc_id", "url", F.when(F.col("rank") < 10, 2).when(F.col("rank") < 100, 1).otherwise(0).alias("domain_in_top"))
+    return _ranked(s, d).select("doc_id", "url", U.popularity(F.col("rank")).alias("domain_in_top"))
 
 
 @query(f"WITH {USQL}, b AS (SELECT doc_id, url, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) WHEN starts_with(url, 'http://') THEN substr(url, 8) ELSE url END AS a FROM u), c AS (SELECT doc_id, url, trim(regexp_replace(lower(CASE WHEN starts_with(a, 'www.') THEN substr(a, 5) ELSE a END), '[^0-9a-z]+', ' ', 'g')) AS t FROM b) SELECT doc_id, url, array_to_string(list_filter(string_split(t, ' '), lambda w: NOT regexp_matches(w, '^[0-9]+$') AND length(w) BETWEEN 2 AND 20), ' ') AS tokens FROM c")
@@ -81,48 +89,55 @@ def url_tokens(s, d):
     return urls(s, d).select("doc_id", "url", F.array_join(X.clean_tokens(U.without_prefix(F.col("url"))), " ").alias("tokens"))
 
 
-_VOCAB = {w: i + 1 for i, w in enumerate(["example", "invalid", "test", "mail", "id", "pay", "desk", "login", "hxxp", "http"])}
+# Words of the vocabulary and of a padded URL.
+WORDS, WIDTH = 2_000, 500
 
 
-@query(f"WITH {USQL}, c AS (SELECT doc_id, url, list_transform(string_split(trim(regexp_replace(lower(url), '[^0-9a-z]+', ' ', 'g')), ' '), lambda w: " + "CASE " + " ".join(f"WHEN w = '{w}' THEN {i}" for w, i in _VOCAB.items()) + " ELSE 0 END) AS ids FROM u) SELECT doc_id, url, array_to_string(list_resize(ids, 12, 0), ',') AS ids FROM c")
+@query(f"WITH {USQL}, c AS (SELECT doc_id, url, string_split(trim(regexp_replace(lower(url), '[^0-9a-z]+', ' ', 'g')), ' ') AS ws FROM u), v AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM c) GROUP BY 1 ORDER BY n DESC, w LIMIT {WORDS}), l AS (SELECT list(w ORDER BY n DESC, w) AS words FROM v) SELECT doc_id, url, array_to_string(list_resize(list_transform(ws, lambda x: coalesce(list_position(words, x), 0)), {WIDTH}, 0), ',') AS ids FROM c, l")
 def word_tokens(s, d):
-    ids = X.vocabulary_ids(F.split(X.clean_alnum(F.col("url")), " "), _VOCAB, 12)
-    return urls(s, d).select("doc_id", "url", F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"))
+    """Ids of each URL's words in the vocabulary of the most frequent ones, padded."""
+    u = urls(s, d).select("doc_id", "url", F.split(X.clean_alnum(F.col("url")), " ").alias("ws")).withColumn("key", F.struct("doc_id", "url"))
+    n = u.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = sequences.numbered(n, [F.desc("n"), F.col("word")], "id").where(F.col("id") < WORDS).select("word", (F.col("id") + 1).cast("int").alias("id"))
+    each = u.select("key", "doc_id", "url", "ws").distinct().select("key", F.posexplode("ws").alias("pos", "word")).join(words, "word", "left")
+    ids = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(0)).alias("id")))).alias("a"))  # the words of one URL
+    padded = X.padded(F.transform("a", lambda x: x["id"]), WIDTH)
+    return u.join(ids, "key").select("doc_id", "url", F.array_join(F.transform(padded, lambda x: x.cast("string")), ",").alias("ids"))
 
 
 # Fixed value: the characters of a domain name, numbered from 1.
 _CHARS = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
 
 
-@query(f"WITH {USQL} SELECT doc_id, url, array_to_string(list_resize(list_transform(string_split(domain, ''), lambda c: strpos('abcdefghijklmnopqrstuvwxyz0123456789', c)), 75, 0), ',') AS ids, array_to_string(string_split(domain, ''), ' ') AS spaced FROM u WHERE domain <> ''")
+@query(f"WITH {USQL} SELECT doc_id, url, array_to_string(list_resize(list_transform(list_filter(string_split(domain, ''), lambda c: c <> ''), lambda c: strpos('abcdefghijklmnopqrstuvwxyz0123456789', c)), 75, 0), ',') AS ids, array_to_string(string_split(domain, ''), ' ') AS spaced FROM u")
 def char_tokens(s, d):
     dom = U.split_host(U.parts(U.with_scheme(F.col("url")))["host"])["domain"]
-    u = urls(s, d).select("doc_id", "url", dom.alias("domain")).where("domain <> ''")
+    u = urls(s, d).select("doc_id", "url", dom.alias("domain"))
     ids = X.vocabulary_ids(X.characters(F.col("domain")), _CHARS, 75)
     return u.select("doc_id", "url", F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"), X.spaced(F.col("domain")).alias("spaced"))
 
 
-@query(f"WITH {USQL} SELECT doc_id, url, array_to_string(list_resize(list_transform(string_split(substr(host, 1, 100), ''), lambda c: CASE WHEN c = '^' THEN 0 ELSE ord(c) END), 100, 0), ',') AS ids FROM u WHERE host <> ''")
+@query(f"WITH {USQL} SELECT doc_id, url, array_to_string(list_resize(list_transform(string_split(substr(host, 1, 100), ''), lambda c: CASE WHEN c = '^' OR c = '' THEN 0 ELSE ord(c) END), 100, 0), ',') AS ids FROM u")
 def domain_codepoints(s, d):
-    u = urls(s, d).withColumn("host", U.parts(U.with_scheme(F.col("url")))["host"]).where("host <> ''")
+    u = urls(s, d).withColumn("host", U.parts(U.with_scheme(F.col("url")))["host"])
     return u.select("doc_id", "url", F.array_join(F.transform(X.code_points(F.col("host"), 100), lambda x: x.cast("string")), ",").alias("ids"))
 
 
 # ---- text --------------------------------------------------------------------------------
 
-_SH = "list_distinct(list_transform(range(1, greatest(length(p_name) - 2, 2)), lambda i: substr(p_name, i, 4)))"
+_SH = "CASE WHEN length(p_name) > 4 THEN list_distinct(list_transform(range(1, greatest(length(p_name) - 2, 2)), lambda i: substr(p_name, i, 4))) ELSE list_filter(list_distinct(string_split(p_name, '')), lambda x: x <> '') END"
 
 
-@query(f"SELECT p_partkey, CAST(len({_SH}) AS INTEGER) AS n, array_to_string(list_sort({_SH}), '|') AS shingles FROM part WHERE length(p_name) > 4")
+@query(f"SELECT p_partkey, CAST(len({_SH}) AS INTEGER) AS n, array_to_string(list_sort({_SH}), '|') AS shingles FROM part")
 def shingles(s, d):
-    p = T.table(s, d, "part").where("length(p_name) > 4").select("p_partkey", X.shingles(F.col("p_name"), 4).alias("x"))
+    p = T.table(s, d, "part").select("p_partkey", X.shingles(F.col("p_name"), 4).alias("x"))
     return p.select("p_partkey", F.size("x").alias("n"), F.array_join(F.array_sort("x"), "|").alias("shingles"))
 
 
-@query(f"WITH a AS (SELECT p_partkey, {_SH} AS x FROM part WHERE length(p_name) > 4), r AS (SELECT arg_min({_SH}, p_partkey) AS y FROM part WHERE length(p_name) > 4) SELECT p_partkey, round(1 - len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) AS distance FROM a, r")
+@query(f"WITH a AS (SELECT p_partkey, {_SH} AS x FROM part), r AS (SELECT arg_min({_SH}, p_partkey) AS y FROM part) SELECT p_partkey, round(1 - len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) AS distance FROM a, r")
 def jaccard(s, d):
     """Distance of each name's shingle set to that of the part with the lowest key."""
-    a = T.table(s, d, "part").where("length(p_name) > 4").select("p_partkey", X.shingles(F.col("p_name"), 4).alias("x"))
+    a = T.table(s, d, "part").select("p_partkey", X.shingles(F.col("p_name"), 4).alias("x"))
     r = a.agg(F.min_by("x", "p_partkey").alias("y"))
     return a.crossJoin(F.broadcast(r)).select("p_partkey", F.round(V.jaccard(F.col("x"), F.col("y")), 6).alias("distance"))  # one row
 
@@ -235,10 +250,10 @@ def loda_score(s, d):
     return density.loda_scores(v, "vec_id", "embedding", _CUTS.tolist()).withColumn("score", F.round("score", 8))
 
 
-@query()
+@query(f"WITH {_LODA}, x AS (SELECT vec_id, cut, -ln(share) AS s FROM b JOIN h USING (cut, bin)), f AS (SELECT unnest(range(64)) AS feature), t AS (SELECT vec_id, f.feature, count(*) FILTER (WHERE c.cut IS NOT NULL) AS na, count(*) FILTER (WHERE c.cut IS NULL) AS nb, avg(s) FILTER (WHERE c.cut IS NOT NULL) AS ma, avg(s) FILTER (WHERE c.cut IS NULL) AS mb, var_samp(s) FILTER (WHERE c.cut IS NOT NULL) AS va, var_samp(s) FILTER (WHERE c.cut IS NULL) AS vb FROM x CROSS JOIN f LEFT JOIN c ON c.cut = x.cut AND c.i = f.feature + 1 GROUP BY 1, 2) SELECT vec_id, CAST(feature AS INTEGER) AS feature, round((ma - mb) / sqrt(va / na + vb / nb), 4) AS t FROM t")
 def loda_explain(s, d):
     v = T.table(s, d, "embeddings").select("vec_id", "embedding")
-    return density.loda_explain(v, "vec_id", "embedding", _CUTS.tolist())
+    return density.loda_explain(v, "vec_id", "embedding", _CUTS.tolist()).withColumn("t", F.round("t", 4))
 
 
 @query("WITH p AS (SELECT vec_id, embedding FROM embeddings), l AS (SELECT arg_min(embedding, vec_id) AS l, arg_max(embedding, vec_id) AS r FROM p), d AS (SELECT vec_id, sqrt(list_sum(list_transform(list_zip(embedding, l), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dl, sqrt(list_sum(list_transform(list_zip(embedding, r), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dr, sqrt(list_sum(list_transform(list_zip(l, r), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dd FROM p, l) SELECT vec_id, round((dl * dl + dd * dd - dr * dr) / (2 * dd), 4) AS x0 FROM d")
@@ -258,7 +273,7 @@ def srg_label(s, d):
 @query()
 def dbscan_hosts(s, d):
     h = T.table(s, d, "host_aggregates").select(C.name("LogHost").alias("host"), F.col("uname_other_compacnt_login_frac").alias("a"), F.col("uname_that_compacnt_login_frac").alias("b")).where("a BETWEEN 0 AND 1 AND b BETWEEN 0 AND 1")
-    return density.dbscan(h, "host", "a", "b", 0.02, 5)
+    return density.dbscan(h, "host", ["a", "b"], 0.02, 5)
 
 
 # ---- encoders ----------------------------------------------------------------------------
@@ -459,7 +474,7 @@ _HF = ["UserName_cnt", "DomainName_cnt", "Source_cnt", "total_logins_cnt", "accn
 @query()
 def kmeans_sweep(s, d):
     h = T.table(s, d, "host_aggregates").select(*_HF)
-    return s.createDataFrame([(k, float(i), float(q)) for k, i, q in models.sweep(h, _HF, [2, 4, 8])], "k int, inertia double, silhouette double")
+    return s.createDataFrame([(k, float(i), float(q), float(c)) for k, i, q, c in models.sweep(h, _HF, [2, 4, 8])], "k int, inertia double, silhouette double, cosine_silhouette double")
 
 
 @query()
@@ -476,41 +491,3 @@ def pca_hosts(s, d):
 def kmeans_hosts(s, d):
     h = T.table(s, d, "host_aggregates").select(C.name("LogHost").alias("host"), *_HF)
     return models.largest_clusters(h, _HF, 8, 5).groupBy("cluster").agg(F.count("*").alias("n"))
-
-
-@query()
-def boosted_trees(s, d):
-    e = E(s, d).select("event_id", "user_id", "k", "value", (F.col("event_type") == "error").cast("double").alias("label"))
-    m = models.boosted_trees(e, ["user_id", "k", "value"], "label", depth=3, rounds=5)
-    return models.probability(m, e, ["user_id", "k", "value"], ["event_id"])
-
-
-@query()
-def random_forest(s, d):
-    h = T.table(s, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0).alias("label"))
-    cols = ["l_quantity", "l_extendedprice", "l_discount"]
-    m = models.forest(h, cols, "label", trees=5, depth=4)
-    return m.transform(models.assembled(h, cols)).groupBy(F.col("label"), F.col("prediction")).agg(F.count("*").alias("n"))
-
-
-@query()
-def logistic_regression(s, d):
-    e = E(s, d).select("event_id", "k", "value", (F.col("event_type") == "error").cast("double").alias("label"))
-    return models.probability(models.logistic(e, ["k", "value"], "label"), e, ["k", "value"], ["event_id"])
-
-
-@query()
-def word_vectors(s, d):
-    e = T.table(s, d, "events").select("ts", "event_id", "event_type")
-    w = sequences.count_windows(e, ["ts", "event_id"], 10, 10, F.col("event_type"), F.lit(0))
-    return models.word2vec(w.select("items"), "items")
-
-
-@query()
-def negative_windows(s, d):
-    e = T.table(s, d, "events").select("ts", "event_id", "event_type")
-    w = written(sequences.count_windows(e, ["ts", "event_id"], 10, 10, F.col("event_type"), F.lit(0)))
-    pairs = w.select("items").select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.struct(F.element_at("items", i).alias("a"), F.element_at("items", i + 1).alias("b")))).alias("p"))
-    follow = pairs.groupBy(F.col("p.a").alias("first")).agg(F.collect_set("p.b").alias("seconds"))
-    vocabulary = ["click", "error", "purchase", "view", "unseen"]
-    return models.corrupted_windows(w, "win_start", "items", vocabulary, follow)

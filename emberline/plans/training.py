@@ -143,5 +143,6 @@ ORACLE = {
     "p4_totals": """SELECT 'netflow' AS table_name, nullif(lower(trim(SrcDevice)), '') AS key_value, count(*) AS n_rows, CAST(sum(greatest(coalesce(SrcPackets, 0), 0)) AS BIGINT) AS packets, CAST(sum(greatest(coalesce(SrcBytes, 0), 0)) AS BIGINT) AS bytes, min(CASE WHEN time >= 100000000000 THEN time WHEN time >= 1 THEN time * 1000 END) AS first_ms, max(CASE WHEN time >= 100000000000 THEN time WHEN time >= 1 THEN time * 1000 END) AS last_ms FROM netflow WHERE nullif(lower(trim(SrcDevice)), '') IS NOT NULL GROUP BY 2
  UNION ALL SELECT 'windows_event_logs', nullif(lower(trim(LogHost)), ''), count(*), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), min(CASE WHEN "Time" > 100000000000 THEN "Time" // 1000 ELSE "Time" END) * 1000, max(CASE WHEN "Time" > 100000000000 THEN "Time" // 1000 ELSE "Time" END) * 1000 FROM windows_event_logs WHERE nullif(lower(trim(LogHost)), '') IS NOT NULL GROUP BY 2""",
     "p5_found": f"{_TIMED} SELECT host AS log_host, ev AS event_id FROM r WHERE n >= 5 AND u >= 2 AND latest // 86400 <= (SELECT max(t) // 86400 FROM recs) - 14",
+    "p5_features": f"{_LONG}, c AS (SELECT DISTINCT CAST(EventID AS BIGINT) AS ev FROM event_types WHERE EventID IS NOT NULL), h AS (SELECT DISTINCT host FROM r), g AS (SELECT h.host, c.ev, coalesce(r.n, 0) AS n, (SELECT max(t) FROM recs) - latest AS age, coalesce(u, 0) AS u FROM h CROSS JOIN c LEFT JOIN r ON r.host = h.host AND r.ev = c.ev), l AS (SELECT host AS log_host, unnest(['cnt_' || ev, 'age_' || ev, 'users_' || ev]) AS name, unnest([n, age, u]) AS v FROM g) SELECT * FROM (PIVOT l ON name USING max(v) GROUP BY log_host)",
     "p5_long": f"{_LONG} SELECT host AS log_host, ev AS event_id, n, latest, u AS n_users FROM r",
 }

@@ -22,10 +22,12 @@ def flows_csv(spark: SparkSession, path) -> DataFrame:
     return csv(spark, path, FLOW_SCHEMA, header=False).withColumn("ts", F.timestamp_millis(C.flow_ms("time")))
 
 
-def logs_json(spark: SparkSession, path) -> DataFrame:
+def logs_json(spark: SparkSession, path, max_lines: int | None = None) -> DataFrame:
     """Event log, one JSON object a line (bz2, gz or plain), with `ts` from seconds. Splittable
-    codecs are read in parallel, and there is no block state to carry over."""
-    return spark.read.schema(LOG_SCHEMA).json(path).withColumn("ts", F.timestamp_seconds(C.log_s("Time")))
+    codecs are read in parallel, and there is no block state to carry over. `max_lines` ends
+    after so many lines, whichever they are."""
+    rows = spark.read.schema(LOG_SCHEMA).json(path)
+    return (rows if max_lines is None else rows.limit(max_lines)).withColumn("ts", F.timestamp_seconds(C.log_s("Time")))
 
 
 def parse_logs(df: DataFrame, text: str) -> DataFrame:
@@ -39,6 +41,14 @@ def json_array(spark: SparkSession, path, schema: str | None = None) -> DataFram
     return (r.schema(schema) if schema else r).json(path)
 
 
+def public_suffixes(path: str) -> list[str]:
+    """The suffixes of more than one label of a public suffix file (one a line, comments after
+    //), for `url.split_host`; wildcards and exceptions are left out."""
+    with open(path, encoding="utf-8") as f:
+        lines = [line.split("//")[0].strip().lower() for line in f]
+    return sorted({x for x in lines if "." in x and x[0] not in "*!"})
+
+
 def by_days(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
     """Parquet partitioned by `day`, only the days first..last: other folders are never listed into tasks."""
     return spark.read.parquet(path).where(F.col("day").between(first, last))
@@ -61,10 +71,10 @@ def snapshot_rows(raw: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[at(c).alias(c) for c in columns], "plugin", F.regexp_extract(file, r"([^/]+)/[^/]+$", 1).alias("snapshot"), F.regexp_extract(file, r"_(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2}(?:\.\d+)?)\.json$", 1).alias("file_time"))
 
 
-def snapshots(spark: SparkSession, path: str, columns: list[str], plugins: list[str] | None = None) -> DataFrame:
+def snapshots(spark: SparkSession, path: str, columns: list[str], plugins: list[str] | None = None, glob: str = "*.json") -> DataFrame:
     """Rows of columnar plugin JSON below `path`: the wanted columns by title (null where a file
     has no such title), plugin, snapshot (the file's folder) and file_time. Unreadable files are skipped."""
-    raw = spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("ignoreCorruptFiles", True).json(path)
+    raw = spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).json(path)
     raw = raw.select("*", F.col("_metadata.file_path").alias("file")).where("data IS NOT NULL")
     return snapshot_rows(raw.where(F.col("plugin").isin(plugins)) if plugins else raw, columns)
 
