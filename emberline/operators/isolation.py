@@ -50,8 +50,8 @@ def fit(df: DataFrame, cols: Sequence[str], key: str, trees: int = TREES, rows:
     """(trees, usual depth). Grown on a sample of at most DRAWN rows, those of the least seeded
     hash of `key`: the bound is the method's own, however many rows there are, and its sample
     is all the driver sees. Null, NaN and infinite values are 0."""
-    clean = [F.coalesce(C.finite(c), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols)]
-    x = df.select(F.xxhash64(key, F.lit(seed)).alias("h"), *clean).orderBy("h", *[f"c{i}" for i in range(len(cols))]).limit(min(DRAWN, trees * rows)).toPandas().drop(columns="h").to_numpy(np.float64)
+    clean = [F.coalesce(C.finite(c), F.lit(0.0)).alias(f"__x{i}") for i, c in enumerate(cols)]
+    x = df.select(F.xxhash64(key, F.lit(seed)).alias("__h"), *clean).orderBy("__h", *[f"__x{i}" for i in range(len(cols))]).limit(min(DRAWN, trees * rows)).toPandas().drop(columns="__h").to_numpy(np.float64)
     rng = np.random.default_rng(seed)
     n = min(rows, len(x))
     return [grow(x[rng.choice(len(x), n, replace=False)], rng) for _ in range(trees)] if n else [], _usual_depth(n)
@@ -61,7 +61,7 @@ def scores(df: DataFrame, cols: Sequence[str], key: str, model: tuple[list, floa
     """key, score from 0 to 1: 2^(-depth / usual depth), about 0.5 for usual rows and near 1 for odd
     ones, for every row of `df`, where it is. Without trees scores are null."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    clean = [F.coalesce(C.finite(c), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols)]
+    clean = [F.coalesce(C.finite(c), F.lit(0.0)).alias(f"__x{i}") for i, c in enumerate(cols)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, usual = shared.value

@@ -17,8 +17,9 @@ def conditional_entropy(df: DataFrame, feature: str, target: str) -> DataFrame:
 
     Two aggregations, of pairs and of their counts: a value with most of the rows is combined
     to its distinct pairs before it meets its own kind. Null targets are a value of their own."""
-    pairs = df.where(F.col(feature).isNotNull()).groupBy(feature, target).agg(F.count("*").alias("c"))
-    return pairs.groupBy(feature).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("l")).select(feature, "n", F.when(F.col("n") > 1, (F.log("n") - F.col("l") / F.col("n")) / F.log("n")).alias("entropy"))
+    pairs = df.where(F.col(feature).isNotNull()).groupBy(feature, target).agg(F.count("*").alias("__c"))
+    own = pairs.groupBy(feature).agg(F.sum("__c").alias("__n"), F.sum(F.col("__c") * F.log("__c")).alias("__l"))
+    return own.select(feature, F.col("__n").alias("n"), F.when(F.col("__n") > 1, (F.log("__n") - F.col("__l") / F.col("__n")) / F.log("__n")).alias("entropy"))
 
 
 def pairwise_entropies(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -39,19 +40,19 @@ def mean_entropies(df: DataFrame, features: Sequence[str], by: str) -> DataFrame
     Rows are counted once per combination of all features; those counts are all that is joined
     or averaged, never rows, and one aggregation of (pair, value, other value) makes all
     entropies. A value's entropies come to its group by its counts with it."""
-    counts = written(df.groupBy(*features).agg(F.count("*").alias("c")))
+    counts = written(df.groupBy(*features).agg(F.count("*").alias("__c")))
     text = lambda c: F.col(c).cast("string")
     pairs = [(a, b) for a in features for b in features if a != b]
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), text(a).alias("v"), text(b).alias("w")) for i, (a, b) in enumerate(pairs)])).alias("x")
-    joint = counts.select("c", each).select("c", "x.*").where("v IS NOT NULL").groupBy("p", "v", "w").agg(F.sum("c").alias("c"))
-    own = joint.groupBy("p", "v").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("l"))
-    own = own.select("p", "v", F.when(F.col("n") > 1, (F.log("n") - F.col("l") / F.col("n")) / F.log("n")).alias("e"))
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), text(a).alias("v")) for i, (a, _) in enumerate(pairs)])).alias("x")
-    with_group = counts.where(F.col(by).isNotNull()).select(by, "c", near).select(by, "c", "x.*").where("v IS NOT NULL").groupBy(by, "p", "v").agg(F.sum("c").alias("c"))
-    j = with_group.join(own, ["p", "v"]).where("e IS NOT NULL")
-    means = [F.try_divide(F.sum(F.when(F.col("p") == i, F.col("c") * F.col("e"))), F.sum(F.when(F.col("p") == i, F.col("c"))).cast("double")).alias(f"ent_{a}_{b}") for i, (a, b) in enumerate(pairs)]
-    size = counts.where(F.col(by).isNotNull()).groupBy(by).agg(F.sum("c").alias("n"))
-    return size.join(j.groupBy(by).agg(*means), by, "left")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("__p"), text(a).alias("__v"), text(b).alias("__w")) for i, (a, b) in enumerate(pairs)])).alias("__x")
+    joint = counts.select("__c", each).select("__c", "__x.*").where("__v IS NOT NULL").groupBy("__p", "__v", "__w").agg(F.sum("__c").alias("__c"))
+    own = joint.groupBy("__p", "__v").agg(F.sum("__c").alias("__n"), F.sum(F.col("__c") * F.log("__c")).alias("__l"))
+    own = own.select("__p", "__v", F.when(F.col("__n") > 1, (F.log("__n") - F.col("__l") / F.col("__n")) / F.log("__n")).alias("__e"))
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("__p"), text(a).alias("__v")) for i, (a, _) in enumerate(pairs)])).alias("__x")
+    grouped = counts.where(F.col(by).isNotNull()).select(F.col(by).alias("__by"), "__c", near).select("__by", "__c", "__x.*").where("__v IS NOT NULL").groupBy("__by", "__p", "__v").agg(F.sum("__c").alias("__c"))
+    j = grouped.join(own, ["__p", "__v"]).where("__e IS NOT NULL")
+    means = [F.try_divide(F.sum(F.when(F.col("__p") == i, F.col("__c") * F.col("__e"))), F.sum(F.when(F.col("__p") == i, F.col("__c"))).cast("double")).alias(f"ent_{a}_{b}") for i, (a, b) in enumerate(pairs)]
+    size = counts.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("__by")).agg(F.sum("__c").alias("n"))
+    return size.join(j.groupBy("__by").agg(*means), "__by", "left").withColumnRenamed("__by", by)
 
 
 def frequency_encode(df: DataFrame, c: str) -> DataFrame:
