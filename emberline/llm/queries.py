@@ -118,10 +118,11 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     labels, codes, _ = _labels(spark, d)
     docs = subjects.document_subjects(labels, codes).groupBy("subject").agg(F.count("*").alias("n_docs"))
     names = spark.createDataFrame([(i, c) for i, c in enumerate([*codes, "none"])], "label int, subject string")
-    count = labels.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n_units"))
-    total = count.agg(F.sum("n_units").alias("total"))
-    rows = names.join(count, "label", "left").join(docs, "subject", "left").na.fill(0, ["n_units", "n_docs"]).crossJoin(F.broadcast(total))
-    return rows.select("subject", "n_docs", "n_units", F.round(F.col("n_units") / F.col("total"), 6).alias("unit_share"))
+    weights = F.posexplode("weights").alias("label", "w")
+    count = labels.select(weights).groupBy("label").agg(F.sum("w").alias("n_units"))
+    total = labels.agg(F.sum("n_units").cast("double").alias("total"))
+    rows = names.join(count, "label", "left").join(docs, "subject", "left").na.fill(0, ["n_units", "n_docs"]).crossJoin(F.broadcast(total))  # one row
+    return rows.select("subject", "n_docs", F.round("n_units", 2).alias("n_units"), F.round(F.try_divide("n_units", "total"), 6).alias("unit_share"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_daily, p6_found, p6_rollup, p7_found, p7_clusters, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}

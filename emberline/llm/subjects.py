@@ -9,13 +9,14 @@ phrase    words that the corpus itself ties to a subject: a word's lift is how m
           sees. Filler and off-topic sentences occur beside every subject and have no lift,
           however often they are repeated, and a word never counts its own unit's vote.
 address   the same lift for the shapes of addresses and codes (links, domains, IP numbers ...)
-section   what the phrase votes of the units before and after say
+section   what most of the other units of the same section (up to a blank line) have a lexicon
+          vote for
 source    subjects that the document's source has a lift for
 
 The votes of all units are counted by pattern. A latent model (expectation maximisation over
-those counts) learns how often each function is right, silent and wrong, without labels. Each
-pattern's most probable subject, or none, is the label of its units; a document has the
-subjects of at least SHARE of its units.
+those counts) learns how often each function is right, silent and wrong, without labels, and
+from that the probability of each subject, and of none, under each pattern. A document's
+probabilities are those of its units on average; it has the subjects of at least SHARE.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import html
 import re
 import unicodedata
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import clean as C
-from emberline.plans.durable import written
+from emberline.plans.durable import dropped, written
 
-#: Least share of a document's units. A subject is meant to have a fifth; the cut into units
-#: may join an entry to its neighbour, which costs a subject part of its share.
-SHARE = 0.13
+#: Least mean probability of a subject over a document's units.
+SHARE = 0.2
 #: Score above which a word vote is cast, for the examples' and for the corpus's words, with ten
 #: subjects; the largest lift there can be, and the cuts with it, go with the log of their number.
 LEXICON_CUT, PHRASE_CUT = 2.5, 2.0
@@ -50,12 +51,17 @@ LIFT_PRIOR = 4.0
 NAMES = ("lexicon", "phrase", "address", "section", "source")
 
 _DROP = regex.compile(r"[\p{Mn}\p{Cf}\p{Co}\p{So}\p{Cc}--[\n\t]]+", regex.V1)
-_LEAD = re.compile(r'^(?:\[\d\d:\d\d\] \S+: |> |- |\d+[.;] ?|\d{4}-\d\d-\d\dt\S+ \S+ \S+: level=\w+ msg="|\{"seq": \d+, "host": "[^"]*", "note": ")')
-_TAIL = re.compile(r'(?:", "code": \d+\}|")$')
-_FRAMES = frozenset("[>-{0123456789")
+#: What may stand before the text of a line in any document: marks of quotations and lists, and a
+#: stamp in brackets with or without a speaker.
+_MARK = re.compile(r"^(?:> ?|[-*\u2022] |\d{1,4}[.;)] ?|\[[^\]]{1,30}\] ?(?:[^\s:]{1,40}: )?)+")
+_MARKS = frozenset(">-*\u2022[0123456789")
+_QUOTED = re.compile(r'"((?:[^"\\]|\\.)*)"').findall
+# Names of mail headers.
 _HEAD = re.compile(r"^(?:from|to|cc|date|subject): ?")
 _BLOCK = re.compile(r"</?(?:p|li|ul|ol|div|br|tr|td|th|table|h[1-6]|html|body|pre|blockquote)\b[^<>]*>")
-_END = re.compile(r"(?<=[.!?])\s+")
+#: Where a unit ends inside a line: after a full stop and the like, and where `starters` say so.
+_STOP = "\x1f"
+_END = re.compile(rf"(?<=[.!?])\s+|{_STOP}")
 _WORD = re.compile(r"[^\W\d_]+").findall
 _DIGIT, _LETTER = re.compile(r"[0-9]").search, re.compile(r"[^\W\d_]").search
 _LEET = re.compile(r"[a-z][0134]+[a-z]")
@@ -97,53 +103,94 @@ class _Tokens(dict):
 _TOKENS = _Tokens()
 
 
-def units(text: str | None) -> list[str]:
-    """The units of a text, each as its words in lower case without accents, with shapes such as
-    @url for addresses and numbers. Mail headers and entry frames (time and speaker of a chat,
-    quote and list marks, log and record fields) are not part of a unit; lines broken inside
-    words with a hyphen are joined; digits in place of vowels are read as vowels."""
+def _plain(text: str) -> str:
+    """Without accents and odd characters."""
+    return text if text.isascii() else _DROP.sub("", unicodedata.normalize("NFKD", text))
+
+
+def starters(texts: list[str | None], least: int = 2) -> re.Pattern | None:
+    """Where a sentence begins without a full stop before it, as after a record in the middle of
+    a line: at a space before a capitalised word that has begun at least `least` sentences of the
+    texts and has never been capitalised inside one. None without such words."""
+    first, inside = Counter(), set()
+    for t in texts:
+        for line in _plain(t or "").split("\n"):
+            for sentence in _END.split(line.strip()):
+                words = sentence.split()
+                first.update(w for w in words[:1] if w.isalpha() and w[0].isupper() and w[1:] == w[1:].lower())
+                inside.update(w.strip(_EDGE) for w in words[1:])
+    good = sorted(w for w, n in first.items() if n >= least and w not in inside)
+    return re.compile(rf" (?=[{''.join(sorted({w[0] for w in good}))}])(?<![\s.!?:,;>\"] )(?=(?:{'|'.join(map(re.escape, good))}) )") if good else None
+
+
+def sections(text: str | None, starts: re.Pattern | None = None) -> list[list[str]]:
+    """The units of each section of a text, each unit as its words in lower case without accents,
+    with shapes such as @url for addresses and numbers. A blank line ends a section.
+
+    Mail headers and marks of quotations, lists and speakers are not part of a unit. Of a record
+    (a line that begins with a brace, or has quoted fields) the units are its free texts, the
+    quoted values of three words or more; one without such is a unit as a whole. Lines broken
+    inside words with a hyphen are joined; digits in place of vowels are read as vowels. Units
+    of a single word are left out. `starts` tells where else a sentence begins, see `starters`."""
     if not text:
         return []
-    t = text.lower() if text.isascii() else _DROP.sub("", unicodedata.normalize("NFKD", text)).lower()
+    t = _plain(text)
+    t = (starts.sub(_STOP, t) if starts else t).lower()
     if "</" in t or "&" in t:
         t = html.unescape(_BLOCK.sub("\n", t))
     if "-\n" in t and t.count("-\n") * 2 > t.count("\n"):
         t = t.replace("-\n", "")
     if sum(map(t.count, "0134")) * 25 > len(t) and len(_LEET.findall(t)) * 40 > len(t):
         t = t.translate(_FROM_DIGITS)
-    out, token = [], _TOKENS.__getitem__
+    out, now, token = [], [], _TOKENS.__getitem__
     for line in t.split("\n"):
         line = line.strip()
-        if not line or line[0] in "ftcds" and _HEAD.match(line):
+        if not line:
+            if now:
+                out.append(now)
+                now = []
+            continue
+        first = line[0]
+        if first in "ftcds" and _HEAD.match(line):
             continue
-        body = line
-        if line[0] in _FRAMES:
-            body = _LEAD.sub("", line)
-            if len(body) != len(line):
-                body = _TAIL.sub("", body)
-        for s in _END.split(body):
-            u = " ".join(filter(None, map(token, s.split())))
-            if " " in u:
-                out.append(u)
+        if first in _MARKS:
+            line = _MARK.sub("", line)
+        bodies = (line,)
+        if first == "{" or '="' in line:
+            bodies = [v for v in _QUOTED(line) if v.count(" ") > 1] or bodies
+        for body in bodies:
+            for s in _END.split(body):
+                u = " ".join(filter(None, map(token, s.split())))
+                if " " in u:
+                    now.append(u)
+    if now:
+        out.append(now)
     return out
 
 
-def examples(df: DataFrame, subjects: DataFrame) -> tuple[list[str], list[tuple[int, str]], list[str]]:
-    """(subject codes, (subject, unit) of the labelled examples, languages). Both tables are
+def units(text: str | None, starts: re.Pattern | None = None) -> list[str]:
+    """The units of a text, see `sections`."""
+    return [u for part in sections(text, starts) for u in part]
+
+
+def examples(df: DataFrame, subjects: DataFrame) -> tuple[list[str], list[tuple[int, str]], list[str], re.Pattern | None]:
+    """(subject codes, (subject, unit) of the labelled examples, languages, starters). Both tables are
     short fixed lists. A label is a code or title in any spelling; one that resembles none, and
     null or blank ones, leave their example out. Wrong labels are outvoted."""
     listed = subjects.where("subject IS NOT NULL").select("subject", "title").orderBy("subject").collect()
     codes = list(dict.fromkeys(r.subject for r in listed))
     title = {(r.title or "").lower(): r.subject for r in listed}
     got, langs = [], set()
-    for r in df.select("text", "subject", "lang").collect():
+    rows = df.select("text", "subject", "lang").collect()
+    starts = starters([r.text for r in rows])
+    for r in rows:
         label = (r.subject or "").strip().lower()
         label = title.get(label, label.replace("-", "_").replace(" ", "_"))
         near = [label] if label in codes else difflib.get_close_matches(label, codes, 1, 0.7)
         if near:
-            got += [(codes.index(near[0]), u) for u in units(r.text)]
+            got += [(codes.index(near[0]), u) for u in units(r.text, starts)]
             langs.add((r.lang or "").strip().lower())
-    return codes, got, sorted(x for x in langs if x)
+    return codes, got, sorted(x for x in langs if x), starts
 
 
 def words_of(unit: str) -> set[str]:
@@ -172,23 +219,30 @@ def cut_for(cut: float, k: int) -> float:
 class Scores:
     """Word scores as one matrix."""
 
-    def __init__(self, table: dict[str, np.ndarray]):
+    def __init__(self, table: dict[str, np.ndarray], k: int):
         self.no = {w: i for i, w in enumerate(table)}
-        self.rows = np.array(list(table.values())) if table else np.zeros((0, 1))
-
-
-def vote(words: set[str], scores: Scores, cut: float, none: int, silent: int) -> int:
-    """Subject whose words stand out, `none` if known words point nowhere, `silent` if few are known."""
-    no = scores.no
-    at = [no[w] for w in words if w in no]
-    if not at:
-        return silent
-    s = scores.rows.take(at, 0).sum(0).tolist()
-    bar = cut * len(words) ** 0.5
-    top = max(s)
-    if top > bar and (len(s) == 1 or top - sorted(s)[-2] > bar / 2):
-        return s.index(top)
-    return none if 2 * len(at) >= len(words) else silent
+        self.rows = np.array(list(table.values())) if table else np.zeros((0, k))
+
+
+def votes(bags: list, scores: Scores, cut: float, none: int, silent: int) -> np.ndarray:
+    """For each bag of words the subject whose words stand out, `none` if known words point
+    nowhere, `silent` if few are known."""
+    out = np.full(len(bags), silent)
+    get = scores.no.get
+    at = [[i for w in b if (i := get(w)) is not None] for b in bags]
+    known = np.array([len(a) for a in at], np.int64)
+    rows = np.flatnonzero(known)
+    if not len(rows):
+        return out
+    s = np.add.reduceat(scores.rows[list(chain.from_iterable(at))], np.append(0, np.cumsum(known[rows])[:-1]))
+    size = np.array([len(bags[r]) for r in rows], float)
+    bar = cut * np.sqrt(size)
+    best = s.argmax(1)
+    top = s[np.arange(len(s)), best]
+    second = np.partition(s, -2, 1)[:, -2] if s.shape[1] > 1 else np.full(len(s), -np.inf)
+    clear = (top > bar) & (top - second > bar / 2)
+    out[rows] = np.where(clear, best, np.where(2 * known[rows] >= size, none, silent))
+    return out
 
 
 _CACHES: dict[str, dict] = {}
@@ -201,98 +255,132 @@ def _cache(key: str) -> dict:
     return _CACHES[key]
 
 
-def _cut(shared, k: int, langs: list[str], tag: str):
-    """Documents to (doc_id, language number, source, units, lexicon votes)."""
+def _of_units(seen: dict, us: list[str], work) -> list:
+    """What `work` gives for each unit, made once for each different one as long as the cache holds it."""
+    if len(seen) > 100_000:
+        seen.clear()
+    new = list(dict.fromkeys(u for u in us if u not in seen))
+    if new:
+        seen.update(zip(new, work(new)))
+    return list(map(seen.__getitem__, us))
+
+
+class _Units:
+    """The different units seen so far, each read once: its lexicon vote, its words, and sums over
+    its occurrences (the other units' share of each subject, and the number by language). Keys
+    beside the units, such as sources, have sums of their own."""
+
+    def __init__(self, width: int, vote):
+        self.width, self.vote = width, vote
+        self.clear()
+
+    def clear(self) -> None:
+        self.no: dict[str, int] = {}
+        self.words: list[set[str]] = []
+        self.lex: list[int] = []
+        self.sums = np.zeros((1 << 14, self.width))
+        self.keys: dict[str, np.ndarray] = {}
+
+    def read(self, us: list[str]) -> np.ndarray:
+        """The number of each unit."""
+        no = self.no
+        first = len(no)
+        at = np.array([no.setdefault(u, len(no)) for u in us], np.int64)
+        if len(no) > first:
+            new = [set(u.split(" ")) for u in islice(no, first, None)]
+            self.words += new
+            self.lex += self.vote(new)
+            while len(no) > len(self.sums):
+                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        return at
+
+    def add(self, at: np.ndarray, values: np.ndarray) -> None:
+        """`values`: a row for each occurrence of a unit."""
+        here, back = np.unique(at, return_inverse=True)
+        for j in range(self.width):
+            self.sums[here, j] += np.bincount(back, values[:, j], len(here))
+
+    def add_key(self, key: str, value: np.ndarray) -> None:
+        self.keys[key] = self.keys[key] + value if key in self.keys else value
+
+    def by_word(self) -> tuple[list[str], np.ndarray]:
+        """Words and keys with their sums; all is forgotten."""
+        no: dict[str, int] = {}
+        at = np.array([no.setdefault(w, len(no)) for ws in self.words for w in ws], np.int64)
+        of = np.repeat(np.arange(len(self.words)), [len(ws) for ws in self.words])
+        out = np.column_stack([np.bincount(at, self.sums[of, j], len(no)) for j in range(self.width)]) if no else np.zeros((0, self.width))
+        got = [*no, *self.keys], np.vstack([out, *self.keys.values()])
+        self.clear()
+        return got
+
+
+_CUT = ["doc_id", "source", "units", "ends", "lex", "word", "sums"]
+
+
+def _cut(shared, k: int, langs: list[str], starts: re.Pattern | None):
+    """Documents to (doc_id, source, units, ends of the sections, lexicon votes) and, in rows of
+    their own, to words with their sums (see `_Units`). The empty word with a language number
+    has the sums of all units, '@source:x' those of a source."""
     lang_no = {x: i for i, x in enumerate(langs)}
+    width = k + len(langs) + 1
+
+    def batch(ids: pa.Array, source: pa.Array, us: list[str], off: np.ndarray, ends: list[list[int]], lex: np.ndarray) -> pa.RecordBatch:
+        n, at = len(ids), pa.array(off.astype(np.int32))
+        return pa.RecordBatch.from_arrays([ids, source, pa.ListArray.from_arrays(at, pa.array(us, pa.string())), pa.array(ends, pa.list_(pa.int32())), pa.ListArray.from_arrays(at, pa.array(lex.astype(np.int32))), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.float64()))], names=_CUT)
+
+    def of_words(table: _Units) -> pa.RecordBatch:
+        words, sums = table.by_word()
+        n = len(words)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(sums.ravel()))
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32())), pa.array(words, pa.string()), lists], names=_CUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, seen = shared.value, _cache(tag)
+        scores, cut = shared.value, cut_for(LEXICON_CUT, k)
+
+        def vote(new: list[set[str]]) -> list[int]:
+            v = votes([{w for w in ws if w[0] != "@"} for ws in new], scores, cut, k, k + 1)
+            return np.where(v == k, k + 1, v).tolist()  # the examples show a part of what is said: nothing found means nothing
+
+        table = _Units(width, vote)
         for b in batches:
             for lo in range(0, b.num_rows, 1_000):
                 part = b.slice(lo, 1_000)
-                us = [units(t) for t in part.column(1).to_pylist()]
-                votes = []
-                for u in us:
-                    row = []
-                    for x in u:
-                        v = seen.get(x)
-                        if v is None:
-                            if len(seen) > 100_000:
-                                seen.clear()
-                            v = vote(words_of(x), lex, cut_for(LEXICON_CUT, k), k, k + 1)
-                            if v == k:
-                                v = k + 1  # the examples show a part of what is said: nothing found means nothing
-                            seen[x] = v
-                        row.append(v)
-                    votes.append(row)
-                number = [lang_no.get((x or "").strip().lower(), len(langs)) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(number, pa.int32()), part.column(3), pa.array(us, pa.list_(pa.string())), pa.array(votes, pa.list_(pa.int32()))], names=["doc_id", "lang_no", "source", "units", "lex"])
+                cuts = [sections(t, starts) for t in part.column(1).to_pylist()]
+                us = [u for c in cuts for p in c for u in p]
+                ends = [list(accumulate(map(len, c))) for c in cuts]
+                at = table.read(us)
+                v = np.array(table.lex, np.int64)[at]
+                n = np.array([e[-1] if e else 0 for e in ends])
+                yield batch(part.column(0), part.column(3), us, np.append(0, np.cumsum(n)), ends, v)
+                # each unit's words get what the other units of the document carry
+                doc = np.repeat(np.arange(len(n)), n)
+                own = np.zeros((len(v), k))
+                own[np.flatnonzero(v < k), v[v < k]] = 1
+                m = np.column_stack([np.bincount(doc, own[:, j], len(n)) for j in range(k)])
+                lang = np.array([lang_no.get((x or "").strip().lower(), len(langs)) for x in part.column(2).to_pylist()])
+                values = np.zeros((len(v), width))
+                values[:, :k] = (m[doc] - own) / np.maximum(n[doc] - 1, 1)[:, None]
+                values[np.arange(len(v)), k + lang[doc]] = 1
+                more = n[doc] > 1
+                table.add(at[more], values[more])
+                whole = np.zeros((len(n), width))  # of a document with n units each vote is seen by the n-1 others
+                whole[:, :k] = m
+                whole[np.arange(len(n)), k + lang] = n
+                for keys in ([f"\x00{x}" for x in lang.tolist()], [x and f"@source:{x}" for x in part.column(3).to_pylist()]):
+                    of = defaultdict(list)
+                    for i, x in enumerate(keys):
+                        if x and n[i] > 1:
+                            of[x].append(i)
+                    for x, rows in of.items():
+                        table.add_key(x, whole[rows].sum(0))
+                if len(table.no) > 150_000:
+                    yield of_words(table)
+        if table.no:
+            yield of_words(table)
 
     return run
 
 
-def _word_sums(k: int, n_lang: int):
-    """Units to partial sums for each word: the other units' share of each subject, and the
-    number of units by language. The empty word with a language number has the sums of all
-    units, '@source:x' those of a source."""
-    names = ["word", *[f"s{i}" for i in range(k)], *[f"n{i}" for i in range(n_lang)]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit_sum: dict[str, np.ndarray] = {}
-        other: dict[str, np.ndarray] = {}
-
-        def add(table: dict, key: str, v: np.ndarray) -> None:
-            if (have := table.get(key)) is None:
-                table[key] = v.copy()
-            else:
-                have += v
-
-        def words() -> pa.RecordBatch:
-            no: dict[str, int] = {}
-            at, rows = [], []
-            for i, u in enumerate(unit_sum):
-                for w in set(u.split(" ")):
-                    at.append(no.setdefault(w, len(no)))
-                    rows.append(i)
-            values = np.array(list(unit_sum.values())).reshape(-1, k + n_lang)
-            at, rows = np.array(at, np.int64), np.array(rows, np.int64)
-            sums = [np.bincount(at, values[rows, j], len(no)) for j in range(k + n_lang)]
-            unit_sum.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(no), pa.string()), *[pa.array(s) for s in sums]], names=names)
-
-        for b in batches:
-            for lang, source, us, lex in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                n = len(us)
-                if n < 2:
-                    continue
-                m = np.bincount(lex, minlength=k + 2)[:k].astype(float)
-                base = np.zeros(k + n_lang)
-                base[:k] = m / (n - 1)
-                base[k + lang] = 1
-                mine = {}
-                for u, v in zip(us, lex):
-                    if v >= k:
-                        x = base
-                    elif (x := mine.get(v)) is None:
-                        x = mine[v] = base.copy()
-                        x[v] -= 1 / (n - 1)
-                    add(unit_sum, u, x)
-                whole = base * n
-                whole[:k] = m  # each unit's vote is seen by the n-1 others
-                add(other, f"\x00{lang}", whole)
-                if source:
-                    add(other, f"@source:{source}", whole)
-            if len(unit_sum) > 150_000:
-                yield words()
-        if unit_sum:
-            yield words()
-        if other:
-            v = np.array(list(other.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(other), pa.string()), *[pa.array(v[:, j]) for j in range(k + n_lang)]], names=names)
-
-    return run, ", ".join(["word string", *[f"s{i} double" for i in range(k)], *[f"n{i} double" for i in range(n_lang)]])
-
-
 def lifts(sums: dict[str, np.ndarray], k: int, n_lang: int) -> dict[str, np.ndarray]:
     """Log lift of each word, shape and source, against what units of the same languages see."""
     usual = np.full((n_lang, k), np.nan)
@@ -310,6 +398,28 @@ def lifts(sums: dict[str, np.ndarray], k: int, n_lang: int) -> dict[str, np.ndar
     return out
 
 
+def _section_votes(lex: list[int], ends: list[int], k: int, silent: int) -> list[int]:
+    """For each unit the subject of more than half of the lexicon votes of its section's other units."""
+    out, lo = [], 0
+    for hi in ends:
+        part = lex[lo:hi]
+        count = Counter(v for v in part if v < k)
+        total = sum(count.values())
+        if not total:
+            out += [silent] * (hi - lo)
+        elif len(count) == 1:
+            (v,) = count
+            out += [v if x != v or total > 1 else silent for x in part]
+        else:
+            best = count.most_common(2)
+            for x in part:
+                others = total - (x < k)
+                v, c = max(((v, c - (v == x)) for v, c in best), key=lambda y: y[1])
+                out.append(v if 2 * c > others else silent)
+        lo = hi
+    return out
+
+
 def _patterns(shared, k: int, tag: str):
     """Documents to one pattern number for each unit: the five votes as digits to the base k + 2."""
     none, silent, radix = k, k + 1, k + 2
@@ -318,27 +428,27 @@ def _patterns(shared, k: int, tag: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, _cache(tag)
         by_source: dict = {}
+
+        def vote(new: list[str]) -> list[int]:
+            phrase = votes([words_of(u) or ("",) for u in new], table, cut, none, silent)
+            return (phrase * radix + votes([shapes_of(u) for u in new], table, cut, none, silent)).tolist()
+
         for b in batches:
-            ids, out = b.column(0), []
-            for source, us, lex in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                if source not in by_source:
-                    by_source[source] = vote({f"@source:{source}"}, table, cut, none, silent)
-                pairs = []
-                for u in us:
-                    v = seen.get(u)
-                    if v is None:
-                        if len(seen) > 100_000:
-                            seen.clear()
-                        v = seen[u] = (vote(words_of(u) or {""}, table, cut, none, silent), vote(shapes_of(u), table, cut, none, silent))
-                    pairs.append(v)
-                ph = [p for p, _ in pairs]
-                row = []
-                for i, (p, a) in enumerate(pairs):
-                    near = {x for x in (ph[i - 1] if i else silent, ph[i + 1] if i + 1 < len(ph) else silent) if x != silent}
-                    sec = near.pop() if len(near) == 1 else silent
-                    row.append((((lex[i] * radix + p) * radix + a) * radix + sec) * radix + by_source[source])
-                out.append(row)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "patterns"])
+            for lo in range(0, b.num_rows, 1_000):
+                part = b.slice(lo, 1_000)
+                off = part.column(2).offsets.to_numpy()
+                us = part.column(2).values.slice(off[0], off[-1] - off[0]).to_pylist()
+                lex = part.column(4).values.to_numpy()[off[0] : off[-1]].astype(np.int64)
+                sources = part.column(1).to_pylist()
+                new = list({x for x in sources if x not in by_source})
+                by_source.update(zip(new, votes([(f"@source:{x}",) for x in new], table, cut, none, silent).tolist()))
+                both = np.array(_of_units(seen, us, vote), np.int64)
+                own = lex.tolist()
+                sec = [v for x, y, e in zip((off[:-1] - off[0]).tolist(), (off[1:] - off[0]).tolist(), part.column(3).to_pylist()) for v in _section_votes(own[x:y], e, k, silent)]
+                source = np.repeat(np.array([by_source[x] for x in sources], np.int64), np.diff(off))
+                number = ((lex * radix**2 + both) * radix + np.array(sec, np.int64)) * radix + source
+                lists = pa.ListArray.from_arrays(pa.array(off - off[0]), pa.array(number.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "patterns"])
 
     return run
 
@@ -382,50 +492,56 @@ def learn(patterns: np.ndarray, counts: np.ndarray, k: int, rounds: int = 60) ->
 
 
 def unit_labels(docs: DataFrame, subjects: DataFrame, labelled: DataFrame) -> tuple[DataFrame, list[str], dict]:
-    """Labels of every unit: (doc_id, labels array<int>) with numbers into the returned codes,
-    len(codes) for none; and what was learned of each labelling function.
+    """What the units of every document are about: doc_id, n_units and weights, the units'
+    probabilities of each of the returned codes, and of none, added up; and what was learned of
+    each labelling function.
 
     `docs`: doc_id, text, lang, source; a null in any column is fine, a text without units has
-    no labels, and without subjects no text has. Three passes read every document; the word sums are combined in each task, then
-    by word; what the driver sees is the vocabulary (bounded by WORD_SHARE) and the counts of
-    vote patterns (bounded by their number of combinations)."""
+    n_units 0, and without subjects no text has any. Two passes read every document, one cuts
+    it and adds up its words, one votes; word sums are combined in each task, then by word.
+    What the driver sees is the vocabulary (bounded by WORD_SHARE) and the counts of vote
+    patterns (bounded by their number of combinations)."""
     spark = docs.sparkSession
-    codes, known, langs = examples(labelled, subjects)
+    codes, known, langs, starts = examples(labelled, subjects)
     k, n_lang = len(codes), len(langs) + 1
     if not k:
-        return docs.select("doc_id", F.array().cast("array<int>").alias("labels")), codes, {}
+        return docs.select("doc_id", F.lit(0).alias("n_units"), F.array().cast("array<double>").alias("weights")), codes, {}
     sc = spark.sparkContext
     lex = lexicon(known, k) if known else {}
     tag = uuid.uuid4().hex  # workers keep their votes for one run only
-    cut = docs.select("doc_id", "text", "lang", C.name("source").alias("source")).mapInArrow(_cut(sc.broadcast(Scores(lex)), k, langs, tag), "doc_id bigint, lang_no int, source string, units array<string>, lex array<int>")
-    cut = written(cut)
-    run, schema = _word_sums(k, n_lang)
-    cols = [*[f"s{i}" for i in range(k)], *[f"n{i}" for i in range(n_lang)]]
-    sums = written(cut.mapInArrow(run, schema).groupBy("word").agg(*[F.sum(c).alias(c) for c in cols]))
-    times = sum((F.col(f"n{i}") for i in range(n_lang)), F.lit(0.0))
-    total = sums.where(~F.col("word").startswith("\x00")).agg(F.sum(times)).first()[0] or 0
-    keep = sums.where((times >= F.lit(max(3.0, WORD_SHARE * total))) | F.col("word").startswith("\x00"))
-    table = lifts({r[0]: np.array(r[1:]) for r in keep.collect()}, k, n_lang)
-    marked = written(cut.mapInArrow(_patterns(sc.broadcast(Scores(table)), k, tag + "p"), "doc_id bigint, patterns array<int>"))
-    got = marked.select(F.explode("patterns").alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect()
-    numbers, counts = np.array([r.p for r in got], np.int64), np.array([r.n for r in got], float)
+    rows = docs.select("doc_id", "text", "lang", C.name("source").alias("source")).mapInArrow(_cut(sc.broadcast(Scores(lex, k)), k, langs, starts), "doc_id bigint, source string, units array<string>, ends array<int>, lex array<int>, word string, sums array<double>")
+    rows = written(rows)
+    cut = rows.where("word IS NULL").select("doc_id", "source", "units", "ends", "lex")
+    cols = [f"x{i}" for i in range(k + n_lang)]
+    sums = written(rows.where("word IS NOT NULL").groupBy("word").agg(*[F.sum(F.col("sums")[i]).alias(c) for i, c in enumerate(cols)]))
+    times = sum((F.col(c) for c in cols[k:]), F.lit(0.0))
+    total = sums.where(~F.substring("word", 1, 1).isin("\x00", "@")).agg(F.sum(times)).first()[0] or 0  # words, not units
+    keep = sums.where((times >= F.lit(max(3.0, WORD_SHARE * total))) | F.col("word").startswith("\x00")).toPandas()  # through Arrow
+    table = lifts(dict(zip(keep["word"], keep[cols].to_numpy(np.float64))), k, n_lang)
+    marked = written(cut.mapInArrow(_patterns(sc.broadcast(Scores(table, k)), k, tag + "p"), "doc_id bigint, patterns array<int>"))
+    dropped(rows)
+    dropped(sums)
+    got = marked.select(F.explode("patterns").alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy("p").toPandas()
+    numbers, counts = got["p"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
     post, accuracy = learn(numbers, counts, k) if len(got) else (np.zeros((0, k + 1)), np.zeros((len(NAMES), 7)))
-    label = post.argmax(1).astype(np.int32) if len(got) else np.zeros(0, np.int32)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = b.column(1)
-            v = label[np.searchsorted(numbers, p.values.to_numpy())] if len(numbers) else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(p.offsets, pa.array(v, pa.int32()))], names=["doc_id", "labels"])
+            off = b.column(1).offsets.to_numpy()
+            n = np.diff(off)
+            p = post[np.searchsorted(numbers, b.column(1).values.to_numpy()[off[0] : off[-1]])]
+            doc = np.repeat(np.arange(len(n)), n)
+            w = np.column_stack([np.bincount(doc, p[:, j], len(n)) for j in range(k + 1)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (k + 1)), pa.array(w.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), lists], names=["doc_id", "n_units", "weights"])
 
     learned = {name: dict(zip(("right", "none", "wrong", "silent", "off_none", "off_wrong", "off_silent"), row.tolist())) for name, row in zip(NAMES, accuracy)}
-    return marked.mapInArrow(read, "doc_id bigint, labels array<int>"), codes, learned
+    return marked.mapInArrow(read, "doc_id bigint, n_units int, weights array<double>"), codes, learned
 
 
 def document_subjects(labels: DataFrame, codes: list[str], share: float = SHARE) -> DataFrame:
-    """Subjects of each document: doc_id, subject, n_units (about it), share of its units."""
-    if not codes:
-        return labels.select("doc_id", F.lit("").alias("subject"), F.lit(0).alias("n_units"), F.lit(0.0).alias("share")).limit(0)
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("subject"), (F.size("labels") - F.size(F.array_remove("labels", i))).alias("n_units")) for i, c in enumerate(codes)])).alias("x")
-    rows = labels.where(F.size("labels") > 0).select("doc_id", F.size("labels").alias("n"), each)
-    return rows.select("doc_id", "x.subject", "x.n_units", (F.col("x.n_units") / F.col("n")).alias("share")).where(F.col("share") >= share)
+    """Subjects of each document: doc_id, subject, n_units (about it, as probabilities added up)
+    and share, the mean probability of the subject over the document's units, at least `share`."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("subject"), F.get("weights", F.lit(i)).alias("n_units")) for i, c in enumerate(codes)] or [F.struct(F.lit("").alias("subject"), F.lit(0.0).alias("n_units"))])).alias("x")
+    rows = labels.where("n_units > 0").select("doc_id", F.col("n_units").alias("n"), each)
+    return rows.select("doc_id", "x.subject", "x.n_units", (F.col("x.n_units") / F.col("n")).alias("share")).where(F.col("share") >= share - 1e-9)

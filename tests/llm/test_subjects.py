@@ -31,6 +31,8 @@ def test_learns_what_the_examples_do_not_show(spark):
     df = spark.createDataFrame(docs + [(900, None, None, None), (901, "", "en", ""), (902, " \n ", "en", "mail"), (903, "Hm.", "en", "mail")], "doc_id bigint, text string, lang string, source string").withColumn("units", F.lit("clash"))
     subjects = spark.createDataFrame([(t, t.title() + " things", "") for t in TOPICS], "subject string, title string, description string")
     labels, codes, learned = S.unit_labels(df, subjects, spark.createDataFrame(labelled, "text string, subject string, lang string"))
+    sums = {r.doc_id: r for r in labels.collect()}
+    assert len(sums) == len(docs) + 4 and sums[900].n_units == 0 and all(abs(sum(r.weights) - r.n_units) < 1e-6 for r in sums.values())
     got = {}
     for r in S.document_subjects(labels, codes).collect():
         got.setdefault(r.doc_id, set()).add(r.subject)
@@ -58,6 +60,54 @@ def test_units():
     assert S.units("<p>One thing.&nbsp;Two things.</p><li>three things</li>") == ["one thing", "two things", "three things"]
     assert S.units(None) == S.units("") == S.units("  \n ") == S.units("word") == []
     assert len(S.units("a b. " * 50_000)) == 50_000
+    # any record with quoted fields, and a speaker of any form
+    assert S.units('app=web lvl="warn" text="The oven is hot. Turn it off now." id=7\n{"a": [1, 2], "b": "x"}\n[2026/02/03] Eve Adams: hello there') == ["the oven is hot", "turn it off now", "a @number @number b x", "eve adams hello there"]
+    assert S.sections("One a. Two b.\nthree c\n\n \nfour d\n") == [["one a", "two b", "three c"], ["four d"]] and S.sections(None) == S.sections(" \n\n ") == []
+
+
+def test_sentences_without_a_full_stop_before_them():
+    starts = S.starters(["The ship sank. The crew swam. We saw it.", "We left. The Dover road was closed.", "Dover is near. Dover is far.", None, ""])
+    assert S.units("txn 4 state=ok The ship leaks", starts) == ["txn @number state ok", "the ship leaks"]
+    assert S.units("we saw The ship near Dover and We left it. The end is near", starts) == ["we saw", "the ship near dover and", "we left it", "the end is near"]
+    assert S.units("so: The ship is here", starts) == ["so the ship is here"]  # after a colon it goes on
+    assert S.starters(["one. two. three.", None]) is None
+
+
+def test_section_votes():
+    k, silent = 3, 4
+    assert S._section_votes([0, 0, silent, 1], [4], k, silent) == [silent, silent, 0, 0]
+    assert S._section_votes([0, silent, 1, 1, 1], [2, 5], k, silent) == [silent, 0, 1, 1, 1]
+    assert S._section_votes([], [], k, silent) == [] and S._section_votes([silent, silent], [2], k, silent) == [silent, silent]
+
+
+def test_votes_of_many_bags_are_those_of_each():
+    rng = np.random.default_rng(2)
+    table = S.Scores({f"w{i}": rng.normal(size=4) * 3 for i in range(30)}, 4)
+    bags = [{f"w{j}" for j in rng.integers(0, 50, rng.integers(0, 9))} for _ in range(300)]
+
+    def alone(b):
+        known = [table.rows[table.no[w]] for w in b if w in table.no]
+        if not known:
+            return 5
+        v, bar = np.sum(known, 0), 2.0 * len(b) ** 0.5
+        a, c = sorted(v)[-1], sorted(v)[-2]
+        return int(v.argmax()) if a > bar and a - c > bar / 2 else 4 if 2 * len(known) >= len(b) else 5
+
+    assert S.votes(bags, table, 2.0, 4, 5).tolist() == [alone(b) for b in bags] and S.votes([], table, 2.0, 4, 5).tolist() == []
+    assert S.votes(bags, S.Scores({}, 4), 2.0, 4, 5).tolist() == [5] * 300
+
+
+def test_word_sums():
+    t = S._Units(2, lambda new: [len(ws) for ws in new])
+    assert t.read(["a b", "a a c", "a b"]).tolist() == [0, 1, 0] and t.lex == [2, 2]
+    t.add(np.array([0, 1, 0]), np.array([[1.0, 0.5], [2.0, 0.0], [3.0, 0.0]]))
+    assert t.read(["c d", "a b"]).tolist() == [2, 0]
+    t.add(np.array([2]), np.array([[1.0, 1.0]]))
+    t.add_key("@source:x", np.array([5.0, 5.0]))
+    t.add_key("@source:x", np.array([1.0, 0.0]))
+    words, sums = t.by_word()
+    assert {w: v.tolist() for w, v in zip(words, sums)} == {"a": [6.0, 0.5], "b": [4.0, 0.5], "c": [3.0, 1.0], "d": [1.0, 1.0], "@source:x": [6.0, 5.0]} and not t.no
+    assert t.by_word()[1].shape == (0, 2)
 
 
 def test_accuracies_are_learned_without_labels():
