@@ -228,10 +228,15 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         mutual = hook.select(F.col("a").alias("b"), F.col("b").alias("c"))
         up = written(hook.join(mutual, "b").select("a", F.when((F.col("c") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("b")))
         while True:
-            jump = written(up.join(up.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"), (F.col("b") != F.col("c")).alias("moved")))
-            up = jump.select("a", "b")
-            if jump.where("moved").isEmpty():
+            jump = written(up.select("a", "b").join(up.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"), (F.col("b") != F.col("c")).alias("moved")))
+            dropped(up)
+            up = jump
+            if up.where("moved").isEmpty():
                 break
-        label = written(label.join(up, F.col("label") == F.col("a"), "left").select("id", F.coalesce("b", "label").alias("label")))
         root = lambda c: up.select(F.col("a").alias(c), F.col("b").alias(f"{c}_up"))  # noqa: B023, E731
-        ends = written(ends.join(root("a"), "a").join(root("b"), "b").where("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct())
+        old, label = label, written(label.join(root("label"), "label", "left").select("id", F.coalesce("label_up", "label").alias("label")))
+        if done:
+            dropped(old)
+        old, ends = ends, written(ends.join(root("a"), "a").join(root("b"), "b").where("a_up <> b_up").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).distinct())
+        dropped(old)
+        dropped(up)

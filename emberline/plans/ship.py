@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -22,6 +23,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent.parent
     folder = tempfile.mkdtemp(prefix="emberline-code-")
+    atexit.register(shutil.rmtree, folder, True)  # executors fetch the archive as long as the context lives
     try:
         stage = os.path.join(folder, "stage")
         shutil.copytree(root, os.path.join(stage, root.name), ignore=shutil.ignore_patterns("__pycache__"))

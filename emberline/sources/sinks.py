@@ -27,22 +27,46 @@ def read_token_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 class SketchStore:
-    """Additive counts per (entity, item): appended in parts, read as sums, compacted by rewriting."""
+    """Additive counts per (entity, item): appended in parts, read as sums, compacted by rewriting.
+
+    A generation is a folder of parts. Compaction writes the sums as the next generation, which
+    counts once it is complete (its commit marker is the last thing written); until then, and
+    if it fails, the one before stays whole. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _generations(self) -> list[int]:
+        """Complete generations in order."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(at)]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(n[4:]) for n in names if n.startswith("gen-") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+
     def append(self, counts: DataFrame) -> None:
         """`counts`: entity string, item string, n bigint."""
-        counts.select(F.col("entity").cast("string"), F.col("item").cast("string"), F.col("n").cast("bigint")).write.mode("append").parquet(f"{self.path}/parts")
+        now = (self._generations() or [0])[-1]
+        counts.select(F.col("entity").cast("string"), F.col("item").cast("string"), F.col("n").cast("bigint")).write.mode("append").parquet(f"{self.path}/gen-{now}")
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema("entity string, item string, n bigint").parquet(f"{self.path}/parts").groupBy("entity", "item").agg(F.sum("n").alias("n"))
+        """entity, item, n: the sums of all parts; no rows for a store without any."""
+        schema = "entity string, item string, n bigint"
+        have = self._generations()
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/gen-{have[-1]}") if have else self.spark.createDataFrame([], schema)
+        return rows.groupBy("entity", "item").agg(F.sum("n").alias("n"))
 
     def compact(self) -> None:
-        """The sums are written aside first and take the parts' place in one step."""
-        self.read().write.mode("overwrite").parquet(f"{self.path}/compacted")
-        self.spark.read.parquet(f"{self.path}/compacted").write.mode("overwrite").parquet(f"{self.path}/parts")
+        """The sums become the next generation; older ones are removed after it is complete."""
+        old = self._generations()
+        if not old:
+            return
+        self.read().write.mode("overwrite").parquet(f"{self.path}/gen-{old[-1] + 1}")
+        for n in old:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/gen-{n}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def save_table_model(spark: SparkSession, path: str, meta: dict, **tables: DataFrame) -> None:

@@ -300,6 +300,23 @@ def test_stores(spark, frame, tmp_path):
     assert sorted(one(predicates.flatten(readers.json_array(spark, str(arr)))), key=str) == [(1,), (None,)]
 
 
+def test_a_store_survives_a_failed_compaction(spark, frame, tmp_path):
+    store = sinks.SketchStore(spark, f"{tmp_path}/s")
+    assert store.read().count() == 0
+    store.compact()
+    store.append(frame([("a", "x", 2), ("b", "y", 1)], "entity string, item string, n bigint"))
+    store.append(frame([("a", "x", 3), ("a", None, 1)], "entity string, item string, n bigint"))
+    want = sorted([("a", "x", 5), ("b", "y", 1), ("a", None, 1)], key=str)
+    half = tmp_path / "s" / "gen-1"  # what a compaction that died left behind
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"torn")
+    assert sorted(one(store.read()), key=str) == want
+    store.compact()
+    assert sorted(one(store.read()), key=str) == want and [p.name for p in (tmp_path / "s").iterdir()] == ["gen-1"]
+    store.append(frame([("b", "y", 1)], "entity string, item string, n bigint"))
+    assert ("b", "y", 2) in one(sinks.SketchStore(spark, f"{tmp_path}/s").read())
+
+
 def test_stages(frame):
     import pytest
 
