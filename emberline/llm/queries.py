@@ -139,9 +139,11 @@ def _pct(by: str, where: str, percents: list[int]) -> str:
 _YMD = "CAST(strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y%m%d') AS BIGINT)"
 _WHO = """who AS (SELECT 'users' AS kind, nullif(lower(trim(LogHost)), '') AS k, CASE WHEN "Time" > 100000000000 THEN "Time" // 1000 ELSE "Time" END // 86400 AS d, nullif(lower(trim(UserName)), '') AS w FROM windows_event_logs
  UNION ALL SELECT 'peers', nullif(lower(trim(SrcDevice)), ''), CASE WHEN time >= 100000000000 THEN time WHEN time >= 1 THEN time * 1000 END // 86400000, nullif(lower(trim(DstDevice)), '') FROM netflow)"""
+_ALIKE = """h AS (SELECT nullif(lower(trim(LogHost)), '') AS h, min(uname_other_compacnt_login_frac) AS x, min(uname_that_compacnt_login_frac) AS y FROM host_aggregates WHERE uname_other_compacnt_login_frac BETWEEN 0 AND 1 AND uname_that_compacnt_login_frac BETWEEN 0 AND 1 AND nullif(lower(trim(LogHost)), '') IS NOT NULL GROUP BY 1),
+ g AS (SELECT a.h, a.x, a.y, min(b.h) AS m FROM h a JOIN h b ON abs(a.x - b.x) <= 0.03 AND abs(a.y - b.y) <= 0.03 GROUP BY a.h, a.x, a.y HAVING count(*) >= 5)"""
 ORACLE = {
     "p2_found": f"WITH {_FLOWS}, {_VALUES}, p AS ({_pct('src', '', [50, 99])}) SELECT src AS src_device, field FROM p WHERE n >= 60 AND p50 > 0 AND p99 >= 50 * p50",
     "p6_found": f"WITH {_WHO} SELECT kind, k AS key_value, {_YMD} AS day FROM who WHERE k IS NOT NULL AND d IS NOT NULL GROUP BY kind, k, d HAVING count(DISTINCT w) >= 24",
-    "p7_found": """WITH h AS (SELECT nullif(lower(trim(LogHost)), '') AS h, min(uname_other_compacnt_login_frac) AS x, min(uname_that_compacnt_login_frac) AS y FROM host_aggregates WHERE uname_other_compacnt_login_frac BETWEEN 0 AND 1 AND uname_that_compacnt_login_frac BETWEEN 0 AND 1 AND nullif(lower(trim(LogHost)), '') IS NOT NULL GROUP BY 1),
- g AS (SELECT a.h, min(b.h) AS m, count(*) AS n FROM h a JOIN h b ON abs(a.x - b.x) <= 0.03 AND abs(a.y - b.y) <= 0.03 GROUP BY a.h) SELECT m AS host_a, h AS host_b FROM g WHERE n >= 5 AND h <> m""",
+    "p7_found": f"WITH {_ALIKE} SELECT m AS host_a, h AS host_b FROM g WHERE h <> m",
+    "p7_clusters": f"WITH {_ALIKE}, c AS (SELECT m, count(*) AS size, avg(x) AS cx, avg(y) AS cy FROM g GROUP BY 1), r AS (SELECT m, size, cx, cy, h, row_number() OVER (PARTITION BY m ORDER BY sqrt(pow(x - cx, 2) + pow(y - cy, 2)), h) AS rank FROM g JOIN c USING (m)) SELECT m AS cluster, size, round(cx, 6) AS centre_other, round(cy, 6) AS centre_that, CAST(rank AS INTEGER) AS rank, h AS log_host FROM r WHERE rank <= 5",
 }
