@@ -125,7 +125,7 @@ def event_runs(pairs: DataFrame, splits: DataFrame | None = None) -> DataFrame:
 
 
 def wide_schema(types: Sequence[int]) -> str:
-    return "entity string, " + ", ".join(f"{p}_{t} bigint" for p in ("cnt", "age", "users") for t in types)
+    return ", ".join(["entity string", *[f"{p}_{t} bigint" for p in ("cnt", "age", "users") for t in types]])
 
 
 def _wide(types: Sequence[int], as_of: int):
@@ -172,6 +172,8 @@ def wide_features(pairs: DataFrame, types: Sequence[int], as_of: int, splits: Da
     rows = _bucketed(pairs, splits).mapInArrow(_wide(list(types), as_of), wide_schema(types))
     if splits is None:
         return rows
+    if not types:
+        return rows.distinct()
     aggs = [(F.sum if p != "age" else F.min)(f"{p}_{t}").alias(f"{p}_{t}") for p in ("cnt", "age", "users") for t in types]
     keys = splits.select("entity")
     return rows.join(keys, "entity", "left_anti").unionByName(rows.join(keys, "entity", "left_semi").groupBy("entity").agg(*aggs))

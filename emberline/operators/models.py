@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler, Word2Vec
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import clean as C
-from emberline.operators import evaluation
+from emberline.operators import evaluation, sampling
 from emberline.plans.durable import written
 
 
@@ -77,7 +77,7 @@ def sweep(df: DataFrame, cols: Sequence[str], ks: Sequence[int], seed: int = 1,
 
 def held_out(key: str, share: float, seed: int = 21) -> Column:
     """True for a seeded share of the keys."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    return sampling.fraction(key, share, seed)
 
 
 def boosted_trees(df: DataFrame, cols: Sequence[str], label: str, depth: int = 5, rounds: int = 20, seed: int = 1, rate: float = 0.1, stop: str | None = None, tolerance: float = 0.01):
@@ -123,6 +123,11 @@ def logistic(df: DataFrame, cols: Sequence[str], label: str):
     return LogisticRegression(labelCol=label, maxIter=50, regParam=1e-4).fit(assembled(df, cols))
 
 
+def perceptron(df: DataFrame, cols: Sequence[str], label: str, hidden: Sequence[int] = (8,), steps: int = 60, seed: int = 1):
+    """A network of sigmoid layers for a 0/1 label; `networks.from_perceptron` exports it."""
+    return MultilayerPerceptronClassifier(labelCol=label, layers=[len(cols), *hidden, 2], maxIter=steps, seed=seed).fit(assembled(df, cols))
+
+
 def probability(model, df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """`keep` and `score`, the probability of class 1."""
     return model.transform(assembled(df, cols)).select(*keep, vector_to_array("probability")[1].alias("score"))

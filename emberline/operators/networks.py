@@ -70,3 +70,16 @@ def dense(layers: Sequence[tuple[np.ndarray, np.ndarray]], activation: str = "Re
 def from_logistic(model) -> bytes:
     """A fitted binary logistic regression of Spark ML as a network of one layer."""
     return dense([(np.array(model.coefficients.toArray())[:, None], np.array([model.intercept]))])
+
+
+def from_perceptron(model, kind: str = "float") -> bytes:
+    """A fitted two-class perceptron of Spark ML as a network; its logit is the difference of the
+    two classes' last sums, as the softmax of two is the sigmoid of their difference."""
+    sizes, flat, layers = list(model.getLayers()), np.array(model.weights.toArray()), []
+    at = 0
+    for m, n in zip(sizes, sizes[1:]):
+        layers.append((flat[at : at + m * n].reshape(n, m, order="F").T, flat[at + m * n : at + m * n + n]))
+        at += m * n + n
+    w, b = layers[-1]
+    layers[-1] = (w[:, 1:] - w[:, :1], b[1:] - b[:1])
+    return dense(layers, "Sigmoid", kind=kind)

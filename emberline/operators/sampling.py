@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from emberline.operators.sequences import numbered
 
 
+def fraction(key: str, share: float, seed: int = 3) -> Column:
+    """True for a share of the keys by their seeded hash, the same rows however they are partitioned."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < round(share * 1_000_000)
+
+
 def stratified(df: DataFrame, group: str, per_group: int, order: Sequence[Column | str]) -> DataFrame:
     """The first `per_group` rows of each group by `order`; the rank limit is applied before
     the shuffle as well, so a large group sends no more than its sample from each task."""

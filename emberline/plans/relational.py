@@ -76,7 +76,7 @@ def scan_day_range(s, d):
     p = scratch(s)
     rows = T.read_records(T.table(s, d, "windows_event_logs")).where("time_s IS NOT NULL").withColumn("day", C.yyyymmdd(C.day_of_s("time_s")))
     rows.select("event_id", "log_host", "day").write.partitionBy("day").parquet(p)
-    return readers.by_days(s, p, "20260210", "20260220").groupBy(F.col("day").cast("bigint").alias("day")).agg(F.count("*").alias("n"))
+    return readers.by_days(s, p, "20260210", "20260220", "event_id int, log_host string, day bigint").groupBy(F.col("day").cast("bigint").alias("day")).agg(F.count("*").alias("n"))
 
 
 @query(WE + "SELECT event_id, k FROM e")
@@ -704,7 +704,7 @@ def random_shuffle(s, d):
 
 @query()
 def fraction_sample(s, d):
-    return T.table(s, d, "events").sample(False, 0.1, seed=4).select("event_id")
+    return T.table(s, d, "events").where(sampling.fraction("event_id", 0.1, 4)).select("event_id")
 
 
 @query(WE + "SELECT DISTINCT user_id AS id FROM e WHERE event_type = 'error' INTERSECT SELECT DISTINCT k FROM e")

@@ -188,6 +188,17 @@ def onnx_logistic(s, d):
     return own.join(exported, "event_id").agg(F.count("*").alias("n"), F.max(F.abs(F.col("own") - F.col("score"))).alias("largest_difference"))
 
 
+@query()
+def onnx_perceptron(s, d):
+    """A trained network, exported, gives what it gives itself: the largest difference on held-out rows."""
+    e, test = _labelled(s, d), models.held_out("event_id", 0.2)
+    scaled = e.select("event_id", "label", (F.col("value") / 200).alias("v"), (F.col("hour") / 24).alias("h"))
+    m = models.perceptron(scaled.where(~test), ["v", "h"], "label")
+    own = models.probability(m, scaled.where(test), ["v", "h"], ["event_id"]).withColumnRenamed("score", "own")
+    exported = models.score_onnx(scaled.where(test).select("event_id", "v", "h"), networks.from_perceptron(m, "double"), {"features": ["v", "h"]}, ["event_id"])
+    return own.join(exported, "event_id").agg(F.count("*").alias("n"), F.max(F.abs(F.col("own") - F.col("score"))).alias("largest_difference"))
+
+
 # ---- sequences ---------------------------------------------------------------------------
 
 

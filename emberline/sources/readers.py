@@ -49,9 +49,10 @@ def public_suffixes(path: str) -> list[str]:
     return sorted({x for x in lines if "." in x and x[0] not in "*!"})
 
 
-def by_days(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
-    """Parquet partitioned by `day`, only the days first..last: other folders are never listed into tasks."""
-    return spark.read.parquet(path).where(F.col("day").between(first, last))
+def by_days(spark: SparkSession, path: str, first: str, last: str, schema: str | None = None) -> DataFrame:
+    """Parquet partitioned by `day`, only the days first..last: other folders are never listed
+    into tasks. A table that may have no files needs its `schema`, with `day`."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path).where(F.col("day").between(first, last))
 
 
 def sign_in_columns(df: DataFrame, prefix: str = "properties.", names: dict[str, str] | None = None) -> DataFrame:

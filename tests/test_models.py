@@ -44,6 +44,15 @@ def test_exported_regression(spark):
     assert all(abs(own[i] - got[i]) < 1e-5 for i in own)
 
 
+def test_exported_perceptron(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, a, b, float(a * b > 0)) for i in range(400) for a, b in [(rng.gauss(0, 1), rng.gauss(0, 1))]], "id int, a double, b double, y double")
+    m = models.perceptron(df, ["a", "b"], "y", (6, 5))
+    own = {r.id: r.score for r in models.probability(m, df, ["a", "b"], ["id"]).collect()}
+    got = {r.id: r.score for r in models.score_onnx(df, networks.from_perceptron(m, "double"), {"features": ["a", "b"]}, ["id"]).collect()}
+    assert all(abs(own[i] - got[i]) < 1e-9 for i in own) and max(own.values()) > 0.9
+
+
 def test_isolation_finds_the_odd_rows(spark):
     rng = random.Random(3)
     rows = [(f"u{i}", rng.gauss(0, 1), rng.gauss(5, 1)) for i in range(2_000)] + [("odd1", 9.0, 5.0), ("odd2", 0.0, -20.0), ("odd3", float("nan"), 40.0), ("gap", None, 5.0)]
