@@ -153,13 +153,14 @@ def history(df: DataFrame, who: str, order: Sequence[str], stats: Mapping[str, t
     into many partitions. Each partition aggregates on its own; what an entity brings along
     from the partitions before is a window over one row per entity and partition."""
     cols = df.columns
-    state = ordered(df.withColumns({f"__v_{n}": v for n, (_, v) in stats.items()}), [who, *order])
-    per = state.groupBy(who, "__pid").agg(*[_PREFIX[f](f"__v_{n}").alias(f"__c_{n}") for n, (f, _) in stats.items()])
-    before = Window.partitionBy(who).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as the entity has partitions
-    carry = per.select(F.col(who).alias("__who"), F.col("__pid").alias("__p"), *[(F.sum if f == "count" else _PREFIX[f])(f"__c_{n}").over(before).alias(f"__c_{n}") for n, (f, _) in stats.items()])
-    own = Window.partitionBy("__pid", who).orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+    # as a struct an entity is never null, so windows and join have their keys, and the shuffle, in common
+    state = ordered(df.withColumns({"__who": F.struct(who), **{f"__v_{n}": v for n, (_, v) in stats.items()}}), [who, *order])
+    per = state.groupBy("__pid", "__who").agg(*[_PREFIX[f](f"__v_{n}").alias(f"__c_{n}") for n, (f, _) in stats.items()])
+    before = Window.partitionBy("__who").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as the entity has partitions
+    carry = per.select("__pid", "__who", *[(F.sum if f == "count" else _PREFIX[f])(f"__c_{n}").over(before).alias(f"__c_{n}") for n, (f, _) in stats.items()])
+    own = Window.partitionBy("__pid", "__who").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
     rows = state.withColumns({f"__w_{n}": _PREFIX[f](f"__v_{n}").over(own) for n, (f, _) in stats.items()})
-    rows = rows.join(carry, (F.col("__pid") == F.col("__p")) & F.col(who).eqNullSafe(F.col("__who")))
+    rows = rows.join(carry, ["__pid", "__who"])
 
     def both(kind: str, a: Column, b: Column) -> Column:
         if kind == "count":

@@ -13,7 +13,7 @@ from emberline.operators import encode, joins, predicates, sequences, statistics
 from emberline.plans.durable import scratch
 from emberline.plans.relational import ESQL, E
 from emberline.plans.security import USQL, urls
-from emberline.sources import readers, sinks
+from emberline.sources import archives, matlab, readers, sinks
 from emberline.sources import tables as T
 
 Q: dict = {}
@@ -83,6 +83,36 @@ def header_names(s, d):
     return predicates.regular_names(e)
 
 
+@query("SELECT r_regionkey AS region, r_name AS name FROM region")
+def fetch_archive(s, d):
+    """A table as a CSV file in a zip archive, fetched by its address, taken apart and read."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    rows = T.table(s, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").collect()  # 5 rows
+    with tempfile.TemporaryDirectory() as folder:
+        with zipfile.ZipFile(f"{folder}/region.zip", "w") as z:
+            z.writestr("data/region.csv", "".join(f"{r[0]},{r[1]}\n" for r in rows))
+        got = archives.fetch(Path(f"{folder}/region.zip").as_uri(), f"{folder}/out")
+        text = "".join(Path(p).read_text() for p in got if p.endswith(".csv"))
+    lines = s.createDataFrame([(x,) for x in text.splitlines()], "line string")
+    return lines.select(F.from_csv("line", F.lit("region int, name string")).alias("r")).select("r.*")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS src, CAST(n_regionkey AS BIGINT) AS dst, CAST(n_regionkey + 1 AS DOUBLE) AS weight FROM nation")
+def mat_edges(s, d):
+    """Nations and their regions as a sparse matrix in a MAT file, read back as edges."""
+    import numpy as np
+
+    rows = T.table(s, d, "nation").select("n_nationkey", "n_regionkey").collect()  # 25 rows
+    entries = np.array([(r[0], r[1], r[1] + 1.0) for r in rows]).reshape(-1, 3)
+    p = scratch(s)
+    content = matlab.packed("adjacency", entries, (25, 5), compressed=True)
+    sinks.binary(s, content, f"{p}/graph.mat")
+    return matlab.edges(matlab.read(s, p), "adjacency")
+
+
 # ---- orders ------------------------------------------------------------------------------
 
 

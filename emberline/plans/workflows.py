@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import clean as C
 from emberline.functions import vectors as V
-from emberline.operators import density, evaluation, isolation, loda, models, networks, sequences, stages
+from emberline.operators import density, evaluation, isolation, loda, models, networks, sequences, stages, views
 from emberline.plans.durable import scratch, written
 from emberline.plans.relational import WE, E
 from emberline.plans.security import _CUT_ROWS, _CUTS, _HF
@@ -163,6 +163,12 @@ def dbscan_l1(s, d):
     return density.dbscan(h, "host", cols, 0.1, 8, 1.0, 2)
 
 
+@query()
+def tsne_view(s, d):
+    """Every vector's place in a plane view."""
+    return views.tsne(T.table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+
+
 # ---- exported networks -------------------------------------------------------------------
 
 _W1 = np.array([[0.5, -1.0, 0.25], [0.75, 0.5, -0.5]])

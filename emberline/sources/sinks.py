@@ -26,6 +26,16 @@ def read_token_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return spark.read.parquet(f"{path}/tokens"), spark.read.parquet(f"{path}/vocabulary")
 
 
+def binary(spark: SparkSession, content: bytes, path: str) -> None:
+    """One file of the given bytes, on any file system the session knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(content, 0, len(content))
+    finally:
+        out.close()
+
+
 class SketchStore:
     """Additive counts per (entity, item): appended in parts, read as sums, compacted by rewriting.
 

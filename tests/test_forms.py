@@ -95,3 +95,60 @@ def test_too_many_references_raise(frame, monkeypatch):
 def test_first_lines(spark, tmp_path):
     spark.range(50).select(F.lit('{"Time": 5, "EventID": 1}').alias("value")).write.option("compression", "bzip2").text(f"{tmp_path}/l")
     assert readers.logs_json(spark, f"{tmp_path}/l", 7).count() == 7 and readers.logs_json(spark, f"{tmp_path}/l").where("ts IS NOT NULL").count() == 50
+
+
+def test_archives(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    from emberline.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/one.txt", "a\r\nb")
+        z.writestr("two.txt", "")
+    with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as t:
+        info = tarfile.TarInfo("three.txt")
+        info.size = 2
+        t.addfile(info, io.BytesIO(b"hi"))
+    got = archives.fetch((tmp_path / "a.zip").as_uri(), str(tmp_path / "out")) + archives.fetch((tmp_path / "b.tar.gz").as_uri(), str(tmp_path / "out"))
+    assert [p.removeprefix(str(tmp_path / "out") + "/") for p in got] == ["two.txt", "x/one.txt", "three.txt"] and (tmp_path / "out/three.txt").read_text() == "hi"
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../evil.txt", "x")
+    with pytest.raises(ValueError, match="outside"):
+        archives.fetch((tmp_path / "bad.zip").as_uri(), str(tmp_path / "out"))
+    (tmp_path / "plain.txt").write_text("no archive")
+    with pytest.raises(ValueError, match="neither"):
+        archives.fetch((tmp_path / "plain.txt").as_uri(), str(tmp_path / "out"))
+    rows = {(r.member, r.line_no, r.line) for r in archives.lines(spark, str(tmp_path)).where("archive LIKE '%a.zip'").collect()}
+    assert rows == {("x/one.txt", 0, "a"), ("x/one.txt", 1, "b")}
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+@pytest.mark.parametrize("compressed", [True, False])
+def test_mat_files(spark, tmp_path, sparse, compressed):
+    import numpy as np
+
+    from emberline.sources import matlab
+
+    entries = np.array([[0, 2, 1.5], [3, 0, -2.0], [1, 2, 7.0]])
+    (tmp_path / "g.mat").write_bytes(matlab.packed("adj", entries, (4, 3), sparse, compressed))
+    (tmp_path / "no.mat").write_bytes(b"something else")
+    got = {(r.name, r.row, r.col, r.value) for r in matlab.read(spark, str(tmp_path)).collect()}
+    assert got == {("adj", 0, 2, 1.5), ("adj", 3, 0, -2.0), ("adj", 1, 2, 7.0)}
+    assert matlab.edges(matlab.read(spark, str(tmp_path)), "other").count() == 0
+
+
+def test_views_keep_neighbours(spark):
+    import numpy as np
+
+    from emberline.operators import views
+
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=6) * 0.3 + 6 * np.eye(6)[i % 3]).tolist()) for i in range(240)] + [(900, None), (901, [float("nan")] * 6)]
+    df = spark.createDataFrame(rows, "id int, v array<double>").repartition(3)
+    got = {r.id: np.array([r.x, r.y]) for r in views.tsne(df, "id", "v", 20.0, 120).collect()}
+    assert got.keys() == set(range(240))
+    near = [min((j for j in got if j != i), key=lambda j: ((got[i] - got[j]) ** 2).sum()) % 3 == i % 3 for i in got]
+    assert np.mean(near) > 0.97
+    assert views.tsne(df.limit(0), "id", "v").count() == 0 and views.tsne(df.where("id < 2"), "id", "v").count() == 2
