@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberline.plans.durable import written
+
 #: Rows of one entity above which its rows are spread over several streams by actor.
 SPLIT_ROWS = 4_000_000
 
 
+#: Hot entities that are sent to every task.
+MOST_SENT = 100_000
 #: Latest time of a run without times.
 NEVER = -(2**62)
 
@@ -103,10 +107,15 @@ def _bucketed(pairs: DataFrame, splits: DataFrame | None) -> DataFrame:
 
 
 def split_table(df: DataFrame, entity: str, split_rows: int = SPLIT_ROWS) -> DataFrame | None:
-    """Entities with more than `split_rows` rows and the number of streams each gets; None if there are none."""
+    """Entities with more than `split_rows` rows and the number of streams each gets; None if there are none.
+
+    There is at most one such entity to `split_rows` rows of the table. Up to MOST_SENT of them
+    are marked to be sent to every task, so that rows needn't move to learn whether their
+    entity is one; more are left to the planner."""
     hot = df.where(F.col(entity).isNotNull()).groupBy(F.col(entity).alias("entity")).agg(F.count("*").alias("c")).where(F.col("c") > split_rows)
-    hot = hot.select("entity", F.ceil(F.col("c") / split_rows).alias("splits"))
-    return None if hot.isEmpty() else hot
+    hot = written(hot.select("entity", F.ceil(F.col("c") / split_rows).alias("splits")))
+    n = hot.count()
+    return None if not n else F.broadcast(hot) if n <= MOST_SENT else hot
 
 
 def event_runs(pairs: DataFrame, splits: DataFrame | None = None) -> DataFrame:
