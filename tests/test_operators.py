@@ -2,6 +2,8 @@
 
 import math
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,6 +239,29 @@ def test_string_groups_label_new_strings(spark, frame, tmp_path):
     assert got[3].split(".")[0] == got[1].split(".")[0] and 4 not in got and got.keys() <= {1, 2, 3, 5}
 
 
+_FRESH = """
+import sys
+from pyspark.sql import SparkSession
+from emberline.operators.density import StringGroups
+
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+at = sys.argv[1]
+texts = spark.read.parquet(at + "/texts")  # the first table of the session
+got = StringGroups.load(spark, at + "/m").transform(texts, "id", "s")
+print("GROUPS", sorted((r.id, r.group, r.representative) for r in got.collect()))
+"""
+
+
+def test_string_groups_label_the_first_table_of_a_session(spark, frame, tmp_path):
+    words = frame([(0, [1, 2], [3], 1.0), (1, [1], [2], 1.0), (2, [1], [2], 1.0)], "part int, l array<bigint>, r array<bigint>, d double")
+    tops = frame([(i, [0.5]) for i in range(3)], "part int, tops array<double>")
+    first = frame([(f"{i}.0", f"text {i}") for i in range(3)], "group string, representative string")
+    density.StringGroups(4, [5.0, 9.5], words, tops, first).save(f"{tmp_path}/m")
+    frame([(1, "short"), (2, "longer"), (3, "the longest"), (4, ""), (5, None)], "id int, s string").write.parquet(f"{tmp_path}/texts")
+    run = subprocess.run([sys.executable, "-c", _FRESH, str(tmp_path)], capture_output=True, text=True, timeout=300)
+    assert "GROUPS [(1, '0.0', 'text 0'), (2, '1.0', 'text 1'), (3, '2.0', 'text 2')]" in run.stdout, run.stderr[-2000:]
+
+
 def test_loda_scores_new_rows_and_both_ways_agree(spark, frame, tmp_path, monkeypatch):
     from emberline.operators import loda
 
