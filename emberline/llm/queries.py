@@ -69,9 +69,7 @@ def _clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = _clusters(spark, d)
-    first = rows.groupBy("cluster").agg(F.min("id").alias("host_a"))
-    return rows.join(first, "cluster").where("id <> host_a").select("host_a", F.col("id").alias("host_b"))
+    return _clusters(spark, d).where("id <> cluster").select(F.col("cluster").alias("host_a"), F.col("id").alias("host_b"))
 
 
 def p7_clusters(spark: SparkSession, d: str) -> DataFrame:

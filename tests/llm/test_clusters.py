@@ -75,3 +75,29 @@ def test_dense_and_edge_points(spark):
     rows = [(f"d{i:05d}", 0.5 + rng.uniform(0, 0.0299), 0.5 + rng.uniform(0, 0.0299)) for i in range(3_000)] + [(f"z{i}", 1.0, 1.0) for i in range(6)] + [(f"o{i}", 0.0, 0.0) for i in range(4)]
     got = K.clusters(spark.createDataFrame(rows, "id string, x double, y double"), 0.03, 5).groupBy("cluster").count().collect()
     assert sorted(r["count"] for r in got) == [6, 3_000]
+
+
+def odd(kind):
+    """Records that are alike only by way of others, or to a part of a group."""
+    rng = random.Random(7)
+    if kind == "chain":
+        return [(f"c{rng.random():.6f}", 0.1 + 0.01 * i, 0.5 + 0.0002 * i) for i in range(70)]
+    if kind == "bridge":  # one record beside a group of its own, within the limit of some of the group
+        group = [(f"g{i:02d}", 0.3 + 0.0007 * i, 0.3) for i in range(40)]
+        return group + [("a0", 0.3545, 0.3), ("z0", 0.2715, 0.3), ("z1", 0.27, 0.33)] + [(f"p{i}", 0.7 + 0.025 * i, 0.7) for i in range(4)]
+    if kind == "edges":  # exactly at the limit, or next to it, at the borders of cells
+        return [(f"e{i:02d}{j}", 0.00375 * i, 0.03 * j) for i in range(60) for j in range(9)]
+    if kind == "sparse":
+        return [(f"s{i:03d}", rng.random(), rng.random()) for i in range(900)]
+    by_place = sorted((rng.uniform(0.4, 0.5), rng.uniform(0.4, 0.5)) for _ in range(1_500))
+    return [(f"d{i:04d}", x, y) for i, (x, y) in enumerate(by_place)]  # dense, ids from left to right
+
+
+@pytest.mark.parametrize("kind", ["chain", "bridge", "edges", "sparse", "dense"])
+def test_records_that_are_alike_by_way_of_others(spark, kind):
+    rows = odd(kind)
+    random.Random(1).shuffle(rows)
+    want = brute(rows)
+    assert want
+    got = K.clusters(spark.createDataFrame(rows, "id string, x double, y double"), 0.03, 5).collect()
+    assert len(got) == len(want) and {(r.cluster, r.id) for r in got} == want
