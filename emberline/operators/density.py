@@ -117,22 +117,22 @@ class StringGroups:
         return StringGroups(meta["shingle"], meta["cuts"], t["pivots"], t["tops"], t["representatives"])
 
     def _cut(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        """key, s, part and f, the shingles, of the strings that aren't null or empty."""
+        """key, h (hash of the string), part and f, the shingles, of the strings that aren't null or empty."""
         rows = df.select(F.col(key).alias("key"), F.col(text).alias("s")).where("s IS NOT NULL AND s <> ''")
         # a sum, not a filter by a lambda: over a session's first table, Spark pushes a join filter made from the lambda to the side without the text
         part = sum(((F.length("s") > F.lit(float(c))).cast("int") for c in self.cuts), F.lit(0))
-        return rows.select("key", "s", part.alias("part"), _shingle_ids(F.col("s"), self.shingle).alias("f"))
+        return rows.select("key", F.xxhash64("s").alias("h"), part.alias("part"), _shingle_ids(F.col("s"), self.shingle).alias("f"))
 
     def _place(self, cut: DataFrame) -> DataFrame:
-        """key, s, part, x0: the string's place on the line through its part's pivots."""
-        d = cut.join(F.broadcast(self.pivots), "part").select("key", "s", "part", "d", _set_distance(F.col("f"), F.col("l")).alias("dl"), _set_distance(F.col("f"), F.col("r")).alias("dr"))  # one row of pivots per part
-        return d.select("key", "s", "part", fastmap(F.col("dl"), F.col("dr"), F.col("d")).alias("x0"))
+        """key, h, part, x0: the string's place on the line through its part's pivots."""
+        d = cut.join(F.broadcast(self.pivots), "part").select("key", "h", "part", "d", _set_distance(F.col("f"), F.col("l")).alias("dl"), _set_distance(F.col("f"), F.col("r")).alias("dr"))  # one row of pivots per part
+        return d.select("key", "h", "part", fastmap(F.col("dl"), F.col("dr"), F.col("d")).alias("x0"))
 
     def _nearest(self, placed: DataFrame) -> DataFrame:
-        """key, s, group, off: the nearest maximum of the part; a part without one is one group."""
+        """key, h, group, off: the nearest maximum of the part; a part without one is one group."""
         near = F.array_min(F.transform("tops", lambda t, i: F.struct(F.abs(t - F.col("x0")).alias("d"), i.alias("i"))))
         got = placed.join(F.broadcast(self.tops), "part", "left").withColumn("b", F.coalesce(near, F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("i"))))
-        return got.select("key", "s", F.concat_ws(".", "part", "b.i").alias("group"), F.col("b.d").alias("off"))
+        return got.select("key", "h", F.concat_ws(".", "part", "b.i").alias("group"), F.col("b.d").alias("off"))
 
     def transform(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """key, group, representative of any strings, also ones that were not fitted on. A length
@@ -158,7 +158,10 @@ def fit_string_groups(df: DataFrame, key: str, text: str, shingle: int = 4, iter
     dropped(cut)
     model.tops = written(extrema(kde_grid(placed, "part", "x0", points), "part").where("kind = 'max'").groupBy("part").agg(F.sort_array(F.collect_list("x")).alias("tops")))
     got = model._nearest(placed)
-    model.representatives = written(got.groupBy("group").agg(F.min_by("s", F.struct("off", "key")).alias("representative")))
+    # tables between hold no texts, those of the representatives are read again; a repeated key is told apart by the hash
+    least = written(got.groupBy("group").agg(F.min(F.struct("off", "key", "h")).alias("o")).select("group", "o.key", "o.h"))
+    texts = df.select(F.col(key).alias("k"), F.col(text).alias("s"), F.xxhash64(text).alias("g")).where("s IS NOT NULL AND s <> ''")
+    model.representatives = written(texts.join(F.broadcast(least), F.col("k").eqNullSafe(F.col("key")) & (F.col("g") == F.col("h"))).groupBy("group").agg(F.min("s").alias("representative")))  # one row per group
     return model, got.join(model.representatives, "group").select(F.col("key").alias(key), "group", "representative")
 
 
